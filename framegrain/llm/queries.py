@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from framegrain.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from framegrain.llm.html_extract import op10_html_extraction
 from framegrain.llm.mixing import OP1_SQL, op1_mixing
 from framegrain.llm.quality_classifier import op9_quality_classifier
 from framegrain.llm.quality_rules import op5_quality_rules
 from framegrain.llm.sharding import op6_sharding
+from framegrain.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
+    "op8_toxicity": op8_toxicity,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLES = {"op1_mixing": OP1_SQL, "op4_exact_dedup": OP4_SQL}
