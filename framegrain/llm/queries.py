@@ -8,10 +8,12 @@ from framegrain.llm.mixing import OP1_SQL, op1_mixing
 from framegrain.llm.quality_classifier import op9_quality_classifier
 from framegrain.llm.quality_rules import op5_quality_rules
 from framegrain.llm.sharding import op6_sharding
+from framegrain.llm.suffix_dedup import op3_suffix_dedup
 from framegrain.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
