@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from framegrain.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from framegrain.llm.html_extract import op10_html_extraction
+from framegrain.llm.jaccard_join import op2_jaccard_join
 from framegrain.llm.mixing import OP1_SQL, op1_mixing
 from framegrain.llm.quality_classifier import op9_quality_classifier
 from framegrain.llm.quality_rules import op5_quality_rules
@@ -13,6 +14,7 @@ from framegrain.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_rules": op5_quality_rules,
