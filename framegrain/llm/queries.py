@@ -8,6 +8,7 @@ from framegrain.llm.jaccard_join import op2_jaccard_join
 from framegrain.llm.mixing import OP1_SQL, op1_mixing
 from framegrain.llm.quality_classifier import op9_quality_classifier
 from framegrain.llm.quality_rules import op5_quality_rules
+from framegrain.llm.sentencepiece import op7_sentencepiece
 from framegrain.llm.sharding import op6_sharding
 from framegrain.llm.suffix_dedup import op3_suffix_dedup
 from framegrain.llm.toxicity import op8_toxicity
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_toxicity": op8_toxicity,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_html_extraction": op10_html_extraction,
