@@ -1,8 +1,80 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: raw documents to token ids of a deduplicated, filtered mixture.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes what a stage returns as Parquet
+and rereads it for the next one. All stages but the last return the columns of docs. Rows are judged on the
+stage's own input: null and empty texts fall to the quality rules, repeated rows to exact deduplication.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framegrain.llm.common import written
+from framegrain.llm.exact_dedup import exact_dedup, normalised
+from framegrain.llm.jaccard_join import jaccard_join, row_keys
+from framegrain.llm.mixing import mix
+from framegrain.llm.quality_rules import quality_rules
+from framegrain.llm.sentencepiece import decode, default_model_path, encode, read_model
+
+
+def _others(docs: DataFrame) -> tuple[str, ...]:
+    return tuple(c for c in docs.columns if c != "doc_id")
+
+
+def _only(docs: DataFrame, keys: list, names: DataFrame) -> DataFrame:
+    """One row of docs for each row of names, which has the columns k1 and k2; keys are their values in docs."""
+    keyed = docs.select("*", keys[0].alias("_k1"), keys[1].alias("_k2"))
+    found = keyed.join(names, (keyed["_k1"] == names["k1"]) & (keyed["_k2"] == names["k2"]), "left_semi")
+    return found.dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents that the rules reject go."""
+    return quality_rules(docs, keep=_others(docs)).filter("kept").select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: of equal texts the row with the largest doc_id stays."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    names = exact_dedup(docs).filter("kept").select(F.col("text_sha256").alias("k1"), name.alias("k2"))
+    return _only(docs, [F.sha2(normalised(F.col("text")), 256), name], names)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: of each group of near-duplicates one document stays."""
+    names = jaccard_join(docs).filter("kept").select(F.col("d1").alias("k1"), F.col("d2").alias("k2"))
+    return _only(docs, row_keys(F.col("doc_id"), F.col("text")), names)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: each document as often as the mixture takes it."""
+    out = mix(docs, keep=tuple(c for c in _others(docs) if c != "source"))
+    return out.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: token ids, and whether decoding them gives the text back."""
+    model = read_model(spark, default_model_path())
+    out = decode(encode(docs.select("doc_id", "source", "text"), model), model)
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
+    return out.select("doc_id", "source", F.size("ids").alias("n_ids"), "ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("jaccard_join", near_stage),
+    ("mixing", mixing_stage),
+    ("sentencepiece", encoding_stage),
+]
+
+#: SQL can express neither the robust distances nor the MinHash groups nor the encoding.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
