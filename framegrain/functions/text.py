@@ -46,11 +46,11 @@ def without_affixes(name: Column, prefixes: list[str]) -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    """IEC units with two decimals; plain bytes below 1024."""
+    """IEC units with two decimals, halves to even; plain bytes below 1024."""
     units = ("B", "KiB", "MiB", "GiB", "TiB", "PiB")
     out = F.format_string("%d B", n)
     for k, u in enumerate(units[1:], 1):
-        out = F.when(n >= 1 << (10 * k), F.format_string(f"%.2f {u}", n / float(1 << (10 * k)))).otherwise(out)
+        out = F.when(n >= 1 << (10 * k), F.format_string(f"%.2f {u}", F.bround(n / float(1 << (10 * k)), 2))).otherwise(out)
     return out
 
 

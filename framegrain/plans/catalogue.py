@@ -1,51 +1,17 @@
-"""Query catalogue over the driver tables, with the SQL that gives the same rows.
-
-`events` plays the frames (episode = user_id, order = ts, event_id; value = signal), `embeddings` the vectors,
-`documents` and `labels` the records and scores, orders and customers the inventory.
-"""
+"""All queries: frames, joins, statistics and metrics here; governance, sampling and functions, streams beside."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framegrain.functions import geometry, text
-from framegrain.operators import frames, governance, joins, metrics, sampling, stats
-
-ORDER = ["ts", "event_id"]
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-#: Frames with their index, as SQL.
-EV = """ev AS (SELECT event_id, user_id, ts, event_type, value, props,
-  row_number() OVER w - 1 AS frame_index, count(*) OVER (PARTITION BY user_id) AS n
-  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _read(spark, sf_dir, table):
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def _events(spark, sf_dir):
-    return _read(spark, sf_dir, "events")
-
-
-def _frames(spark, sf_dir):
-    return frames.number_frames(_events(spark, sf_dir), "user_id", ORDER)
-
-
-def _r(c, digits=6):
-    return F.round(c, digits)
+from framegrain.operators import frames, joins, metrics, stats
+from framegrain.plans.registry import EV, ORACLES, ORDER, QUERIES, query
+from framegrain.plans.registry import r6 as _r
+from framegrain.plans.registry import read as _read
+from framegrain.plans.registry import read_events as _events
+from framegrain.plans.registry import read_frames as _frames
 
+__all__ = ["ORACLES", "QUERIES"]
 
 # --- episodes and windows ----------------------------------------------------------------------------------
 
@@ -430,3 +396,6 @@ def error_by_position(spark, sf_dir):
     nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("other"))
     rows = v.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double"))).join(nxt, "vec_id")
     return metrics.error_by_position(rows, ["label"], "embedding", "other").withColumn("mae", _r(F.col("mae")))
+
+
+from framegrain.plans import governed, streamed  # noqa: E402, F401
