@@ -190,6 +190,10 @@ def pixels_to_unit(v: Column) -> Column:
     return F.transform(v, lambda x: x / 127.5 - 1)
 
 
+def _moved(pose: Column, delta: Column) -> Column:
+    return bound(pose, lambda s: advanced(s["position"], s["rotation"], delta))
+
+
 def forward_kinematics(joints: Column, chain: list[dict]) -> Column:
     """struct(position, rotation) of the last link of a serial chain.
 
@@ -201,7 +205,7 @@ def forward_kinematics(joints: Column, chain: list[dict]) -> Column:
     vec = lambda v: F.array(*[F.lit(float(x)) for x in v])
     for link in chain:
         fixed = F.struct(vec(link.get("xyz", (0, 0, 0))).alias("translation"), euler_to_matrix(vec(link.get("rpy", (0, 0, 0)))).alias("rotation"))
-        out = bound(out, lambda s, d=fixed: advanced(s["position"], s["rotation"], d))
+        out = _moved(out, fixed)
         if link["kind"] != "fixed":
             q = F.get(joints, F.lit(used)) * float(link.get("sign", 1)) + float(link.get("offset", 0))
             used += 1
@@ -213,5 +217,5 @@ def forward_kinematics(joints: Column, chain: list[dict]) -> Column:
             else:
                 turn = F.array(*[F.lit(a) * F.sin(q / 2) for a in ax], F.cos(q / 2))
                 move = F.struct(vec((0, 0, 0)).alias("translation"), quaternion_to_matrix(turn).alias("rotation"))
-            out = bound(out, lambda s, d=move: advanced(s["position"], s["rotation"], d))
+            out = _moved(out, move)
     return out

@@ -1 +1,105 @@
-"""Queries of streams."""
+"""Queries of streams: `events` as a file stream, run to its end; the result is the table that it wrote."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from framegrain.plans.registry import EV, query, r6, read, read_events, read_frames
+from framegrain.session import shared_dir
+from framegrain.streaming import operators as streams
+
+
+def _place(spark) -> str:
+    return f"{shared_dir(spark)}/framegrain/stream-{uuid.uuid4().hex}"
+
+
+def _stream(spark, sf_dir):
+    """events as a stream; watermarks need a timestamp with zone."""
+    schema = read_events(spark, sf_dir).schema
+    return spark.readStream.schema(schema).format("parquet").load(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _finished(stream, mode: str):
+    """The table that a stream leaves."""
+    spark, place = stream.sparkSession, _place(stream.sparkSession)
+    write = lambda batch, number: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{place}/out")
+    schema = stream.schema
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{place}/out")
+
+
+@query("""SELECT event_type, 'online' AS store, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type UNION ALL SELECT event_type, 'offline', count(*), round(sum(value), 4) FROM events WHERE event_type = 'error' GROUP BY event_type""")
+def stream_route(spark, sf_dir):
+    place = _place(spark)
+    stream = _stream(spark, sf_dir).withColumn("is_intervention", F.col("event_type") == "error").withColumn("state", F.array("value"))
+    streams.route(stream, f"{place}/online", f"{place}/offline", f"{place}/state", vectors=("state",)).awaitTermination()
+    out = None
+    for store in ("online", "offline"):
+        rows = spark.read.schema(stream.schema).parquet(f"{place}/{store}").groupBy("event_type").agg(F.lit(store).alias("store"), F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""SELECT epoch(time_bucket(INTERVAL 6 HOUR, ts))::BIGINT AS start_s, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def stream_windows(spark, sf_dir):
+    out = streams.windowed(_stream(spark, sf_dir), "ts", ["event_type"], [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")], "6 hours", late="30 days")
+    return _finished(out, "complete").select(F.col("window.start").cast("long").alias("start_s"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start_s, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_sessions(spark, sf_dir):
+    out = streams.sessions(_stream(spark, sf_dir), "ts", "user_id", "4 hours", [F.count(F.lit(1)).alias("n")], late="30 days")
+    return _finished(out, "complete").select("user_id", F.col("session_window.start").cast("long").alias("start_s"), "n")
+
+
+@query()
+def stream_similarity_dedupe(spark, sf_dir):
+    stream = _stream(spark, sf_dir).select("user_id", F.col("event_id").alias("timestep"), F.array("value").alias("state"), (F.col("event_type") == "error").alias("must_go"))
+    return _finished(streams.similarity_filter(stream, "user_id", "timestep", "state", "must_go", 25.0), "append")
+
+
+@query()
+def stream_chunk_merge(spark, sf_dir):
+    chunk = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.col("value") + k)
+    stream = _stream(spark, sf_dir).select("user_id", "event_id", F.col("event_id").alias("first"), chunk.alias("actions"), (F.col("event_id") - 1).alias("executed"))
+    return _finished(streams.merge_chunks(stream, "user_id", "event_id", "first", "actions", "executed"), "append")
+
+
+@query("""SELECT user_id, count(*) AS n, round((count(*) - 1) / ((max(epoch_us(ts)) - min(epoch_us(ts))) / 3600e6), 6) AS rate FROM events GROUP BY user_id""")
+def stream_running_rate(spark, sf_dir):
+    stream = _stream(spark, sf_dir).select("user_id", (F.unix_micros("ts") / 3600e6).alias("hours"))
+    out = _finished(streams.running_rate(stream, "user_id", "hours"), "append")
+    return out.groupBy("user_id").agg(F.max("n").alias("n"), r6(F.max_by("rate", "n")).alias("rate"))
+
+
+@query("""SELECT user_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id""")
+def stream_latest_only(spark, sf_dir):
+    return _finished(streams.latest_only(_stream(spark, sf_dir), "user_id", "value", "event_id"), "complete")
+
+
+@query("""SELECT event_id % 7 = 0 AS late, count(*) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY 1""")
+def stream_incremental_poll(spark, sf_dir):
+    place = _place(spark)
+    events = read_events(spark, sf_dir)
+    done = events.filter("event_id % 3 = 0").select("event_id")
+    streams.poll(spark, f"{sf_dir}/events.parquet*", events.schema, done, "event_id", lambda batch, number: batch.write.mode("append").parquet(f"{place}/out"), f"{place}/state").awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{place}/out").groupBy((F.col("event_id") % 7 == 0).alias("late")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT doc_id, sha256(text) AS sha, true AS complete, greatest(ceil(length(text) / 500.0), 1)::BIGINT AS parts FROM documents""")
+def message_parts_roundtrip(spark, sf_dir):
+    parts = streams.in_parts(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 500)
+    whole = streams.reassembled(parts, "doc_id", "part", "kind", "text")
+    return whole.join(parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts")), "doc_id").select("doc_id", F.sha2("text", 256).alias("sha"), "complete", "parts")
+
+
+@query(f"""WITH {EV}, o AS (SELECT frame_index AS step, value AS action FROM ev WHERE user_id = 3 AND frame_index < 30), n AS (SELECT frame_index + 10 AS step, value AS action FROM ev WHERE user_id = 5 AND frame_index < 30)
+SELECT n.step, round(CASE WHEN o.action IS NULL THEN n.action ELSE 0.3 * o.action + 0.7 * n.action END, 6) AS action FROM n LEFT JOIN o USING (step) WHERE n.step > 14""")
+def chunk_overlap_merge(spark, sf_dir):
+    rows = read_frames(spark, sf_dir).filter("frame_index < 30")
+    old = rows.filter("user_id = 3").select(F.col("frame_index").alias("step"), F.col("value").alias("action"))
+    new = rows.filter("user_id = 5").select((F.col("frame_index") + 10).alias("step"), F.col("value").alias("action"))
+    return streams.merged_batch(old, new, 14).withColumn("action", r6(F.col("action")))

@@ -108,9 +108,11 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
     Booleans and text are not metrics.
     """
-    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    blank = F.length(F.trim("value")) == 0
+    lines = spark.read.text(path).filter(~blank)
     m = F.when(F.trim("value").startswith("{"), F.from_json("value", "map<string,string>"))
-    rows = lines.select(F.when(m.isNull(), F.raise_error(F.concat(F.lit("not an object: "), "value")).cast("map<string,string>")).otherwise(m).alias("m"))
+    wrong = F.raise_error(F.concat(F.lit("not an object: "), "value")).cast("map<string,string>")
+    rows = lines.select(F.when(m.isNull() & ~blank, wrong).otherwise(m).alias("m"))  # filters may run in any order
     long = rows.select(F.try_element_at("m", F.lit("mode")).alias("mode"), F.try_element_at("m", F.lit("global_step")).try_cast("long").alias("global_step"), F.explode("m").alias("metric", "v"))
     return long.filter(~F.col("metric").isin("mode", "global_step")).select("mode", "global_step", "metric", F.col("v").try_cast("double").alias("value")).filter("value is not null")
 
