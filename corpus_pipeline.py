@@ -18,20 +18,34 @@ from framegrain.llm.quality_rules import quality_rules
 from framegrain.llm.sentencepiece import decode, default_model_path, encode, read_model
 
 
-def _others(docs: DataFrame) -> tuple[str, ...]:
-    return tuple(c for c in docs.columns if c != "doc_id")
+def _fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of docs has, whatever the case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
+def _packed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with each whole row in one more column, and that column's name: operators carry it along."""
+    (name,) = _fresh(docs, "_row")
+    return docs.withColumn(name, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), name
 
 
 def _only(docs: DataFrame, keys: list, names: DataFrame) -> DataFrame:
     """One row of docs for each row of names, which has the columns k1 and k2; keys are their values in docs."""
-    keyed = docs.select("*", keys[0].alias("_k1"), keys[1].alias("_k2"))
-    found = keyed.join(names, (keyed["_k1"] == names["k1"]) & (keyed["_k2"] == names["k2"]), "left_semi")
-    return found.dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    a, b = _fresh(docs, "_k1", "_k2")
+    names = names.select(F.col("k1").alias(a), F.col("k2").alias(b))
+    found = docs.withColumns({a: keys[0], b: keys[1]}).join(names, [a, b], "left_semi")
+    return found.dropDuplicates([a, b]).drop(a, b)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents that the rules reject go."""
-    return quality_rules(docs, keep=_others(docs)).filter("kept").select(*docs.columns)
+    rows, name = _packed(docs)
+    return quality_rules(rows, keep=(name,)).filter("kept").select(f"{name}.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +63,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: each document as often as the mixture takes it."""
-    out = mix(docs, keep=tuple(c for c in _others(docs) if c != "source"))
-    return out.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    rows, name = _packed(docs)
+    out = mix(rows, keep=(name,)).filter("copies > 0")
+    return out.select(name, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(f"{name}.*")
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

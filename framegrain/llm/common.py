@@ -131,8 +131,8 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     out, at = [], 0
     with np.errstate(over="ignore"):
         rolled = words * np.uint64(0xC2B2AE3D27D4EB4F)
-        for k in range(1, width):
-            rolled[: len(words) - k] = mix64(rolled[: len(words) - k] + words[k:] * np.uint64(2 * k + 1)) if len(words) > k else rolled[:0]
+        for k in range(1, min(width, len(words))):
+            rolled[: len(words) - k] = mix64(rolled[: len(words) - k] + words[k:] * np.uint64(2 * k + 1))
     for n in counts.tolist():
         if n >= width:
             out.append(np.unique(rolled[at : at + n - width + 1]))

@@ -54,7 +54,8 @@ def flushed_runs(digests: DataFrame, prefixes: int, memtable_rows: int = MEMTABL
             d, r = (np.concatenate(x) for x in zip(*held, strict=True))
             d, r, n, at = _merge(d, r, np.ones(len(d), np.int64), np.ones(len(d), np.int64))
             lead = np.frombuffer(d.tobytes(), np.uint8).reshape(len(d), -1)
-            prefix = ((lead[:, 0].astype(np.int32) << 8) | lead[:, 1]) >> (16 - bits)
+            second = lead[:, 1] if lead.shape[1] > 1 else np.uint8(0)
+            prefix = ((lead[:, 0].astype(np.int32) << 8) | second) >> (16 - bits)
             cut = np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1])))
             for a, b in zip(cut, np.append(cut[1:], len(d)), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([int(prefix[a])], pa.int32()), *[pa.array([x[a:b].tobytes()], pa.binary()) for x in (d, r, n, at)]], schema=schema)
