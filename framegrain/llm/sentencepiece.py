@@ -30,7 +30,7 @@ MARK = "▁"
 BLANK = "\t\n"
 UNIT = f"{MARK}+[^{MARK}{BLANK}]*|[^{MARK}{BLANK}]+|[{BLANK}]"
 DICTIONARY = 1 << 17
-#: Units that a Python worker remembers besides the dictionary.
+#: Units that a task remembers besides the dictionary: the first ones that it meets, so mostly frequent ones.
 REMEMBERED = 200_000
 #: Unit length from which merges are replayed with a heap, and beyond which a unit is left to the tasks.
 LONG = 40
@@ -119,24 +119,28 @@ def marked(text: str, model: Model) -> str:
 # --- the fold in tasks -------------------------------------------------------------------------------------
 
 
-def merge_fold(unit: str, usable: dict) -> list[str]:
+def merge_fold(unit: str, scores: dict[str, float]) -> list[str]:
     """Merges neighbours into the piece of the highest score, the leftmost first, until none is left."""
     parts = list(unit)
     if len(parts) > LONG:
-        return _heap_fold(parts, usable)
-    while len(parts) > 1:
-        best, where = None, -1
-        for k in range(len(parts) - 1):
-            got = usable.get(parts[k] + parts[k + 1])
-            if got is not None and (best is None or got[1] > best):
-                best, where = got[1], k
-        if best is None:
+        return _heap_fold(parts, scores)
+    get, none = scores.get, float("-inf")
+    ready = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+    while ready:
+        best = max(ready)
+        if best == none:
             break
-        parts[where : where + 2] = [parts[where] + parts[where + 1]]
+        k = ready.index(best)
+        joined = parts[k] = parts[k] + parts.pop(k + 1)
+        del ready[k]
+        if k < len(ready):
+            ready[k] = get(joined + parts[k + 1], none)
+        if k:
+            ready[k - 1] = get(parts[k - 1] + joined, none)
     return parts
 
 
-def _heap_fold(parts: list[str], usable: dict) -> list[str]:
+def _heap_fold(parts: list[str], scores: dict[str, float]) -> list[str]:
     n = len(parts)
     after, before = [*range(1, n), -1], [-1, *range(n - 1)]
     heap: list = []
@@ -144,9 +148,9 @@ def _heap_fold(parts: list[str], usable: dict) -> list[str]:
     def offer(a):
         b = after[a]
         if b >= 0:
-            got = usable.get(parts[a] + parts[b])
+            got = scores.get(parts[a] + parts[b])
             if got is not None:
-                heapq.heappush(heap, (-got[1], a, parts[a], parts[b]))
+                heapq.heappush(heap, (-got, a, parts[a], parts[b]))
 
     for a in range(n - 1):
         offer(a)
@@ -196,21 +200,23 @@ def unit_ids(parts: list[str], usable: dict, model: Model) -> list[int]:
 
 
 class Units(dict):
-    """Ids (int32, as bytes) of a unit. What the dictionary lacks is folded and, for a while, remembered."""
+    """Ids (int32, as bytes) of a unit. What the dictionary lacks is folded, and remembered while there is room."""
 
     def __init__(self, model: Model, known: dict[str, bytes]):
         super().__init__(known)
-        self.model, self.known, self.usable = model, known, model.usable()
+        self.model, self.usable, self.most = model, model.usable(), len(known) + REMEMBERED
         self.longest = max(map(len, self.usable))
         self.penalty = min(model.scores[i] for i, _ in self.usable.values()) - 10.0
+        self.score = {p: s for p, (_, s) in self.usable.items()}
+        self.packed = {p: struct.pack("<i", i) for p, (i, _) in self.usable.items()}
 
     def __missing__(self, unit: str) -> bytes:
-        parts = viterbi_fold(unit, self.usable, self.longest, self.penalty) if self.model.unigram else merge_fold(unit, self.usable)
-        ids = np.array(unit_ids(parts, self.usable, self.model), "<i4").tobytes()
-        if len(self) >= len(self.known) + REMEMBERED:
-            self.clear()
-            self.update(self.known)
-        if len(unit) <= LONG:
+        parts = viterbi_fold(unit, self.usable, self.longest, self.penalty) if self.model.unigram else merge_fold(unit, self.score)
+        try:
+            ids = b"".join([self.packed[p] for p in parts])
+        except KeyError:  # a character without a piece
+            ids = np.array(unit_ids(parts, self.usable, self.model), "<i4").tobytes()
+        if len(unit) <= LONG and len(self) < self.most:
             self[unit] = ids
         return ids
 
@@ -333,13 +339,14 @@ def decode(df: DataFrame, model: Model, ids_col: str = "ids", text_col: str = "d
     def task(batches):
         import pyarrow as pa
 
-        pieces = held.value
+        pieces = np.empty(len(held.value), object)
+        pieces[:] = held.value
         for b in batches:
             ids = b.column(at)
             ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
             out = []
             for x, y in zip(ends[:-1], ends[1:], strict=True):
-                t = b"".join([pieces[i] for i in flat[x:y].tolist()])
+                t = b"".join(pieces[flat[x:y]].tolist())
                 out.append((t[1:] if prefix and t[:1] == b" " else t).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*columns, text_col])
 

@@ -342,7 +342,7 @@ def test_lattices(spark, docs, model):
         if len(u) <= 9:
             parts = sentencepiece.viterbi_fold(u, usable, fold.longest, fold.penalty)
             assert sum(usable[p][1] if p in usable else fold.penalty for p in parts) == pytest.approx(best_path(u, usable, fold.penalty))
-    assert sentencepiece._heap_fold(list("▁aaaabcabcaaa" * 9), usable) == _slow_merges(list("▁aaaabcabcaaa" * 9), usable)
+    assert sentencepiece._heap_fold(list("▁aaaabcabcaaa" * 9), fold.score) == _slow_merges(list("▁aaaabcabcaaa" * 9), usable)
 
 
 def _slow_merges(parts, usable):
