@@ -34,6 +34,8 @@ DICTIONARY = 1 << 17
 REMEMBERED = 200_000
 #: Unit length from which merges are replayed with a heap, and beyond which a unit is left to the tasks.
 LONG = 40
+#: Characters of text whose units are folded together.
+CHUNK = 1 << 20
 
 
 class Model(NamedTuple):
@@ -199,27 +201,118 @@ def unit_ids(parts: list[str], usable: dict, model: Model) -> list[int]:
     return out
 
 
+#: Symbols from here on stand for characters without a piece.
+LOOSE = 1 << 21
+
+
+class Merges(NamedTuple):
+    """Every way to join two symbols (pieces by id, other characters as LOOSE + code point) to a piece."""
+
+    keys: np.ndarray  # left << 32 | right, sorted
+    made: np.ndarray
+    score: np.ndarray
+    symbol: np.ndarray  # of each code point
+
+
+def merge_table(model: Model) -> Merges:
+    usable = model.usable()
+    symbol = np.arange(LOOSE, LOOSE + 0x110000, dtype=np.int32)
+    for p, (i, _) in usable.items():
+        if len(p) == 1:
+            symbol[ord(p)] = i
+    name = lambda x: usable[x][0] if x in usable else int(symbol[ord(x)]) if len(x) == 1 else None
+    rows = []
+    for p, (i, score) in usable.items():
+        for k in range(1, len(p)):
+            left, right = name(p[:k]), name(p[k:])
+            if left is not None and right is not None:
+                rows.append((left << 32 | right, i, score))
+    rows.sort()
+    keys, made, score = zip(*rows, strict=True) if rows else ((-1,), (0,), (0.0,))
+    return Merges(np.array(keys, np.int64), np.array(made, np.int32), np.array(score), symbol)
+
+
+def merge_many(units: list[str], table: Merges) -> dict[str, bytes]:
+    """merge_fold of many units at once: ids (int32, as bytes) of those whose parts are all pieces.
+
+    Units of one length are rows of a matrix of symbols; each step joins the best pair of every row.
+    """
+    none, out = float("-inf"), {}
+
+    def pairs(left, right):
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(table.keys, key)
+        at[at == len(table.keys)] = 0
+        hit = (table.keys[at] == key) & (right >= 0)
+        return np.where(hit, table.score[at], none), table.made[at]
+
+    by_length: dict[int, list[str]] = {}
+    for u in units:
+        by_length.setdefault(len(u), []).append(u)
+    for width, group in by_length.items():
+        parts = table.symbol[np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32)].reshape(-1, width)
+        names, done = np.arange(len(group)), []
+        if width > 1:
+            score, made = pairs(parts[:, :-1], parts[:, 1:])
+            columns = np.arange(width)
+        while width > 1 and len(names):
+            k = score.argmax(axis=1)
+            row = np.arange(len(names))
+            live = score[row, k] > none
+            done.append((names[~live], parts[~live]))
+            names, parts, score, made, k = names[live], parts[live], score[live], made[live], k[live]
+            row = row[: len(names)]
+            parts[row, k] = made[row, k]
+            # Close the gap behind the joined symbol and its pair.
+            parts = np.take_along_axis(parts, np.minimum(columns + (columns > k[:, None]), width - 1), axis=1)
+            parts[:, -1] = -1
+            gap = np.minimum(columns[:-1] + (columns[:-1] >= k[:, None]), width - 2)
+            score, made = np.take_along_axis(score, gap, axis=1), np.take_along_axis(made, gap, axis=1)
+            score[:, -1] = none
+            for shift in (0, -1):
+                at = k + shift
+                ok = (at >= 0) & (at < width - 1)
+                r, c = row[ok], at[ok]
+                score[r, c], made[r, c] = pairs(parts[r, c], parts[r, c + 1])
+        if width == 1:
+            done.append((names, parts))
+        for who, rows in done:
+            whole = (rows < LOOSE).all(axis=1)
+            ends = (rows >= 0).sum(axis=1) * 4
+            raw = np.ascontiguousarray(rows, "<i4").tobytes()
+            for j in np.flatnonzero(whole).tolist():
+                out[group[who[j]]] = raw[j * width * 4 : j * width * 4 + ends[j]]
+    return out
+
+
 class Units(dict):
     """Ids (int32, as bytes) of a unit. What the dictionary lacks is folded, and remembered while there is room."""
 
-    def __init__(self, model: Model, known: dict[str, bytes]):
+    def __init__(self, model: Model, known: dict[str, bytes], table: Merges | None = None):
         super().__init__(known)
-        self.model, self.usable, self.most = model, model.usable(), len(known) + REMEMBERED
+        self.model, self.usable, self.most, self.table = model, model.usable(), len(known) + REMEMBERED, table
         self.longest = max(map(len, self.usable))
         self.penalty = min(model.scores[i] for i, _ in self.usable.values()) - 10.0
         self.score = {p: s for p, (_, s) in self.usable.items()}
-        self.packed = {p: struct.pack("<i", i) for p, (i, _) in self.usable.items()}
 
     def __missing__(self, unit: str) -> bytes:
         parts = viterbi_fold(unit, self.usable, self.longest, self.penalty) if self.model.unigram else merge_fold(unit, self.score)
-        try:
-            ids = b"".join([self.packed[p] for p in parts])
-        except KeyError:  # a character without a piece
-            ids = np.array(unit_ids(parts, self.usable, self.model), "<i4").tobytes()
+        ids = np.array(unit_ids(parts, self.usable, self.model), "<i4").tobytes()
         if len(unit) <= LONG and len(self) < self.most:
             self[unit] = ids
         return ids
 
+    def of_texts(self, texts: list[list[str]]) -> list[bytes]:
+        """Ids of texts that are given as their units."""
+        fresh = {}
+        if self.table is not None and not self.model.unigram:
+            fresh = merge_many([u for u in set().union(*texts) if u not in self and len(u) <= LONG], self.table)
+            room = max(0, self.most - len(self))
+            self.update(fresh if len(fresh) <= room else dict(list(fresh.items())[:room]))
+        if all(u in self for u in fresh):
+            return [b"".join([self[u] for u in t]) for t in texts]
+        return [b"".join([fresh[u] if u in fresh else self[u] for u in t]) for t in texts]
+
 
 # --- the relational lattice --------------------------------------------------------------------------------
 
@@ -305,7 +398,7 @@ def encode(df: DataFrame, model: Model, text_col: str = "text", ids_col: str = "
     """
     units = frequent_units(df, model, text_col, dictionary)
     known = {r["unit"]: np.array(r["ids"], "<i4").tobytes() for r in lattice_ids(units, model).collect()}  # at most `dictionary` rows
-    held = df.sparkSession.sparkContext.broadcast((model, known))
+    held = df.sparkSession.sparkContext.broadcast((model, known, None if model.unigram else merge_table(model)))
     columns = [c for c in df.columns if c != ids_col]
     at = columns.index(text_col)
     schema = df.select(*columns).schema.add(ids_col, T.ArrayType(T.IntegerType()))
@@ -315,7 +408,14 @@ def encode(df: DataFrame, model: Model, text_col: str = "text", ids_col: str = "
 
         units, find = Units(*held.value), re.compile(UNIT).findall
         for b in batches:
-            found = [b"".join([units[u] for u in find(marked(t, units.model))]) if t else b"" for t in b.column(at).to_pylist()]
+            found, part, size = [], [], 0
+            for t in b.column(at).to_pylist():
+                part.append(find(marked(t, units.model)) if t else [])
+                size += len(t or "")
+                if size >= CHUNK:
+                    found += units.of_texts(part)
+                    part, size = [], 0
+            found += units.of_texts(part) if part else []
             ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*columns, ids_col])
