@@ -201,7 +201,7 @@ def fractional_rows(spark, sf_dir):
 @query(f"""WITH {EV}, b AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT user_id FROM ev)) SELECT i AS episode, 1000 // m + (i < 1000 % m)::BIGINT AS n FROM b""")
 def quota_per_episode(spark, sf_dir):
     bounds = frames.episode_bounds(read_events(spark, sf_dir), "user_id")
-    return sampling.episode_quota(bounds, "dense_index", "length", 1000, 4, 3).groupBy("episode").agg(F.countDistinct("row").alias("n"))
+    return sampling.episode_quota(bounds, "dense_index", "length", 1000, 4, 3).groupBy("episode").agg(F.count("row").alias("n"))
 
 
 @query("""SELECT count(*) AS n, min(batch) AS first_batch, max(slot) AS last_slot FROM (SELECT unnest(range(0, 2 * greatest(ceil(a / 16.0), ceil(b / 16.0))::BIGINT)) AS batch, 15::BIGINT AS slot FROM (SELECT count(*) FILTER (quality = 0) AS a, count(*) FILTER (quality = 1) AS b FROM labels)), range(16)""")
