@@ -132,3 +132,63 @@ def quality_rules(df: DataFrame, keep: tuple[str, ...] = (), cutoff: float = CUT
 def op5_quality_rules(spark, sf_dir):
     out = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql() -> str:
+    """The whole query as DuckDB SQL: the statistics, then the same concentration steps as common table expressions."""
+    real = lambda v: f"{float(v)!r}e0"
+    blanks = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    share = lambda a, b: f"CASE WHEN {b} > 0 THEN least(1.0e0, {a} / {b}) ELSE 0.0e0 END"
+    vector = {
+        "length": "ln(CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 1.0e0 END)",
+        "symbols": "ln(1 + 100 * CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0.0e0 END)",
+        "upper": f"asin(sqrt({share('n_upper', 'word_chars')}))",
+        "repeats": f"asin(sqrt({share('n_repeat_words', 'n_words')}))",
+        "lines": f"asin(sqrt({share('n_dup_lines', 'n_lines')}))",
+    }
+    names = [f"m_{a}" for a in AXES] + [f"l_{i}_{j}" for i in range(P) for j in range(i + 1)]
+
+    def measured(name: str, rows: str, params: str) -> str:
+        """rows with d2 under params, one coordinate a level."""
+        out = f"SELECT r.*, {', '.join(names)} FROM {rows} r LEFT JOIN {params} USING (g)"
+        for i, a in enumerate(AXES):
+            z = f"x_{a} / {real(UNIT)} - m_{a}" + "".join(f" - l_{i}_{j} * z_{j}" for j in range(i))
+            out = f"SELECT *, ({z}) / l_{i}_{i} AS z_{i} FROM ({out})"
+        return f"{name} AS MATERIALIZED (SELECT *, 0.0e0" + "".join(f" + z_{i} * z_{i}" for i in range(P)) + f" AS d2 FROM ({out}))"
+
+    plain = "rid, doc_id, g, " + ", ".join([*(f"x_{a}" for a in AXES)])
+    ctes = [
+        "d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce('=' || lang, '-') AS lang, coalesce('=' || source, '-') AS source FROM documents)",
+        "w AS MATERIALIZED (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d)",
+        "p AS (SELECT rid, unnest(range(1, len(ws) - 3)) AS i, unnest([ws[k:k + 4] for k in range(1, len(ws) - 3)]) AS v FROM w)",
+        "q AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, v) AS c FROM p) WHERE c > 1)",
+        "u AS (SELECT rid, sum(least(5, gap))::BIGINT AS n_repeat_words FROM (SELECT rid, i - coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -9) AS gap FROM q) GROUP BY rid)",
+        f"""s AS MATERIALIZED (SELECT rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(translate(t, {blanks}, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+          (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')))::BIGINT AS n_upper, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN u USING (rid))""",
+        "b AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, " + ", ".join(f"round_even({v} * {UNIT}, 0)::BIGINT AS x_{a}" for a, v in vector.items()) + " FROM s)",
+        f"k AS (SELECT lang, source, lang || chr(31) || CASE WHEN count(*) >= {LEAST_ROWS} THEN source ELSE '*' END AS g FROM b WHERE NOT base_failed GROUP BY lang, source)",
+        "h AS MATERIALIZED (SELECT b.*, k.g FROM b LEFT JOIN k USING (lang, source))",
+        f"f AS MATERIALIZED (SELECT {plain} FROM h WHERE NOT base_failed)",
+        "e AS MATERIALIZED (SELECT g, " + ", ".join(f"quantile_cont(x_{a}, 0.5) AS med_{a}" for a in AXES) + " FROM f GROUP BY g)",
+        "a AS (SELECT g, " + ", ".join(f"any_value(med_{a}) AS med_{a}, quantile_cont(abs(x_{a} - med_{a}), 0.5) AS mad_{a}" for a in AXES) + " FROM f JOIN e USING (g) GROUP BY g)",
+        "c0 AS MATERIALIZED (SELECT g, " + ", ".join(f"med_{a} / {real(UNIT)} AS m_{a}" for a in AXES) + ", "
+        + ", ".join(f"greatest({real(FLOORS[a])}, 1.4826e0 * mad_{a} / {real(UNIT)}) AS l_{i}_{j}" if i == j else f"0.0e0 AS l_{i}_{j}" for i, a in enumerate(AXES) for j in range(i + 1)) + " FROM a)",
+    ]
+    for step in range(1, STEPS + 1):
+        ctes.append(measured(f"d{step}", "f", f"c{step - 1}"))
+        ctes.append(f"g{step} AS MATERIALIZED (SELECT {plain}, floor(64.0e0 * ln(1 + d2)) AS grade FROM d{step})")
+        ctes.append(f"h{step} AS (SELECT g, quantile_cont(grade, {HALF}) AS most FROM g{step} GROUP BY g)")
+        sums = ", ".join([f"sum(x_{a})::DOUBLE AS s_{a}" for a in AXES] + [f"sum(x_{b} * x_{a})::DOUBLE AS s_{b}_{a}" for i, a in enumerate(AXES) for b in AXES[: i + 1]])
+        body = f"SELECT g, count(*)::DOUBLE AS n, {sums} FROM g{step} JOIN h{step} USING (g) WHERE grade <= most GROUP BY g"
+        body = "SELECT *, " + ", ".join(f"s_{a} / n / {real(UNIT)} AS m_{a}" for a in AXES) + f" FROM ({body})"
+        for i, a in enumerate(AXES):
+            for j, b in enumerate(AXES[: i + 1]):
+                v = f"{real(CONSISTENCY)} * (s_{b}_{a} / n / {real(UNIT * UNIT)} - m_{a} * m_{b})" + "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j))
+                least = real(FLOORS[a] ** 2)
+                body = f"SELECT *, {f'sqrt(greatest({v} + {least}, {least}))' if i == j else f'({v}) / l_{j}_{j}'} AS l_{i}_{j} FROM ({body})"
+        ctes.append(f"c{step} AS MATERIALIZED (SELECT g, {', '.join(names)} FROM ({body}))")
+    ctes.append(measured("z", "h", f"c{STEPS}"))
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d2 <= {real(CUTOFF)}, true) AS kept FROM z"
+
+
+OP5_SQL = _sql()

@@ -7,7 +7,7 @@ from framegrain.llm.html_extract import op10_html_extraction
 from framegrain.llm.jaccard_join import op2_jaccard_join
 from framegrain.llm.mixing import OP1_SQL, op1_mixing
 from framegrain.llm.quality_classifier import op9_quality_classifier
-from framegrain.llm.quality_rules import op5_quality_rules
+from framegrain.llm.quality_rules import OP5_SQL, op5_quality_rules
 from framegrain.llm.sentencepiece import op7_sentencepiece
 from framegrain.llm.sharding import op6_sharding
 from framegrain.llm.suffix_dedup import op3_suffix_dedup
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_html_extraction": op10_html_extraction,
 }
-ORACLES = {"op1_mixing": OP1_SQL, "op4_exact_dedup": OP4_SQL}
+ORACLES = {"op1_mixing": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_quality_rules": OP5_SQL}
