@@ -15,7 +15,7 @@ from framegrain.llm.exact_dedup import exact_dedup, normalised
 from framegrain.llm.jaccard_join import jaccard_join, row_keys
 from framegrain.llm.mixing import mix
 from framegrain.llm.quality_rules import quality_rules
-from framegrain.llm.sentencepiece import decode, default_model_path, encode, read_model
+from framegrain.llm.sentencepiece import default_model_path, read_model, round_trip
 
 
 def _fresh(docs: DataFrame, *names: str) -> list[str]:
@@ -71,9 +71,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: token ids, and whether decoding them gives the text back."""
     model = read_model(spark, default_model_path())
-    out = decode(encode(docs.select("doc_id", "source", "text"), model), model)
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
-    return out.select("doc_id", "source", F.size("ids").alias("n_ids"), "ids", same.alias("round_trip"))
+    return round_trip(docs, model, ["doc_id", "source"])
 
 
 STAGES = [

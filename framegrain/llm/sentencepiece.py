@@ -390,37 +390,82 @@ def lattice_ids(units: DataFrame, model: Model) -> DataFrame:
 # --- whole texts -------------------------------------------------------------------------------------------
 
 
+#: Rows of an Arrow batch that are in Python at once.
+SLICE = 256
+
+
+def _slices(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
+class Encoder:
+    """What tasks need to encode: the model, the dictionary and the table of merges."""
+
+    def __init__(self, df: DataFrame, model: Model, text_col: str, dictionary: int):
+        units = frequent_units(df, model, text_col, dictionary)
+        known = {r["unit"]: np.array(r["ids"], "<i4").tobytes() for r in lattice_ids(units, model).collect()}  # at most `dictionary` rows
+        self.held = df.sparkSession.sparkContext.broadcast((model, known, None if model.unigram else merge_table(model)))
+
+    def __call__(self):
+        """A function from texts to their ids (int32, as bytes)."""
+        units, find = Units(*self.held.value), re.compile(UNIT).findall
+
+        def ids(texts: list) -> list[bytes]:
+            found, part, size = [], [], 0
+            for t in texts:
+                part.append(find(marked(t, units.model)) if t else [])
+                size += len(t or "")
+                if size >= CHUNK:
+                    found += units.of_texts(part)
+                    part, size = [], 0
+            return found + units.of_texts(part) if part else found
+
+        return ids
+
+
+def _id_lists(found: list[bytes]):
+    import pyarrow as pa
+
+    ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
+
+
+def _piece_bytes(model: Model) -> list[bytes]:
+    return [bytes([i - model.first_byte]) if k == 6 else b"" if k in (2, 3) else p.replace(MARK, " ").encode() for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True))]
+
+
+def _decoder(raw: list[bytes], prefix: bool):
+    """A function from an array of ids to UTF-8 bytes."""
+    pieces = np.empty(len(raw), object)
+    pieces[:] = raw
+
+    def text(ids: np.ndarray) -> bytes:
+        t = b"".join(pieces[ids].tolist())
+        return t[1:] if prefix and t[:1] == b" " else t
+
+    return text
+
+
 def encode(df: DataFrame, model: Model, text_col: str = "text", ids_col: str = "ids", dictionary: int = DICTIONARY) -> DataFrame:
     """df with the column `ids_col` (array of int): the ids of each whole text.
 
     Null and empty texts have no ids. Other columns pass through, except one that is named like `ids_col`,
     which is replaced. Repeated rows are encoded alike; an empty input gives an empty result.
     """
-    units = frequent_units(df, model, text_col, dictionary)
-    known = {r["unit"]: np.array(r["ids"], "<i4").tobytes() for r in lattice_ids(units, model).collect()}  # at most `dictionary` rows
-    held = df.sparkSession.sparkContext.broadcast((model, known, None if model.unigram else merge_table(model)))
+    encoder = Encoder(df, model, text_col, dictionary)
     columns = [c for c in df.columns if c != ids_col]
     at = columns.index(text_col)
-    schema = df.select(*columns).schema.add(ids_col, T.ArrayType(T.IntegerType()))
 
     def task(batches):
         import pyarrow as pa
 
-        units, find = Units(*held.value), re.compile(UNIT).findall
-        for b in batches:
-            found, part, size = [], [], 0
-            for t in b.column(at).to_pylist():
-                part.append(find(marked(t, units.model)) if t else [])
-                size += len(t or "")
-                if size >= CHUNK:
-                    found += units.of_texts(part)
-                    part, size = [], 0
-            found += units.of_texts(part) if part else []
-            ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], [*columns, ids_col])
+        ids = encoder()
+        for b in _slices(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, _id_lists(ids(b.column(at).to_pylist()))], [*columns, ids_col])
 
-    return df.select(*columns).mapInArrow(task, schema)
+    return df.select(*columns).mapInArrow(task, df.select(*columns).schema.add(ids_col, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, model: Model, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -431,26 +476,42 @@ def decode(df: DataFrame, model: Model, ids_col: str = "ids", text_col: str = "d
     """
     columns = [c for c in df.columns if c != text_col]
     at = columns.index(ids_col)
-    schema = df.select(*columns).schema.add(text_col, T.StringType())
-    raw = [bytes([i - model.first_byte]) if k == 6 else b"" if k in (2, 3) else p.replace(MARK, " ").encode() for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True))]
-    held = df.sparkSession.sparkContext.broadcast(raw)
-    prefix = model.prefix
+    held = df.sparkSession.sparkContext.broadcast((_piece_bytes(model), model.prefix))
 
     def task(batches):
         import pyarrow as pa
 
-        pieces = np.empty(len(held.value), object)
-        pieces[:] = held.value
-        for b in batches:
+        text = _decoder(*held.value)
+        for b in _slices(batches):
             ids = b.column(at)
             ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
-            out = []
-            for x, y in zip(ends[:-1], ends[1:], strict=True):
-                t = b"".join(pieces[flat[x:y]].tolist())
-                out.append((t[1:] if prefix and t[:1] == b" " else t).decode("utf-8", "replace"))
+            out = [text(flat[x:y]).decode("utf-8", "replace") for x, y in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*columns, text_col])
 
-    return df.select(*columns).mapInArrow(task, schema)
+    return df.select(*columns).mapInArrow(task, df.select(*columns).schema.add(text_col, T.StringType()))
+
+
+def round_trip(df: DataFrame, model: Model, keep: list[str], text_col: str = "text", dictionary: int = DICTIONARY) -> DataFrame:
+    """The columns `keep`, n_ids, ids, and round_trip: whether decoding the ids gives the text, word marks as spaces.
+
+    The same as encode, decode and a comparison, in one pass over the texts. Null counts as the empty text.
+    """
+    encoder = Encoder(df, model, text_col, dictionary)
+    raw = df.sparkSession.sparkContext.broadcast((_piece_bytes(model), model.prefix))
+    schema = df.select(*keep).schema.add("n_ids", T.IntegerType()).add("ids", T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType())
+
+    def task(batches):
+        import pyarrow as pa
+
+        ids, text = encoder(), _decoder(*raw.value)
+        for b in _slices(batches):
+            texts = b.column(len(keep)).to_pylist()
+            found = ids(texts)
+            same = [text(np.frombuffer(x, "<i4")) == (t or "").replace(MARK, " ").encode() for x, t in zip(found, texts, strict=True)]
+            lists = _id_lists(found)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([len(x) // 4 for x in found], pa.int32()), lists, pa.array(same)], [*keep, "n_ids", "ids", "round_trip"])
+
+    return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(task, schema)
 
 
 def default_model_path() -> str:
@@ -461,7 +522,4 @@ def default_model_path() -> str:
 
 def op7_sentencepiece(spark, sf_dir, path: str | None = None):
     model = read_model(spark, path or default_model_path())
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = decode(encode(docs, model), model)
-    text = F.translate(F.coalesce("text", F.lit("")), MARK, " ")
-    return out.select("doc_id", F.size("ids").alias("n_ids"), "ids", (F.col("decoded") == text).alias("round_trip"))
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), model, ["doc_id"])
