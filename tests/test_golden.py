@@ -263,3 +263,23 @@ def test_tables(spark, tmp_path):
     assert tables.read_csv(spark, str(tmp_path / "csv")).first().a == "[1,2]"
     old = spark.createDataFrame([("ok", 1)], "status string, x int")
     assert tables.typed_records(old, {"ok": "passed"}).first().quality_status == "passed"
+
+
+def test_recipes(spark):
+    from framegrain.operators import episodes
+
+    rows = spark.createDataFrame([(0, 0, [0.0, 0.0, 0.0], [0.0, 0.0, 0.0, 1.0], 0.1), (0, 1, [0.01, 0.0, 0.0], [0.0, 0.0, 0.0, 1.0], 0.2), (1, 0, [0.0, 0.0, 0.0], [0.0, 0.0, 0.0, 2.0], 0.3)], "e int, i int, p array<double>, q array<double>, g double")
+    out = episodes.local_actions(rows, "p", "q", "g", "e", ["i"], (0.02, 0.06, 1.0)).orderBy("e", "i").collect()
+    assert out[0].action == pytest.approx([0.5, 0, 0, 0, 0, 0, 0.2]) and out[1].action == out[0].action and out[2].action == pytest.approx([0] * 6 + [0.3])
+    cams = spark.createDataFrame([(["right_wrist", "cam_high", "left_x"],), ([],)], "c array<string>").select(episodes.camera_roles(F.col("c")).alias("r")).collect()
+    assert tuple(cams[0].r) == ("cam_high", "left_x", "right_wrist", "right_wrist") and tuple(cams[1].r) == (None,) * 4
+    same = spark.createDataFrame([(1, [float(i % 7) / 7 for i in range(64)])], "k int, a array<double>").withColumn("b", F.col("a"))
+    assert episodes.structural_similarity(same, ["k"], "a", "b", 8).first().ssim == pytest.approx(1.0)
+    tens = [0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.5]
+    turned = [0.3, 0.0, 0.0, 0.0, 1.0, 0.0, -1.0, 0.0, 0.0, 0.0]
+    e = spark.createDataFrame([(tens, turned)], "a array<double>, b array<double>").select(episodes.arm_errors(F.col("a"), F.col("b")).alias("e")).first().e
+    assert e.translation == pytest.approx(0.1) and e.rotation_degrees == pytest.approx(90) and e.gripper == 0.5
+    with pytest.raises(Exception, match="no mask"):
+        spark.range(1).select(episodes.loss_masks(F.lit("x"), {"y": [True]})).collect()
+    with pytest.raises(Exception, match="arm is missing"):
+        spark.createDataFrame([([1.0], None)], "a array<double>, b array<double>").select(episodes.both_arms("a", "b")).collect()
