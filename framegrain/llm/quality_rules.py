@@ -31,6 +31,8 @@ STEPS = 3
 CUTOFF = 36.0
 #: Sources of a language with fewer rows are estimated together.
 LEAST_ROWS = 50
+#: Groups (about 200 bytes of parameters each) up to which their tables are broadcast.
+BROADCAST_GROUPS = 20_000
 
 
 def _vector() -> dict[str, Column]:
@@ -76,10 +78,16 @@ def _cholesky(sums: DataFrame) -> DataFrame:
     return out.select("g", *[f"m_{a}" for a in AXES], *[f"l_{i}_{j}" for i in range(P) for j in range(i + 1)])
 
 
-def _measured(rows: DataFrame, params: DataFrame) -> DataFrame:
+def _small(table: DataFrame, groups: int) -> DataFrame:
+    """A table of one row a group, to be broadcast while there are few: rows then stay where they are and
+    aggregate before they are shuffled. Beyond that Spark decides."""
+    return F.broadcast(table) if groups <= BROADCAST_GROUPS else table
+
+
+def _measured(rows: DataFrame, params: DataFrame, groups: int) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance under their group's parameters (forward substitution)."""
     names = [c for c in params.columns if c != "g"]
-    out = rows.join(params, "g", "left")
+    out = rows.join(_small(params, groups), "g", "left")
     for i, a in enumerate(AXES):
         z = _x(a) - F.col(f"m_{a}")
         for j in range(i):
@@ -92,12 +100,13 @@ def _measured(rows: DataFrame, params: DataFrame) -> DataFrame:
 def robust_parameters(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """Robust centre and scatter of each group g over the integer coordinates x_*: one row a group."""
     med = written(rows.groupBy("g").agg(*[F.percentile(f"x_{a}", 0.5).alias(f"med_{a}") for a in AXES]), "mcd-med")
-    mads = rows.join(med, "g").groupBy("g").agg(*[F.first(f"med_{a}").alias(f"med_{a}") for a in AXES], *[F.percentile(F.abs(F.col(f"x_{a}") - F.col(f"med_{a}")), 0.5).alias(f"mad_{a}") for a in AXES])
+    groups = med.count()
+    mads = rows.join(_small(med, groups), "g").groupBy("g").agg(*[F.first(f"med_{a}").alias(f"med_{a}") for a in AXES], *[F.percentile(F.abs(F.col(f"x_{a}") - F.col(f"med_{a}")), 0.5).alias(f"mad_{a}") for a in AXES])
     params = written(_diagonal(mads), "mcd-0")
     for k in range(1, steps + 1):
-        graded = _measured(rows, params).withColumn("grade", _grade(F.col("d2")))
+        graded = _measured(rows, params, groups).withColumn("grade", _grade(F.col("d2")))
         most = graded.groupBy("g").agg(F.percentile("grade", HALF).alias("most"))
-        core = graded.join(most, "g").filter(F.col("grade") <= F.col("most"))
+        core = graded.join(_small(most, groups), "g").filter(F.col("grade") <= F.col("most"))
         pairs = [(a, b) for i, b in enumerate(AXES) for a in AXES[: i + 1]]
         sums = core.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"x_{a}").alias(f"s_{a}") for a in AXES], *[F.sum(F.col(f"x_{a}") * F.col(f"x_{b}")).alias(f"s_{a}_{b}") for a, b in pairs])
         params = written(_cholesky(sums), f"mcd-{k}")
@@ -119,10 +128,10 @@ def quality_rules(df: DataFrame, keep: tuple[str, ...] = (), cutoff: float = CUT
     rows = written(rows, "quality")
     own = rows.filter(~F.col("base_failed")).groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_n"))
     group = F.concat_ws("\x1f", F.col("_lang"), F.when(F.col("_n") >= LEAST_ROWS, F.col("_source")).otherwise(F.lit("*")))
-    names = own.select("_lang", "_source", group.alias("g"))
-    rows = rows.join(names, ["_lang", "_source"], "left")
+    names = written(own.select("_lang", "_source", group.alias("g")), "groups")
+    rows = rows.join(_small(names, names.count()), ["_lang", "_source"], "left")
     params = robust_parameters(rows.filter(~F.col("base_failed")).select("g", *[f"x_{a}" for a in AXES]))
-    out = _measured(rows, params)
+    out = _measured(rows, params, params.count())
     return out.select(
         "doc_id", *STATS, "base_failed", F.col("d2").alias("distance"), (~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))).alias("kept"),
         *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)],

@@ -230,7 +230,7 @@ def test_robust_distances(spark):
     q = np.rint(x * 1024).astype(int)
     axes = quality_rules.AXES
     df = spark.createDataFrame([("g", *map(int, r)) for r in q], "g string, " + ", ".join(f"x_{a} long" for a in axes))
-    got = {tuple(r[f"x_{a}"] for a in axes): r.d2 for r in quality_rules._measured(df, quality_rules.robust_parameters(df)).collect()}
+    got = {tuple(r[f"x_{a}"] for a in axes): r.d2 for r in quality_rules._measured(df, quality_rules.robust_parameters(df), 1).collect()}
     v, floors = q / 1024, np.array([quality_rules.FLOORS[a] for a in axes])
     med = np.median(v, 0)
     d2 = (((v - med) / np.maximum(floors, 1.4826 * np.median(np.abs(v - med), 0))) ** 2).sum(1)
