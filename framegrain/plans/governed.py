@@ -82,20 +82,20 @@ def move_plan(spark, sf_dir):
     return plan.select("unit", "batch", "episode", "files").unionByName(conflicts)
 
 
-@query("""WITH p AS (SELECT user_id, count(*) AS files, sum(length(props))::BIGINT AS bytes FROM events GROUP BY user_id), q AS (SELECT user_id, count(*) AS files, sum(length(props))::BIGINT AS bytes FROM events WHERE event_id % 1000 <> 0 GROUP BY user_id)
+@query("""WITH p AS (SELECT user_id, count(*) AS files, sum(length(props))::BIGINT AS bytes FROM events GROUP BY user_id), q AS (SELECT user_id, count(*) AS files, sum(length(props))::BIGINT AS bytes FROM events WHERE value >= 1 GROUP BY user_id)
 SELECT user_id, list_filter([CASE WHEN p.files IS DISTINCT FROM q.files THEN 'files' END, CASE WHEN p.bytes IS DISTINCT FROM q.bytes THEN 'bytes' END], lambda x: x IS NOT NULL) AS differs, CASE WHEN p.files IS DISTINCT FROM q.files OR p.bytes IS DISTINCT FROM q.bytes THEN 'failed' ELSE 'verified' END AS status FROM p LEFT JOIN q USING (user_id)""")
 def verify_destination(spark, sf_dir):
     total = lambda d: d.groupBy("user_id").agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("props")).alias("bytes"))
     events = read_events(spark, sf_dir)
-    return governance.verified(total(events), total(events.filter("event_id % 1000 <> 0")), "user_id", ["files", "bytes"])
+    return governance.verified(total(events), total(events.filter("value >= 1")), "user_id", ["files", "bytes"])
 
 
-@query("""WITH a AS (SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 10 <> 3), b AS (SELECT doc_id, lang, CASE WHEN doc_id % 25 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 10 <> 4)
+@query("""WITH a AS (SELECT doc_id, lang, n_chars FROM documents WHERE n_chars >= 300), b AS (SELECT doc_id, lang, n_chars + n_chars % 2 AS n_chars FROM documents WHERE n_chars <= 3000)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'only_left' WHEN a.doc_id IS NULL THEN 'only_right' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.n_chars <> b.n_chars""")
 def changed_records(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    right = docs.filter("doc_id % 10 <> 4").withColumn("n_chars", F.when(F.col("doc_id") % 25 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
-    return governance.changed(docs.filter("doc_id % 10 <> 3"), right, "doc_id", ["lang", "n_chars"])
+    right = docs.filter("n_chars <= 3000").withColumn("n_chars", F.col("n_chars") + F.col("n_chars") % 2)
+    return governance.changed(docs.filter("n_chars >= 300"), right, "doc_id", ["lang", "n_chars"])
 
 
 @query("""WITH b AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN upper(lang) ELSE lang END AS l2, CASE WHEN doc_id % 25 = 0 THEN n_chars + 1 ELSE n_chars END AS n2, lang, n_chars FROM documents) SELECT doc_id, list_filter([CASE WHEN lang <> l2 THEN 'lang' END, CASE WHEN n_chars <> n2 THEN 'n_chars' END], lambda x: x IS NOT NULL) AS fields FROM b WHERE lang <> l2 OR n_chars <> n2""")
@@ -105,11 +105,11 @@ def differing_fields(spark, sf_dir):
     return governance.differing_fields(docs, other, "doc_id", ["lang", "n_chars"])
 
 
-@query("""WITH k AS (SELECT doc_id AS i FROM documents WHERE doc_id % 13 <> 5 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 101 = 0), c AS (SELECT i, count(*) AS n FROM k GROUP BY i), d AS (SELECT i, n, lead(i) OVER (ORDER BY i) AS nx FROM c)
+@query("""WITH k AS (SELECT doc_id AS i FROM documents WHERE n_chars >= 300 UNION ALL SELECT doc_id FROM documents WHERE n_chars > 3000), c AS (SELECT i, count(*) AS n FROM k GROUP BY i), d AS (SELECT i, n, lead(i) OVER (ORDER BY i) AS nx FROM c)
 SELECT i, n, CASE WHEN n > 1 THEN 'duplicate' ELSE 'gap after' END AS problem FROM d WHERE n > 1 OR nx > i + 1""")
 def index_contiguity(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"))
-    return governance.index_gaps(docs.filter("i % 13 <> 5").unionByName(docs.filter("i % 101 = 0")), "i")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), "n_chars")
+    return governance.index_gaps(docs.filter("n_chars >= 300").select("i").unionByName(docs.filter("n_chars > 3000").select("i")), "i")
 
 
 @query("""WITH j AS (SELECT user_id % 40 AS item, event_id AS seq, CASE event_type WHEN 'click' THEN 'moving' WHEN 'purchase' THEN 'verified' WHEN 'error' THEN 'failed' ELSE 'moved' END AS status FROM events), l AS (SELECT item, arg_max(status, seq) AS status FROM j GROUP BY item) SELECT status, count(*) AS n FROM l GROUP BY status""")
@@ -138,10 +138,10 @@ def union_common_columns(spark, sf_dir):
     return sets.union_common([docs, read(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "id")])
 
 
-@query("""WITH a AS (SELECT DISTINCT user_id AS id FROM events), b AS (SELECT c_custkey AS id FROM customer WHERE c_custkey <= 100) SELECT id, 'missing' AS side FROM (FROM a EXCEPT FROM b) UNION ALL SELECT id, 'extra' FROM (FROM b EXCEPT FROM a)""")
+@query("""WITH a AS (SELECT DISTINCT user_id AS id FROM events), b AS (SELECT c_custkey AS id FROM customer) SELECT id, 'missing' AS side FROM (FROM a EXCEPT FROM b) UNION ALL SELECT id, 'extra' FROM (FROM b EXCEPT FROM a)""")
 def missing_and_extra(spark, sf_dir):
     a = read_events(spark, sf_dir).select(F.col("user_id").alias("id")).distinct()
-    return sets.missing_and_extra(a, read(spark, sf_dir, "customer").filter("c_custkey <= 100").select(F.col("c_custkey").alias("id")), "id")
+    return sets.missing_and_extra(a, read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id")
 
 
 @query("""SELECT x AS step FROM (SELECT DISTINCT doc_id // 10 AS x FROM labels INTERSECT SELECT DISTINCT doc_id // 10 FROM documents WHERE n_chars > 3000) UNION SELECT DISTINCT 0 FROM documents WHERE doc_id // 10 = 0 AND n_chars > 3000""")
