@@ -100,8 +100,10 @@ def local_actions(spark, sf_dir):
     return rows.join(nxt, ["user_id", "frame_index"]).select("event_id", (near("to.position", "p1") & near("to.rotation", "m1")).alias("reaches_next"), F.size("action").alias("width"))
 
 
-@query()
+@query("""WITH p AS (SELECT a.vec_id, unnest(range(64)) AS k, (unnest(a.embedding)::DOUBLE + 1) / 2 AS x, (unnest(b.embedding)::DOUBLE + 1) / 2 AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+w AS (SELECT vec_id, r, c, avg(x) AS mx, avg(y) AS my, avg(x * x) - avg(x) * avg(x) AS vx, avg(y * y) - avg(y) * avg(y) AS vy, avg(x * y) - avg(x) * avg(y) AS vxy FROM p, range(2) t(r), range(2) u(c) WHERE k // 8 BETWEEN r AND r + 6 AND k % 8 BETWEEN c AND c + 6 GROUP BY vec_id, r, c)
+SELECT vec_id, round(avg((2 * mx * my + 1e-4) * (2 * vxy + 9e-4) / ((mx * mx + my * my + 1e-4) * (vx + vy + 9e-4))), 6) AS ssim FROM w GROUP BY vec_id""")
 def image_similarity(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: (x.cast("double") + 1) / 2).alias("a"))
     nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
-    return episodes.structural_similarity(v.join(nxt, "vec_id"), ["vec_id"], "a", "b", 8)
+    return episodes.structural_similarity(v.join(nxt, "vec_id"), ["vec_id"], "a", "b", 8).withColumn("ssim", r6(F.col("ssim")))
