@@ -99,7 +99,23 @@ def message_parts_roundtrip(spark, sf_dir):
 @query(f"""WITH {EV}, o AS (SELECT frame_index AS step, value AS action FROM ev WHERE user_id = 3 AND frame_index < 30), n AS (SELECT frame_index + 10 AS step, value AS action FROM ev WHERE user_id = 5 AND frame_index < 30)
 SELECT n.step, round(CASE WHEN o.action IS NULL THEN n.action ELSE 0.3 * o.action + 0.7 * n.action END, 6) AS action FROM n LEFT JOIN o USING (step) WHERE n.step > 14""")
 def chunk_overlap_merge(spark, sf_dir):
-    rows = read_frames(spark, sf_dir).filter("frame_index < 30")
-    old = rows.filter("user_id = 3").select(F.col("frame_index").alias("step"), F.col("value").alias("action"))
-    new = rows.filter("user_id = 5").select((F.col("frame_index") + 10).alias("step"), F.col("value").alias("action"))
-    return streams.merged_batch(old, new, 14).withColumn("action", r6(F.col("action")))
+    """The example of two users only; chunk_overlap_merge_all merges the chunks of all."""
+    rows = read_frames(spark, sf_dir).filter("frame_index < 30").withColumn("queue", F.lit(0))
+    old = rows.filter("user_id = 3").select("queue", F.col("frame_index").alias("step"), F.col("value").alias("action"))
+    new = rows.filter("user_id = 5").select("queue", (F.col("frame_index") + 10).alias("step"), F.col("value").alias("action"))
+    executed = spark.range(1).select(F.lit(0).alias("queue"), F.lit(14).alias("executed"))
+    return streams.merged_batch(old, new, executed, ["queue"]).select("step", r6(F.col("action")).alias("action"))
+
+
+@query(f"""WITH {EV}, c AS (SELECT user_id, frame_index // 10 - j AS chunk, frame_index AS step, value + 10 * j + frame_index % 10 AS action FROM ev, (VALUES (0), (1), (2)) t(j) WHERE frame_index // 10 >= j)
+SELECT n.user_id, n.chunk, n.step, round(CASE WHEN o.action IS NULL THEN n.action ELSE 0.3 * o.action + 0.7 * n.action END, 6) AS action
+FROM c n LEFT JOIN c o ON o.user_id = n.user_id AND o.chunk = n.chunk - 1 AND o.step = n.step WHERE n.chunk = 0 OR n.step > 10 * n.chunk + 4""")
+def chunk_overlap_merge_all(spark, sf_dir):
+    """Each user's chunks of 30 steps, one every 10 steps, merged with the one before; a chunk arrives 4 steps late."""
+    back = F.explode(F.sequence(F.lit(0), F.least(F.lit(2), F.floor(F.col("frame_index") / 10).cast("int")))).alias("j")
+    rows = read_frames(spark, sf_dir).select("user_id", "frame_index", "value", back)
+    chunk = F.floor(F.col("frame_index") / 10) - F.col("j")
+    new = rows.select("user_id", chunk.alias("chunk"), F.col("frame_index").alias("step"), (F.col("value") + 10 * F.col("j") + F.col("frame_index") % 10).alias("action"))
+    executed = new.filter("chunk > 0").select("user_id", "chunk", (10 * F.col("chunk") + 4).alias("executed"))
+    out = streams.merged_batch(new.withColumn("chunk", F.col("chunk") + 1), new, executed, ["user_id", "chunk"])
+    return out.withColumn("action", r6(F.col("action")))

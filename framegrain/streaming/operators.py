@@ -118,11 +118,16 @@ def merge_chunks(stream: DataFrame, key: str, order: str, first: str, actions: s
     )
 
 
-def merged_batch(old: DataFrame, new: DataFrame, executed: int, combine: str = "weighted_average") -> DataFrame:
-    """The same merge of two tables (step, action)."""
-    both = new.filter(F.col("step") > executed).select("step", F.col("action").alias("_n")).join(old.select("step", F.col("action").alias("_o")), "step", "left")
+def merged_batch(old: DataFrame, new: DataFrame, executed: DataFrame, keys: list[str], combine: str = "weighted_average") -> DataFrame:
+    """The same merge of two tables (*keys, step, action), for all keys at once.
+
+    `executed` has (*keys, executed); the latest one of a key counts. A key without any has executed nothing yet.
+    """
+    late = executed.groupBy(*keys).agg(F.max("executed").alias("_e"))
+    both = new.select(*keys, "step", F.col("action").alias("_n")).join(late, keys, "left").filter(F.col("_e").isNull() | (F.col("step") > F.col("_e")))
+    both = both.join(old.select(*keys, "step", F.col("action").alias("_o")), [*keys, "step"], "left")
     mixed = COMBINERS[combine](F.col("_o"), F.col("_n"))
-    return both.select("step", F.when(F.col("_o").isNull(), F.col("_n")).otherwise(mixed).alias("action"))
+    return both.select(*keys, "step", F.when(F.col("_o").isNull(), F.col("_n")).otherwise(mixed).alias("action"))
 
 
 def running_rate(stream: DataFrame, key: str, seconds: str) -> DataFrame:

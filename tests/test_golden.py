@@ -220,6 +220,14 @@ def test_stream_merge_and_filter(spark, tmp_path):
     assert sorted(r.s for r in got2) == [0, 2, 3]
 
 
+def test_batch_merge_by_key(spark):
+    old = spark.createDataFrame([(1, 4, 1.0), (1, 5, 1.0), (2, 5, 9.0)], "k int, step long, action double")
+    new = spark.createDataFrame([(1, 5, 2.0), (1, 6, 2.0), (2, 4, 3.0), (2, 5, 3.0), (3, 0, 7.0)], "k int, step long, action double")
+    executed = spark.createDataFrame([(1, 3), (1, 5), (2, 3)], "k int, executed long")
+    out = streams.merged_batch(old, new, executed, ["k"]).collect()
+    assert sorted((r.k, r.step, round(r.action, 6)) for r in out) == [(1, 6, 2.0), (2, 4, 3.0), (2, 5, 4.8), (3, 0, 7.0)]
+
+
 def test_messages(spark):
     parts = spark.createDataFrame([(1, 0, "BEGIN", "ab"), (1, 1, "END", "c"), (2, 0, "BEGIN", "x"), (3, 0, "END", "")], "m int, o int, k string, p string")
     assert {r.m: (r.p, r.complete) for r in streams.reassembled(parts, "m", "o", "k", "p").collect()} == {1: ("abc", True), 2: ("x", False), 3: ("", True)}
