@@ -52,38 +52,48 @@ def sessions(stream: DataFrame, time: str, key: str, gap: str, aggregates: list[
     return stream.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(*aggregates)
 
 
-def similarity_filter(stream: DataFrame, key: str, step: str, state: str, must: str, atol: float, remember: int = 1_000) -> DataFrame:
+def similarity_filter(stream: DataFrame, key: str, step: str, state: str, must: str, atol: float) -> DataFrame:
     """Rows (key, step, state) that must go, are their key's first, or have a new step and moved by atol or more.
 
-    State of a key: the last admitted vector and the latest `remember` admitted steps.
+    State of a key: the last admitted vector and all admitted steps, as ranges of consecutive ones. Nothing is
+    forgotten, so the state grows with the gaps between a key's admitted steps; a new episode is a new key.
     """
     key_type, step_type = stream.schema[key].dataType.simpleString(), stream.schema[step].dataType.simpleString()
 
     def task(keys: tuple, batches: Iterator, held: GroupState) -> Iterator:
+        from bisect import bisect_right
+
         import numpy as np
         import pandas as pd
 
-        last, seen = held.get if held.exists else ([], [])
-        last, seen = list(last), list(seen)
-        known = set(seen)
+        last, starts, ends = (list(x) for x in held.get) if held.exists else ([], [], [])
         for pdf in batches:
             out = []
             for row in pdf.sort_values(step, kind="stable").itertuples(index=False):
                 s, v = getattr(row, step), np.asarray(getattr(row, state), float)
+                at = bisect_right(starts, s)  # ranges before `at` start at s or before
+                known = at > 0 and s <= ends[at - 1]
                 moved = not last or float(np.linalg.norm(v - np.asarray(last))) >= atol
-                if getattr(row, must) or not last or (s not in known and moved):
+                if getattr(row, must) or not last or (not known and moved):
                     out.append((keys[0], s, v.tolist()))
                     last = v.tolist()
-                    if s not in known:
-                        seen.append(int(s))
-                        known.add(s)
-                        if len(seen) > remember:
-                            known.discard(seen.pop(0))
+                    if not known:
+                        left, right = at > 0 and ends[at - 1] == s - 1, at < len(starts) and starts[at] == s + 1
+                        if left and right:
+                            ends[at - 1] = ends.pop(at)
+                            del starts[at]
+                        elif left:
+                            ends[at - 1] = int(s)
+                        elif right:
+                            starts[at] = int(s)
+                        else:
+                            starts.insert(at, int(s))
+                            ends.insert(at, int(s))
             yield pd.DataFrame(out, columns=[key, step, state])
-        held.update((last, seen))
+        held.update((last, starts, ends))
 
     return stream.select(key, step, state, must).groupBy(key).applyInPandasWithState(
-        task, f"{key} {key_type}, {step} {step_type}, {state} array<double>", "last array<double>, seen array<bigint>", "append", GroupStateTimeout.NoTimeout
+        task, f"{key} {key_type}, {step} {step_type}, {state} array<double>", "last array<double>, starts array<bigint>, ends array<bigint>", "append", GroupStateTimeout.NoTimeout
     )
 
 

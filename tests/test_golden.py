@@ -220,6 +220,21 @@ def test_stream_merge_and_filter(spark, tmp_path):
     assert sorted(r.s for r in got2) == [0, 2, 3]
 
 
+def test_similarity_filter_forgets_no_step(spark, tmp_path):
+    # even steps, then the odd ones between them, then all again: two keys, many more than 1,000 steps
+    parts = [[2 * i for i in range(1500)], [2 * i + 1 for i in range(1000)], [*range(3000)]]
+    schema = "k int, s long, v array<double>, m boolean"
+    got: list = []
+    for n, steps in enumerate(parts):
+        rows = spark.createDataFrame([(k, s, [float(10 * s + n)], False) for k in (0, 1) for s in steps], schema)
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        out: list = []
+        streams.similarity_filter(stream, "k", "s", "v", "m", 0.5).writeStream.foreachBatch(lambda b, i, out=out: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        got.append(sorted((r.k, r.s) for r in out))
+    assert got == [[(k, s) for k in (0, 1) for s in steps] for steps in (parts[0], sorted(parts[1]), [2 * i + 1 for i in range(1000, 1500)])]
+
+
 def test_batch_merge_by_key(spark):
     old = spark.createDataFrame([(1, 4, 1.0), (1, 5, 1.0), (2, 5, 9.0)], "k int, step long, action double")
     new = spark.createDataFrame([(1, 5, 2.0), (1, 6, 2.0), (2, 4, 3.0), (2, 5, 3.0), (3, 0, 7.0)], "k int, step long, action double")
