@@ -26,38 +26,68 @@ SIDE_TAGS = frozenset("nav footer aside form menu dialog fieldset search".split(
 SIDE_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead toolbar ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus reply replies respond reader search widget pager pagination copyright legal disclaimer skip tags tagcloud complementary contentinfo dialog navigation".split()
 )
+#: Side words whose elements often hold articles of their own; words of a name that tell a state of what is inside.
+LIST_WORDS = frozenset("related recommended recommendations comment comments disqus reply replies respond".split())
+STATE_WORDS = frozenset("has with without no open closed enabled disabled".split())
 MAIN_TAGS = frozenset("article main".split())
 MAIN_WORDS = frozenset("article content main post entry story body text".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+)>|<[!?/][^>]*>""", re.S)
-NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 STOPS = (".", "!", "?", "…", ":", ";", "\"", "”", "»", "。")
 
 
-def _kind(tag: str, attrs: str) -> tuple[float, bool]:
-    """(evidence for boilerplate, hidden) that an element gives to the text below it."""
+def _kind(tag: str, attrs: str) -> tuple[float, int, bool]:
+    """(evidence for boilerplate, rank of side words, hidden) that an element gives to the text below it.
+
+    Rank 1 is for side words, 2 for those of lists. They don't count in a name with a word of state, on html, body
+    and main, where they speak of the page, and on an article that has a name of main words only.
+    """
     side = 8.0 if tag in SIDE_TAGS else 0.0
     main = -2.0 if tag in MAIN_TAGS else 0.0
-    hidden = False
+    hidden, rank, named, plain = False, 0, False, False
     if attrs and not attrs.isspace():
-        for m in NAMED.finditer(attrs):
+        for m in ATTRIBUTE.finditer(attrs):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
                 hidden = True
             elif name in ("class", "id", "role"):
-                words = {w.lower() for part in value.split() for w in SPLIT.split(part) if w}
-                if words & SIDE_WORDS:
-                    side = 8.0
-                elif words & MAIN_WORDS:
-                    main = -2.0
-    return side or main, hidden
+                for part in value.split():
+                    words = {w.lower() for w in SPLIT.split(part) if w}
+                    if words & SIDE_WORDS:
+                        if not words & STATE_WORDS:
+                            rank = max(rank, 2 if words & LIST_WORDS else 1)
+                    elif words & MAIN_WORDS:
+                        named = True
+                        plain = plain or words <= MAIN_WORDS
+        if tag in ("html", "body", "main") or tag == "article" and plain:
+            rank = 0
+        main = 0.0 if rank else -2.0 if named else main
+    return side or main, rank, hidden
+
+
+def _side(rank: int, share: float, inside: int, around: bool, mains: int) -> float:
+    """Evidence from side words of an element with this share of the page's text and `inside` of the page's articles and mains.
+
+    What holds the article, or nearly all text, is a wrapper around the page and not its side; beside an article
+    nothing is.
+    """
+    if rank == 1 and inside:
+        return 0.0
+    if mains > inside and (rank == 2 or not around):
+        return 8.0
+    return 8.0 * min(1.0, (1.0 if rank == 1 else 4.0) * (1.0 - share))
 
 
 def blocks(page: str) -> list[tuple[str, float, int]]:
     """(text, cost of content minus cost of boilerplate, parent) of each block in page order."""
     out: list[tuple[str, float, int]] = []
-    stack: list[tuple[str, int, float, float, bool]] = []  # tag, number, side, main, hidden
+    stack: list[tuple[str, int, float, float, bool, int]] = []  # tag, number, side, main, hidden, rank of side words
+    under: list[list[tuple[int, int]]] = []  # (number, rank) of the elements with side words around each block
+    held: dict[int, int] = {}  # characters in such an element; key 0: in the page
+    inside: dict[int, int] = {}  # articles and mains in such an element; key 0: in the page
+    around: set[int] = set()  # such elements that are inside an article or main
     parts: list[str] = []
     linked = 0
     link = 0
@@ -83,6 +113,10 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
                 cost += 2.0 if "©" in text and words < 40 else 0.0
                 parent = stack[-2][1] if len(stack) > 1 else 0
                 out.append((text, cost, parent))
+                under.append([(s[1], s[5]) for s in stack if s[5]])
+                if not side:
+                    for k, _ in [(0, 0), *under[-1]]:
+                        held[k] = held.get(k, 0) + len(text)
             parts.clear()
         links.clear()
         linked = 0
@@ -127,12 +161,20 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
             elif tag not in VOID:
                 if stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th")):
                     stack.pop()
-                kind, hidden = _kind(tag, m[3])
+                kind, rank, hidden = _kind(tag, m[3])
                 number += 1
-                stack.append((tag, number, max(kind, 0.0), min(kind, 0.0), hidden))
+                if tag in MAIN_TAGS and not rank:
+                    for k in [0, *(s[1] for s in stack if s[5])]:
+                        inside[k] = inside.get(k, 0) + 1
+                if rank and any(s[0] in MAIN_TAGS and not s[5] for s in stack):
+                    around.add(number)
+                stack.append((tag, number, max(kind, 0.0), min(kind, 0.0), hidden, rank))
         elif tag == "br" or tag in VOID:
             parts.append(" ")
     end()
+    for i, (text, cost, parent) in enumerate(out):
+        if under[i]:
+            out[i] = (text, cost + max(_side(rank, held.get(k, 0) / max(1, held.get(0, 0)), inside.get(k, 0), k in around, inside.get(0, 0)) for k, rank in under[i]), parent)
     return out
 
 

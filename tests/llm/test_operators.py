@@ -409,6 +409,27 @@ def test_extraction(spark, empty):
     assert html_extract.extract(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("wrapper", [
+    '<body class="single-post right-sidebar"><article>%s</article>', '<body><article class="post comments-open">%s</article>', '<body><article class="has-sidebar">%s</article>',
+    '<body><main id="content" class="social-enabled">%s</main>', '<body><div id="page-search-results"><article>%s</article></div>',
+    '<body><div class="page with-sidebar"><div>%s</div></div>', '<body><div title="hidden gems" data-class="ad"><article>%s</article></div>',
+])
+def test_extraction_under_wrappers_with_side_words(wrapper):
+    text = ["The title", "First paragraph with enough words to look like a text that somebody wrote, and more of them than twenty in all.", "A short one.", "Another paragraph, which says a few things more about the matter."]
+    body = f"<h1>{text[0]}</h1>" + "".join(f"<p>{t}</p>" for t in text[1:])
+    side = '<nav><a href=/>Home</a></nav><section id="comments"><div><ol><li><div><article class="comment-body"><p>I am a reader and this is my comment about it.</p></article></div></li></ol></div></section>'
+    side += '<div class="sidebar"><div><div><div><p>Popular stories of this week are listed here.</p></div></div></div></div><div hidden><p>Not to be seen by anybody.</p></div>'
+    assert html_extract.main_text("<html>" + wrapper % body + side + "</body></html>") == "\n".join(text)
+
+
+def test_extraction_beside_long_sides():
+    long = "Buy now, this advert has many words and goes on and on, and it ends here. " * 6
+    for side in (f'<div class="ad">{long}</div>', f'<section id="comments"><article><p>{long}</p></article></section>'):
+        assert html_extract.main_text(f"<body><article><p>Short article text here.</p></article>{side}</body>") == "Short article text here."
+    body = "".join(f"<p>Paragraph number {i} with enough words to look like a text that somebody wrote.</p>" for i in range(12))
+    assert html_extract.main_text(f'<body><div class="page social"><div>{body}</div></div></body>').count("Paragraph") == 12
+
+
 def test_minimum_cut_against_all_labellings():
     rng = np.random.default_rng(7)
     for _ in range(150):
