@@ -29,8 +29,6 @@ CONSISTENCY = 1.41
 STEPS = 3
 #: Squared distance beyond which a row is an outlier; the chi-square distribution with five degrees of freedom exceeds it once in a million.
 CUTOFF = 36.0
-#: Sources of a language with fewer rows are estimated together.
-LEAST_ROWS = 50
 #: Groups (about 200 bytes of parameters each) up to which their tables are broadcast.
 BROADCAST_GROUPS = 20_000
 
@@ -117,8 +115,9 @@ def quality_rules(df: DataFrame, keep: tuple[str, ...] = (), cutoff: float = CUT
     """One row for each input row: doc_id, the statistics, base_failed, distance, kept and the columns in `keep`.
 
     Null and empty texts have no words and fail the base rules. Null languages and sources are groups of
-    their own. Repeated rows are judged alike. A group is estimated from its rows that pass the base rules;
-    an empty input gives an empty result.
+    their own. Repeated rows are judged alike. A group is estimated from its own rows that pass the base rules,
+    however few they are: the floors keep the scatter of one or two rows regular, and those rows lie at their
+    group's centre. An empty input gives an empty result.
     """
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     columns = [F.col(id_col).alias("doc_id"), part(lang_col).alias("_lang"), part(source_col).alias("_source"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]]
@@ -126,10 +125,7 @@ def quality_rules(df: DataFrame, keep: tuple[str, ...] = (), cutoff: float = CUT
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumns({f"x_{a}": F.rint(v * UNIT).cast("long") for a, v in _vector().items()})
     rows = written(rows, "quality")
-    own = rows.filter(~F.col("base_failed")).groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_n"))
-    group = F.concat_ws("\x1f", F.col("_lang"), F.when(F.col("_n") >= LEAST_ROWS, F.col("_source")).otherwise(F.lit("*")))
-    names = written(own.select("_lang", "_source", group.alias("g")), "groups")
-    rows = rows.join(_small(names, names.count()), ["_lang", "_source"], "left")
+    rows = rows.withColumn("g", F.concat_ws("\x1f", "_lang", "_source"))
     params = robust_parameters(rows.filter(~F.col("base_failed")).select("g", *[f"x_{a}" for a in AXES]))
     out = _measured(rows, params, params.count())
     return out.select(
@@ -175,8 +171,7 @@ def _sql() -> str:
         f"""s AS MATERIALIZED (SELECT rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(translate(t, {blanks}, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
           (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')))::BIGINT AS n_upper, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN u USING (rid))""",
         "b AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, " + ", ".join(f"round_even({v} * {UNIT}, 0)::BIGINT AS x_{a}" for a, v in vector.items()) + " FROM s)",
-        f"k AS (SELECT lang, source, lang || chr(31) || CASE WHEN count(*) >= {LEAST_ROWS} THEN source ELSE '*' END AS g FROM b WHERE NOT base_failed GROUP BY lang, source)",
-        "h AS MATERIALIZED (SELECT b.*, k.g FROM b LEFT JOIN k USING (lang, source))",
+        "h AS MATERIALIZED (SELECT *, lang || chr(31) || source AS g FROM b)",
         f"f AS MATERIALIZED (SELECT {plain} FROM h WHERE NOT base_failed)",
         "e AS MATERIALIZED (SELECT g, " + ", ".join(f"quantile_cont(x_{a}, 0.5) AS med_{a}" for a in AXES) + " FROM f GROUP BY g)",
         "a AS (SELECT g, " + ", ".join(f"any_value(med_{a}) AS med_{a}, quantile_cont(abs(x_{a} - med_{a}), 0.5) AS mad_{a}" for a in AXES) + " FROM f JOIN e USING (g) GROUP BY g)",

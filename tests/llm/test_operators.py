@@ -222,6 +222,15 @@ def test_quality_rules(odd, empty, docs):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_quality_rules_of_small_groups(spark):
+    """A source of three rows is estimated by itself, and so is one of a single row."""
+    plain = " ".join(f"word{i}" for i in range(40))
+    odd_one = " ".join(f"#${i}%&|" for i in range(40))
+    rows = [(1, plain, "en", "three"), (2, plain + " more", "en", "three"), (3, odd_one, "en", "three"), (4, odd_one, "en", "alone"), (5, odd_one, "en", "pair"), (6, odd_one + " x", "en", "pair")]
+    out = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert out == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True}
+
+
 def test_robust_distances(spark):
     """Centre, scatter and verdicts of one group against the same steps in numpy."""
     rng = np.random.default_rng(3)
