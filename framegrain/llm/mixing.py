@@ -4,14 +4,14 @@ Every document gets an exponential key -ln(u)/w (Efraimidis and Spirakis), w bei
 u a uniform number derived from its id. A source whose target exceeds its size is taken in complete epochs
 first; what is left of the target goes to the documents with the smallest keys, by a prefix sum of sizes.
 
-The prefix sum is two-level. Sizes are summed by (source, key bin) with about sqrt(n) bins, the bin in which
-the budget ends is found for each source, and only that bin's rows are sorted: no task sorts a source.
+The prefix sum has several levels. Sizes are summed by (source, key bin), the bin in which the budget ends is
+found for each source, and that bin's range of keys is cut into bins again until it holds few rows: no task
+sorts a source, whatever the weights do to its keys. Rows alike in key, id and size are one entry; which of
+them are taken is arithmetic.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +21,9 @@ from framegrain.llm.common import SEED, n_words, written
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
+#: Bins of a level, and rows of a source's last bin that are sorted.
+BINS = 1_024
+EDGE_ROWS = 100_000
 #: Characters that lower a document's weight.
 _NOISE = "0123456789#*$%&|<>!@^~_=+{}[]\\/"
 
@@ -62,14 +65,49 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> D
     return t.select("source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_at") * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def _borders(base: DataFrame, plan: DataFrame, edge_rows: int) -> DataFrame:
+    """(cut_source, lo, hi, before): the range of keys [lo, hi] in which a source's budget ends and the sizes below it.
+
+    Each level sums sizes by equal parts of the range, of 1 - exp(-key) first and of the key then, and goes on
+    with the part that holds the end. It ends when such a part has few rows or keys that are all alike.
+    """
+    spread = base.groupBy("source").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    found = plan.join(spread.withColumnRenamed("source", "_s"), _same("source", "_s")).select(F.col("source").alias("cut_source"), "lo", "hi", F.lit(0).cast("long").alias("before"), "budget")
+    part = F.floor(F.lit(BINS) * (1 - F.exp(-F.col("key"))))
+    while True:
+        rows = base.join(found, _same("source", "cut_source")).filter((F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi")))
+        bins = rows.withColumn("bin", F.least(part, F.lit(BINS - 1)).cast("int")).groupBy("cut_source", "bin", "before", "budget")
+        bins = bins.agg(F.sum("size").alias("bin_size"), F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        upto = F.col("before") + F.sum("bin_size").over(W.partitionBy("cut_source").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
+        at = bins.withColumn("before", upto - F.col("bin_size")).filter((F.col("before") <= F.col("budget")) & (F.col("budget") < F.col("before") + F.col("bin_size")))
+        found = written(at.select("cut_source", "lo", "hi", "before", "budget", "n"), "mix-range")
+        if found.filter((F.col("n") > edge_rows) & (F.col("lo") < F.col("hi"))).isEmpty():
+            return found.drop("n", "budget")
+        part = F.when(F.col("hi") > F.col("lo"), F.floor(F.lit(BINS) * (F.col("key") - F.col("lo")) / (F.col("hi") - F.col("lo")))).otherwise(F.lit(0))
+
+
+def _numbered_alike(rows: DataFrame) -> DataFrame:
+    """rows with `nth`, from 0 within their source, in order of their task and place: counts by task are summed, rows stay."""
+    placed = written(rows.withColumn("_m", F.monotonically_increasing_id()), "mix-alike").withColumn("_t", F.shiftright("_m", 33))
+    tasks = placed.groupBy("source", "_t").agg(F.count(F.lit(1)).alias("_n"))
+    order = W.partitionBy("source").orderBy("_t").rowsBetween(W.unboundedPreceding, 0)
+    tasks = tasks.select(F.col("source").alias("_s"), F.col("_t").alias("_u"), (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("source", "_t").orderBy("_m")) - 1
+    return placed.join(tasks, _same("source", "_s") & (F.col("_t") == F.col("_u"))).withColumn("nth", F.col("_before") + inside).drop("_m", "_t", "_s", "_u", "_before")
+
+
 def mix(df: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed: int = SEED, weight: Column | None = None,
-        id_col="doc_id", text_col="text", source_col="source", keep: tuple[str, ...] = ()) -> DataFrame:
+        id_col="doc_id", text_col="text", source_col="source", keep: tuple[str, ...] = (), edge_rows: int = EDGE_ROWS) -> DataFrame:
     """One row for each input row: doc_id, source, size, source_size, target, copies, taken and the columns in `keep`.
 
     Null and blank texts have size 0 and are never taken. Null is a source of its own, last in order. The
     last document of the partial pass enters when at least half of it fits, so a source misses its target
-    by half a document at most. Rows of equal id share one random number and are ordered by size. An empty
-    input gives an empty result.
+    by half a document at most. Rows of equal id share one random number and are ordered by size; of rows
+    alike in both, as many are taken as fit. An empty input gives an empty result.
     """
     text = F.col(text_col)
     w = quality_weight(text) if weight is None else weight
@@ -79,29 +117,33 @@ def mix(df: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed: int = SEED,
         "mix",
     )
     kept = [F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)]
-    bins = max(1, math.ceil(math.sqrt(base.count())))
-    base = base.withColumn("bin", F.least(F.floor(F.lit(bins) * (1 - F.exp(-F.col("key")))), F.lit(bins - 1)).cast("int"))
-    sums = base.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, cap)
+    narrow = base.select("source", "key", "doc_id", "size")
+    targets = source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     plan = targets.select(
         "source", "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long").alias("epochs"),
     ).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-    prefix = sums.withColumn("before", F.sum("bin_size").over(W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)) - F.col("bin_size"))
-    cuts = (
-        prefix.alias("p").join(plan.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
-        .filter((F.col("before") <= F.col("budget")) & (F.col("budget") < F.col("before") + F.col("bin_size")))
-        .select(F.col("t.source").alias("cut_source"), F.col("bin").alias("cut"), F.col("before").alias("cut_before"))
-    )
-    plan = written(plan.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source").withColumnRenamed("source", "plan_source"), "mix-plan")
-    rows = base.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
-    # Without a cut, a source that fills its budget exactly has it in full epochs and takes no more.
-    whole = rows.filter(F.col("cut").isNull() | (F.col("bin") != F.col("cut"))).withColumn("extra", F.coalesce((F.col("bin") < F.col("cut")), F.lit(False)))
-    edge = rows.filter(F.col("bin") == F.col("cut"))
+    plan = written(plan, "mix-targets")
+    ranges = _borders(narrow, plan, edge_rows)
+    plan = plan.join(ranges, _same("source", "cut_source"), "left").drop("cut_source")
+    # In the last range, documents in order; the last of them that enters, and how many of the rows alike do.
+    inside = narrow.join(plan.select(F.col("source").alias("plan_source"), "lo", "hi", "before", "budget"), _same("source", "plan_source")).filter((F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi")))
+    entries = inside.groupBy("source", "key", "doc_id", "size", "before", "budget").agg(F.count(F.lit(1)).alias("n"))
+    mass = F.col("size") * F.col("n")
     order = W.partitionBy("source").orderBy("key", F.asc_nulls_last("doc_id"), "size").rowsBetween(W.unboundedPreceding, 0)
-    before = F.col("cut_before") + F.sum("size").over(order) - F.col("size")
-    edge = edge.withColumn("extra", 2 * before + F.col("size") <= 2 * F.col("budget"))
-    out = whole.unionByName(edge).withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + F.col("extra").cast("long")).otherwise(F.lit(0)).cast("long"))
+    entries = entries.withColumn("start", F.col("before") + F.sum(mass).over(order) - mass)
+    left = 2 * F.col("budget") - 2 * F.col("start") - F.col("size")
+    entries = entries.filter(left >= 0).withColumn("fit", F.when(F.col("size") > 0, F.least(F.col("n"), F.floor(left / (2 * F.col("size"))).cast("long") + 1)).otherwise(F.col("n")))
+    place = F.struct("key", F.col("doc_id").isNull().alias("none"), "doc_id", "size")
+    last = entries.groupBy("source").agg(F.max(F.struct(place.alias("place"), "fit", "n")).alias("last")).select(F.col("source").alias("cut_source"), "last")
+    plan = written(plan.join(last, _same("source", "cut_source"), "left").drop("cut_source").withColumnRenamed("source", "plan_source"), "mix-plan")
+    rows = base.join(plan, _same("source", "plan_source")).drop("plan_source").withColumn("at", place)
+    # Without a range, a source that fills its budget exactly has it in full epochs and takes no more.
+    first = F.when(F.col("lo").isNull(), False).when(F.col("last").isNull(), F.col("key") < F.col("lo")).otherwise(F.col("at") <= F.col("last.place"))
+    rows = rows.withColumn("extra", first)
+    split = F.coalesce((F.col("at") == F.col("last.place")) & (F.col("last.fit") < F.col("last.n")), F.lit(False))
+    alike = _numbered_alike(rows.filter(split)).withColumn("extra", F.col("nth") < F.col("last.fit")).drop("nth")
+    out = rows.filter(~split).unionByName(alike).withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + F.col("extra").cast("long")).otherwise(F.lit(0)).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *kept)
 
 
