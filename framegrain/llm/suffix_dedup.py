@@ -15,9 +15,9 @@ corpus own no repeated window. For the others:
    the left. Windows at offset o before their anchors are equal exactly when both agree, to o bytes left and
    length - o bytes right, which is a comparison of class numbers for each o.
 
-Anchors that share one substring more than `hot` times compare digests of the windows they own instead,
-counted by Spark: no task gets such a group. Windows that repeat within one text are found there and only
-their first copy goes on, so periodic texts don't multiply anchors.
+Anchors that share one substring more than `hot` times compare 256-bit digests of the windows they own
+instead, counted by Spark: no task gets such a group. Windows that repeat within one text are found there,
+compared byte by byte, and only their first copy goes on, so periodic texts don't multiply anchors.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ LENGTH = 400
 GRAM = 64
 #: Bytes of text whose windows are handled at once; positions take 20 bits.
 CHUNK = 1 << 19
-PART_ROWS = 20_000
-HOT_ROWS = 100_000
+#: Bytes of suffixes that a reducer merges, about, and rows with one leading substring that it merges at most.
+PART_BYTES = 8 << 20
+HOT_ROWS = 50_000
 #: Suffixes that a task holds before it writes a run.
 RUN_BYTES = 32 << 20
 
@@ -80,6 +81,33 @@ def _window_hashes(buf: np.ndarray, length: int) -> np.ndarray:
     return mix64(parts)
 
 
+def window_classes(text: bytes, length: int) -> np.ndarray:
+    """A number for each window of the text, equal exactly where the bytes are.
+
+    Hashes say which windows to compare; each is compared with the first of its hash, neighbours at one
+    distance in one comparison. Where a hash holds different windows, they are told apart by their bytes.
+    """
+    h = _window_hashes(np.frombuffer(text, np.uint8), length)
+    _, first, classes = np.unique(h, return_index=True, return_inverse=True)
+    first = first[classes]
+    at = np.flatnonzero(first != np.arange(len(h)))
+    apart = at - first[at]
+    order = np.lexsort((at, apart))
+    at, apart = at[order], apart[order]
+    cut = np.flatnonzero(np.concatenate(([True], (apart[1:] != apart[:-1]) | (at[1:] != at[:-1] + 1)))) if len(at) else at
+    mixed: set[int] = set()
+    for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(at)], strict=False):
+        lo, hi, d = int(at[x]), int(at[y - 1]) + length, int(apart[x])
+        if text[lo:hi] != text[lo - d : hi - d]:
+            mixed.update(classes[at[x:y]].tolist())
+    if mixed:
+        names: dict[bytes, int] = {}
+        top = int(classes.max()) + 1
+        for i in np.flatnonzero(np.isin(classes, list(mixed))).tolist():
+            classes[i] = names.setdefault(text[i : i + length], top + len(names))
+    return classes
+
+
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     """(owner, key, a, s, e, repeats): anchors of the windows of each text, and window starts [lo, hi] that
     repeat within a text, as rows (owner, lo, hi). Positions count from the start of the text."""
@@ -125,9 +153,8 @@ def _anchors(pieces, length, gram):
     again = (value[at[cut]][pair][1:] == value[at[cut]][pair][:-1]) & (piece[cut][pair][1:] == piece[cut][pair][:-1])
     begin = np.cumsum(counts) - counts
     for k in np.unique(piece[cut][pair][1:][again]):
-        h = _window_hashes(buf[first[k] : first[k] + sizes[k]], length)
-        _, where, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-        once = np.zeros(len(h), bool)
+        _, where, inverse, n = np.unique(window_classes(pieces[k][2], length), return_index=True, return_inverse=True, return_counts=True)
+        once = np.zeros(len(inverse), bool)
         once[where] = True
         keep[begin[k] : begin[k] + counts[k]] = once
         twice = np.concatenate(([0], (n > 1)[inverse].astype(np.int8), [0]))
@@ -275,7 +302,7 @@ def _runs(rows, parts: int, length: int):
 MARKS = "d1 long, d2 long, lo int, hi int"
 
 
-def repeated_windows(df: DataFrame, length: int = LENGTH, gram: int = GRAM, part_rows: int = PART_ROWS, hot: int = HOT_ROWS) -> DataFrame:
+def repeated_windows(df: DataFrame, length: int = LENGTH, gram: int = GRAM, part_bytes: int = PART_BYTES, hot: int = HOT_ROWS) -> DataFrame:
     """Window starts [lo, hi] of (d1, d2) that repeat; df has d1, d2 and text."""
     spark = df.sparkSession
     docs = df.select("d1", "d2", F.col("text").cast("string").alias("text"))
@@ -294,8 +321,8 @@ def repeated_windows(df: DataFrame, length: int = LENGTH, gram: int = GRAM, part
     local = found.filter("a < 0").select("d1", "d2", F.col("s").alias("lo"), F.col("e").alias("hi"))
     shared = found.filter("a >= 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     some = written(found.filter("a >= 0").join(shared, "key"), "shared-anchors")
-    total = some.count()
-    parts = max(1, total // part_rows)
+    total = some.agg(F.coalesce(F.sum(F.col("e") - F.col("s") + length), F.lit(0))).first()[0]
+    parts = max(2 * spark.sparkContext.defaultParallelism, total // part_bytes)
     lists = some.groupBy("d1", "d2").agg(F.collect_set(F.struct("key", "a", "s", "e", (F.col("n") > hot).alias("hot"))).alias("at"))
     filled = spark.sparkContext.broadcast(bloom_bits(some.select(F.col("d1").alias("k"))))
 
@@ -369,7 +396,7 @@ def _by_window(picked, cut, length) -> DataFrame:
 
         rows = []
         for x, y, _, _, s, e, t in cut(batches, True):
-            rows += [(x, y, i, hashlib.blake2b(t[i : i + length], digest_size=16).digest()) for i in range(s, e + 1)]
+            rows += [(x, y, i, hashlib.blake2b(t[i : i + length], digest_size=32).digest()) for i in range(s, e + 1)]
             if len(rows) > 50_000:
                 yield out(rows)
                 rows = []
@@ -392,8 +419,10 @@ def covered(intervals, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, part_rows: int = PART_ROWS, hot: int = HOT_ROWS, with_text: bool = False, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row for each input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (and the bytes kept, `kept`).
+def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, part_bytes: int = PART_BYTES, hot: int = HOT_ROWS, with_text: bool = False, id_col="doc_id", text_col="text") -> DataFrame:
+    """One row for each input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeat, spans (and the bytes kept, `kept`).
+
+    has_repeat: whether the text lost a byte.
 
     Texts are UTF-8 bytes, null is empty; texts shorter than `length` lose nothing. Rows that repeat a text
     are copies of each other like any others, also under one id. An empty input gives an empty result;
@@ -403,7 +432,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, part_r
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text", "doc_id").alias("d1"), F.xxhash64("doc_id", "text", F.lit(7)).alias("d2"), "text")
-    marks = repeated_windows(docs, length, gram, part_rows, hot)
+    marks = repeated_windows(docs, length, gram, part_bytes, hot)
     marks = written(marks.groupBy("d1", "d2").agg(F.collect_set(F.struct("lo", "hi")).alias("marks")), "marks")
     filled = spark.sparkContext.broadcast(bloom_bits(marks.select(F.col("d1").alias("k"))))
 
@@ -441,6 +470,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, part_r
 
     out = rows.join(marks, ["d1", "d2"], "left").select("doc_id", "n_bytes", "sha", "bytes", "marks")
     out = out.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:long,hi:long>>, kept binary")
+    out = out.withColumn("has_repeat", F.col("n_removed") > 0)
     return out if with_text else out.drop("kept")
 
 
