@@ -103,17 +103,20 @@ def compiled(intercept: float, rules, columns: dict[str, Column] | None = None)
 
 
 def labelled(rows: DataFrame, labels: DataFrame, target: str, sample: int, columns: list[str], seed: int = SEED) -> DataFrame:
-    """At most `sample` training rows (label not null, outside the held-out fold), chosen by hash of the id."""
+    """At most `sample` training rows (label not null, outside the held-out fold), chosen by hash of the id.
+
+    An id that several rows have counts once, with the smallest of their values.
+    """
     known = labels.filter(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.max(target).alias("_y")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
-    return rows.join(known, "doc_id").select("doc_id", "_y", *columns)
+    return rows.join(known, "doc_id").groupBy("doc_id").agg(F.min(F.struct("_y", *columns)).alias("_r")).select("doc_id", "_r.*")
 
 
 def score_quality(df: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE, threshold: float = 0.3, id_col="doc_id", text_col="text") -> DataFrame:
     """One row for each input row: doc_id, held_out, score, predicted.
 
     Null and empty texts have statistics of zero and are scored like any other. Without usable labels the
-    score is the smoothed prior. Repeated rows score alike; an empty input gives an empty result.
+    score is the smoothed prior. Repeated rows score alike and train once; an empty input gives an empty result.
     """
     rows = with_stats(df, text_col, [F.col(id_col).alias("doc_id")])
     rows = written(rows.select("doc_id", *[v.cast("double").alias(k) for k, v in features().items()]), "rules")

@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framegrain.llm.common import SEED, crc_fold, mix64
@@ -20,8 +21,9 @@ GRAMS = (3, 4, 5, 6)
 LOG2_BUCKETS = 17
 DIMS = 8
 EPOCHS, BATCH, RATE = 10, 16, 200.0
-#: Labelled rows of each class that the fit takes at most.
+#: Labelled rows of each class, and bytes of all their texts, that the fit takes at most.
 PER_CLASS = 1_000
+SAMPLE_BYTES = 32 << 20
 
 
 def gram_buckets(text: str) -> np.ndarray:
@@ -112,14 +114,20 @@ def logits(texts: list[str], weights: np.ndarray, intercept: float) -> np.ndarra
     return out
 
 
-def training_rows(df: DataFrame, labels: DataFrame, target: str, per_class: int, id_col: str, text_col: str, seed: int = SEED):
-    """(texts, labels, prior) of at most per_class rows of each class, chosen by hash of the id."""
+def training_rows(df: DataFrame, labels: DataFrame, target: str, per_class: int, id_col: str, text_col: str, seed: int = SEED, most_bytes: int = SAMPLE_BYTES):
+    """(texts, labels, prior) of at most per_class rows of each class and most_bytes of whole texts, chosen by hash of the id.
+
+    An id that several rows have counts once, with the first of its texts by hash and then by code point.
+    """
     known = labels.filter(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
     n, positive = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     by_hash = lambda v: known.filter(F.col("y") == v).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(per_class)
     chosen = by_hash(0).unionByName(by_hash(1))  # at most 2 * per_class ids
-    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    got = rows.collect()
+    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), "doc_id")
+    # Of a repeated id only hashes are compared while rows aggregate; equal hashes leave equal texts, but for collisions.
+    first = rows.groupBy("doc_id").agg(F.min_by(F.struct("t", "y"), F.struct(F.xxhash64("t"), "t")).alias("r")).select("doc_id", "r.t", "r.y")
+    upto = F.sum(F.octet_length("t")).over(W.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    got = first.withColumn("upto", upto).filter(F.col("upto") <= most_bytes).collect()  # a window over at most 2 * per_class rows
     got.sort(key=lambda r: r["doc_id"])
     return [r["t"] for r in got], np.array([r["y"] for r in got], float), (positive + 1.0) / (n + 2.0)
 
@@ -128,7 +136,8 @@ def score_toxicity(df: DataFrame, labels: DataFrame, target: str = "toxic", per_
     """One row for each input row: doc_id, held_out, score, predicted.
 
     Null, empty and very short texts have no n-grams and score by the intercept alone. Without usable labels
-    every score is the smoothed prior. Repeated rows score alike; an empty input gives an empty result.
+    every score is the smoothed prior. Repeated rows score alike, and a repeated id with different texts trains
+    with one of them, on any rerun the same; an empty input gives an empty result.
     """
     texts, y, prior = training_rows(df, labels, target, per_class, id_col, text_col)
     weights, intercept = fit(texts, y, prior)

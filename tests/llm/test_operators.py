@@ -76,6 +76,25 @@ def test_mixing(spark, odd, empty, docs):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_in_narrow_ranges(spark):
+    """Low weights, a repeated row with a third of a source, and last ranges of few rows: the same as one sort."""
+    rows = [(i, "w " * (1 + i % 7) + ("# " * 40 if i % 3 else ""), f"s{i % 2}") for i in range(400)] + [(7, "same words here", "s1")] * 150 + [(9, "", "s0")] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df, edge_rows=4).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(df).collect()))
+    for s in ("s0", "s1"):
+        mine = sorted((r for r in got if r.source == s), key=lambda r: (mixing_key(r.doc_id, next(t for i, t, c in rows if (i, c) == (r.doc_id, s) and len(words(t)) == r["size"])), r.doc_id, r["size"], -r.copies))
+        budget, epochs, before = mine[0].target - mine[0].source_size * (mine[0].target // mine[0].source_size), mine[0].target // mine[0].source_size, 0
+        for r in mine:
+            assert r.copies == (epochs + (2 * before + r["size"] <= 2 * budget) if r["size"] else 0)
+            before += r["size"]
+
+
+def mixing_key(doc_id, text):
+    u = (int(hashlib.md5(f"{mixing.SEED}:{doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    return -math.log(u) / (max(0.05, sum(c not in mixing._NOISE for c in text) / len(text)) if text else 1.0)
+
+
 # --- 2 -----------------------------------------------------------------------------------------------------
 
 
@@ -106,6 +125,19 @@ def test_jaccard_join(spark, odd, docs, tile):
         assert sum(r.kept for r in out) == len(set(roots))
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """A star, a chain and a clique beside single edges, with hubs met by broadcast and by shuffle."""
+    from framegrain.llm import graph
+
+    pairs = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1_000, 1_040)] + [(i, j) for i in range(2_000, 2_012) for j in range(i)if j >= 2_000] + [(i, i + 1) for i in range(5_000, 5_200, 2)] + [(7, 7)]
+    want = {n: (0 if n < 300 else 1_000 if n < 1_041 else 2_000 if n < 2_012 else n - n % 2) for p in pairs for n in p}
+    for share in (4, 2_000):
+        monkeypatch.setattr(graph, "HUB_SHARE", share)
+        edges = spark.createDataFrame(pairs, "a long, b long")
+        assert {r.node: r.component for r in connected_components(edges).collect()} == want
+    assert connected_components(edges.limit(0)).count() == 0
+
+
 def test_jaccard_parts(spark, empty):
     assert jaccard_join.jaccard_join(empty).count() == 0
     least = jaccard_join.least_matches(0.8, 1e-7)
@@ -149,6 +181,20 @@ def test_suffix_dedup(spark, hot, length, gram):
     assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == sorted(repeats([(t or "").encode() for _, t in rows], length))
 
 
+def test_windows_with_colliding_hashes(monkeypatch):
+    """Repeats inside a text are settled by bytes, also where all hashes collide."""
+    rng = np.random.default_rng(8)
+    text = bytes(rng.integers(97, 99, 300, dtype=np.uint8)) + b"ab" * 60 + b"a" * 40
+    exact = [text[i : i + 12] for i in range(len(text) - 11)]
+    whole = suffix_dedup.anchors([text], 12, 4)
+    honest = suffix_dedup._window_hashes
+    for mask in (2**64 - 1, 7, 0):
+        monkeypatch.setattr(suffix_dedup, "_window_hashes", lambda buf, length, mask=mask: honest(buf, length) & np.uint64(mask))
+        got = suffix_dedup.window_classes(text, 12).tolist()
+        assert len(set(zip(got, exact))) == len(set(got)) == len(set(exact))
+        assert repr(suffix_dedup.anchors([text], 12, 4)) == repr(whole)
+
+
 def test_suffix_dedup_tables(odd, empty, docs):
     for df in (docs, odd):
         rows = df.select("doc_id", "text").collect()
@@ -369,14 +415,30 @@ def _slow_merges(parts, usable):
 
 
 def test_toxicity(spark, odd, empty):
-    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
     out = toxicity.score_toxicity(read("documents"), read("labels"))
-    assert len(held_out(out, read("labels"), "toxic")) > 40 and all(0 <= r.score <= 1 for r in out.collect())
+    assert out.filter("score < 0 or score > 1").isEmpty()
+    pairs = held_out(out, read("labels"), "toxic")
+    found, clean = [p for y, p in pairs if y == 1], [p for y, p in pairs if y == 0]
+    assert len(found) > 50 and np.mean(found) > 0.8 and np.mean(clean) < 0.1
     rows = toxicity.score_toxicity(odd, read("labels").limit(0)).collect()
     assert len(rows) == len(ODD) and {r.score for r in rows} == {0.5}
     assert toxicity.score_toxicity(empty, read("labels")).count() == 0
 
 
+def test_training_rows_of_repeated_ids(spark):
+    """A labelled id that holds most rows trains once, with the same text on any partitioning, within the bytes allowed."""
+    texts = [f"text {i} of an id that is often repeated" for i in range(40)]
+    rows = [(1, t) for t in texts] + [(i, f"other text {i}") for i in range(2, 40)] + [(50, "x" * 5_000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in (*range(1, 40), 50)] + [(1, 1)] * 5, "doc_id long, toxic int")
+    got = [toxicity.training_rows(spark.createDataFrame(r, "doc_id long, text string").repartition(k), labels, "toxic", 100, "doc_id", "text", most_bytes=100_000) for r, k in ((rows, 1), (rows[::-1], 7))]
+    assert got[0][0] == got[1][0] and len(got[0][0]) == len(set(got[0][0])) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (*range(1, 40), 50))
+    few, y, _ = toxicity.training_rows(spark.createDataFrame(rows, "doc_id long, text string"), labels, "toxic", 100, "doc_id", "text", most_bytes=300)
+    assert sum(len(t) for t in few) <= 300 and len(few) == len(y)
+    stats = spark.createDataFrame([(1, float(i)) for i in range(40)] + [(2, 1.0)], "doc_id long, v double")
+    assert sorted(map(tuple, quality_classifier.labelled(stats, labels, "toxic", 10, ["v"]).collect())) in ([(1, 1, 0.0), (2, 0, 1.0)], [(1, 1, 0.0)], [(2, 0, 1.0)], [])
+
+
 def test_unseen_misspellings():
     rng = np.random.default_rng(0)
     plain = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]
