@@ -1,124 +1,152 @@
 """Operator 10: main text of web pages by minimum cut.
 
-A page is cut into blocks of text in page order. A linear classifier over each block's ancestors, names,
-links, length and punctuation gives the cost of calling it content or boilerplate: the terminal capacities.
-Neighbouring blocks, and blocks under one parent, are tied by smoothness edges. The minimum cut of that
-graph separates content from boilerplate. Pages are independent, so Spark maps over them in Arrow batches.
+A page is cut into blocks of text in page order. A logistic classifier over each block's ancestors, names,
+links, length and punctuation (`html_model`, fitted there) gives the log odds of content: the terminal
+capacities of a graph with one node for each block. Blocks that follow each other are tied the stronger the
+nearer they are in the tree of elements, and so are blocks under one parent; these edges are fitted on the
+same scale. The minimum cut of that graph separates content from boilerplate. Pages are independent, so Spark
+maps over them in Arrow batches.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose content is never text of the page.
-OPAQUE = frozenset("script style noscript template iframe object embed svg math canvas audio video textarea select button datalist head title".split())
+#: Elements whose content is never text of the page: code, head, raw text and what forms hold.
+OPAQUE = frozenset("script style template iframe head title textarea select datalist".split())
 #: Elements that end a block where they start and end.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements and words of class, id and role that mark what is not the article.
-SIDE_TAGS = frozenset("nav footer aside form menu dialog fieldset search".split())
+#: Words of class, id and role that speak for what is not the article; for lists that often hold articles of their own; for a
+#: state of what is inside; and for the article. What they count for is fitted, not set here.
 SIDE_WORDS = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead toolbar ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus reply replies respond reader search widget pager pagination copyright legal disclaimer skip tags tagcloud complementary contentinfo dialog navigation".split()
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead toolbar ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus reply replies respond reader search widget pager pagination copyright legal disclaimer skip tags tagcloud complementary contentinfo dialog".split()
 )
-#: Side words whose elements often hold articles of their own; words of a name that tell a state of what is inside.
 LIST_WORDS = frozenset("related recommended recommendations comment comments disqus reply replies respond".split())
 STATE_WORDS = frozenset("has with without no open closed enabled disabled".split())
 MAIN_TAGS = frozenset("article main".split())
 MAIN_WORDS = frozenset("article content main post entry story body text".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+)>|<[!?/][^>]*>""", re.S)
+TAG = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 STOPS = (".", "!", "?", "…", ":", ";", "\"", "”", "»", "。")
 
+#: What a block tells the classifier. whole, part, inner: an ancestor with a token of side words only, with one first or last, or
+#: with one further in; the same for words of lists.
+FEATURES = (
+    "bias", "words", "few_words", "many_words", "links", "stop", "paragraph", "heading", "item", "cell", "nav", "footer", "aside", "form", "site_header", "inner_header",
+    "main", "named", "whole", "part", "inner", "list_whole", "list_part", "list_inner", "sign", "first", "last",
+)
+WHOLE, PART, INNER = 0, 1, 2
+
+
+class Element(NamedTuple):
+    tag: str
+    number: int
+    form: int | None  # WHOLE, PART or INNER where a name has side words
+    listed: bool  # of a list
+    main: bool  # an article or main, or named like one
+    hidden: bool
+
 
-def _kind(tag: str, attrs: str) -> tuple[float, int, bool]:
-    """(evidence for boilerplate, rank of side words, hidden) that an element gives to the text below it.
+class Block(NamedTuple):
+    text: str
+    features: np.ndarray
+    parent: int
+    steps: int  # up and down the tree from the block before
 
-    Rank 1 is for side words, 2 for those of lists. They don't count in a name with a word of state, on html, body
-    and main, where they speak of the page, and on an article that has a name of main words only.
+
+@lru_cache(maxsize=4_096)
+def _named(tag: str, attrs: str) -> tuple[int | None, bool, bool, bool]:
+    """(form of side words, of a list, main, hidden) of an element.
+
+    Side words don't count in a token with a word of state, on html, body and main, where they speak of the page,
+    and on an article that has a name of main words only.
     """
-    side = 8.0 if tag in SIDE_TAGS else 0.0
-    main = -2.0 if tag in MAIN_TAGS else 0.0
-    hidden, rank, named, plain = False, 0, False, False
-    if attrs and not attrs.isspace():
-        for m in ATTRIBUTE.finditer(attrs):
-            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-                hidden = True
-            elif name in ("class", "id", "role"):
-                for part in value.split():
-                    words = {w.lower() for w in SPLIT.split(part) if w}
-                    if words & SIDE_WORDS:
-                        if not words & STATE_WORDS:
-                            rank = max(rank, 2 if words & LIST_WORDS else 1)
-                    elif words & MAIN_WORDS:
-                        named = True
-                        plain = plain or words <= MAIN_WORDS
-        if tag in ("html", "body", "main") or tag == "article" and plain:
-            rank = 0
-        main = 0.0 if rank else -2.0 if named else main
-    return side or main, rank, hidden
-
-
-def _side(rank: int, share: float, inside: int, around: bool, mains: int) -> float:
-    """Evidence from side words of an element with this share of the page's text and `inside` of the page's articles and mains.
+    form, listed, hidden, named, plain = None, False, False, False, False
+    for m in ATTRIBUTE.finditer(attrs):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
+            hidden = True
+        elif name in ("class", "id", "role"):
+            for part in value.split():
+                words = [w.lower() for w in SPLIT.split(part) if w]
+                side = [w in SIDE_WORDS for w in words]
+                if any(side):
+                    if not STATE_WORDS.intersection(words):
+                        new = WHOLE if all(side) else PART if side[0] or side[-1] else INNER
+                        if form is None or new <= form:
+                            listed = bool(LIST_WORDS.intersection(words)) or (listed and new == form)
+                            form = new
+                elif MAIN_WORDS.intersection(words):
+                    named = True
+                    plain = plain or MAIN_WORDS.issuperset(words)
+    if tag in ("html", "body", "main") or tag == "article" and plain:
+        form, listed = None, False
+    return form, listed, form is None and (named or tag in MAIN_TAGS), hidden
+
+
+def _apart(listed: bool, share: float, inside: int, around: bool, mains: int) -> float:
+    """How far an element with side words, with this share of the page's text and `inside` of its articles and mains, is a side.
 
     What holds the article, or nearly all text, is a wrapper around the page and not its side; beside an article
     nothing is.
     """
-    if rank == 1 and inside:
+    if not listed and inside:
         return 0.0
-    if mains > inside and (rank == 2 or not around):
-        return 8.0
-    return 8.0 * min(1.0, (1.0 if rank == 1 else 4.0) * (1.0 - share))
+    if mains > inside and (listed or not around):
+        return 1.0
+    return min(1.0, (4.0 if listed else 1.0) * (1.0 - share))
 
 
-def blocks(page: str) -> list[tuple[str, float, int]]:
-    """(text, cost of content minus cost of boilerplate, parent) of each block in page order."""
-    out: list[tuple[str, float, int]] = []
-    stack: list[tuple[str, int, float, float, bool, int]] = []  # tag, number, side, main, hidden, rank of side words
-    under: list[list[tuple[int, int]]] = []  # (number, rank) of the elements with side words around each block
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page in page order, without those of hidden elements."""
+    texts: list[str] = []
+    rows: list[list[float]] = []
+    tied: list[tuple[int, int]] = []
+    stack: list[Element] = []
+    under: list[list[Element]] = []  # elements with side words around each block
     held: dict[int, int] = {}  # characters in such an element; key 0: in the page
     inside: dict[int, int] = {}  # articles and mains in such an element; key 0: in the page
     around: set[int] = set()  # such elements that are inside an article or main
     parts: list[str] = []
-    linked = 0
-    link = 0
-    number = 0
-    links: list[str] = []
+    linked = link = number = depth = low = 0
 
     def end() -> None:
-        nonlocal linked
+        nonlocal linked, depth, low
         if parts:
             text = " ".join("".join(parts).split())
-            if text and not any(s[4] for s in stack):
-                side = max((s[2] for s in stack), default=0.0)
-                main = min((s[3] for s in stack), default=0.0)
-                tags = {s[0] for s in stack[-3:]}
-                if "header" in {s[0] for s in stack} and not main:
-                    side = 8.0
+            if text and not any(e.hidden for e in stack):
+                tags, near = {e.tag for e in stack}, {e.tag for e in stack[-3:]}
+                main = any(e.tag in MAIN_TAGS and e.main for e in stack)
                 words = text.count(" ") + 1
-                share = linked / max(1, len(text))
-                cost = side + main + (3.0 * share if share > 0.3 else 0.0)
-                cost += -1.5 if words >= 20 else 0.8 if words < 4 else -0.3
-                cost += -0.7 if text.endswith(STOPS) else 0.0
-                cost += -1.0 if tags & {"p", "h1", "h2", "blockquote", "pre"} else 0.4 if "li" in tags else 0.0
-                cost += 2.0 if "©" in text and words < 40 else 0.0
-                parent = stack[-2][1] if len(stack) > 1 else 0
-                out.append((text, cost, parent))
-                under.append([(s[1], s[5]) for s in stack if s[5]])
-                if not side:
-                    for k, _ in [(0, 0), *under[-1]]:
+                aside = not tags.isdisjoint(("nav", "menu", "footer", "aside", "form", "fieldset", "dialog", "search"))
+                rows.append([
+                    1.0, np.log1p(words), words < 4, words >= 20, linked / len(text), text.endswith(STOPS), not near.isdisjoint(("p", "pre", "blockquote")), not near.isdisjoint(("h1", "h2", "h3", "h4", "h5", "h6")),
+                    not near.isdisjoint(("li", "dt", "dd")), not near.isdisjoint(("td", "th")), not tags.isdisjoint(("nav", "menu")), "footer" in tags, "aside" in tags, not tags.isdisjoint(("form", "fieldset", "dialog", "search")),
+                    "header" in tags and not main, "header" in tags and main, main, any(e.main for e in stack), 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, "©" in text and words < 40, not texts, False,
+                ])
+                texts.append(text)
+                tied.append((stack[-2].number if len(stack) > 1 else 0, depth + len(stack) - 2 * min(low, len(stack))))
+                under.append([e for e in stack if e.form is not None])
+                depth = low = len(stack)
+                if not aside:
+                    for k in (0, *(e.number for e in under[-1])):
                         held[k] = held.get(k, 0) + len(text)
             parts.clear()
-        links.clear()
         linked = 0
 
     at, size = 0, len(page)
@@ -141,11 +169,11 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
         if tag in OPAQUE:
             if closing or m[3].endswith("/"):
                 continue
-            if tag in BLOCKS or tag in ("title", "head"):
+            if tag in ("title", "head"):
                 end()
-            low = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at) if tag != "head" else re.compile(r"</head\b[^>]*>|<body\b", re.I).search(page, at)
-            if low:
-                at = low.start() if low[0].lower().startswith("<body") else low.end()
+            close = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at) if tag != "head" else re.compile(r"</head\b[^>]*>|<body\b", re.I).search(page, at)
+            if close:
+                at = close.start() if close[0].lower().startswith("<body") else close.end()
             elif tag in ("script", "style", "textarea", "title"):
                 at = size
             parts.append(" ")
@@ -155,27 +183,34 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
             end()
             if closing:
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
+                    if stack[k].tag == tag:
                         del stack[k:]
                         break
             elif tag not in VOID:
-                if stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th")):
+                if stack and (stack[-1].tag == "p" or stack[-1].tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th")):
                     stack.pop()
-                kind, rank, hidden = _kind(tag, m[3])
+                low = min(low, len(stack))
+                form, listed, main, hidden = _named(tag, m[3].strip())
                 number += 1
-                if tag in MAIN_TAGS and not rank:
-                    for k in [0, *(s[1] for s in stack if s[5])]:
+                if tag in MAIN_TAGS and main:
+                    for k in (0, *(e.number for e in stack if e.form is not None)):
                         inside[k] = inside.get(k, 0) + 1
-                if rank and any(s[0] in MAIN_TAGS and not s[5] for s in stack):
+                if form is not None and any(e.tag in MAIN_TAGS and e.main for e in stack):
                     around.add(number)
-                stack.append((tag, number, max(kind, 0.0), min(kind, 0.0), hidden, rank))
+                stack.append(Element(tag, number, form, listed, main, hidden))
+            low = min(low, len(stack))
         elif tag == "br" or tag in VOID:
             parts.append(" ")
     end()
-    for i, (text, cost, parent) in enumerate(out):
-        if under[i]:
-            out[i] = (text, cost + max(_side(rank, held.get(k, 0) / max(1, held.get(0, 0)), inside.get(k, 0), k in around, inside.get(0, 0)) for k, rank in under[i]), parent)
-    return out
+    out = np.array(rows, float).reshape(-1, len(FEATURES))
+    first = FEATURES.index("whole")
+    for i, elements in enumerate(under):
+        for e in elements:
+            k = first + 3 * e.listed + e.form
+            out[i, k] = max(out[i, k], _apart(e.listed, held.get(e.number, 0) / max(1, held.get(0, 0)), inside.get(e.number, 0), e.number in around, inside.get(0, 0)))
+    if len(out):
+        out[-1, FEATURES.index("last")] = 1.0
+    return [Block(t, f, *x) for t, f, x in zip(texts, out, tied, strict=True)]
 
 
 def minimum_cut(cost: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -236,37 +271,51 @@ def minimum_cut(cost: list[float], edges: list[tuple[int, int, float]]) -> list[
     return [bool(s) for s in side]
 
 
-def smoothness(parents: list[int], near: float = 0.6, parent: float = 0.8, far: float = 0.2) -> list[tuple[int, int, float]]:
-    """Edges between neighbours (weaker across parents) and between a block and the last one under its parent."""
+def smoothness(found: list[Block], near: float, parent: float, decay: float) -> list[tuple[int, int, float]]:
+    """Edges between blocks that follow each other, `near` between siblings and less by `decay` for each further step
+    through the tree, and of `parent` between a block and the last one before it under its parent."""
     out, last = [], {}
-    for i, p in enumerate(parents):
+    for i, b in enumerate(found):
         if i:
-            out.append((i - 1, i, near if parents[i - 1] == p else far))
-        if p in last and last[p] != i - 1:
-            out.append((last[p], i, parent))
-        last[p] = i
+            out.append((i - 1, i, near * decay ** max(0, b.steps - 2)))
+        if b.parent in last and last[b.parent] != i - 1:
+            out.append((last[b.parent], i, parent))
+        last[b.parent] = i
     return out
 
 
-def main_text(page: str) -> str:
+def costs(found: list[Block], weights: np.ndarray) -> list[float]:
+    """Log odds of each block against content."""
+    return (-(np.array([b.features for b in found]) @ weights)).tolist() if found else []
+
+
+def labelled(found: list[Block], model) -> list[bool]:
+    """Which blocks are content."""
+    return minimum_cut(costs(found, model.weights), smoothness(found, *model.edges))
+
+
+def main_text(page: str, model=None) -> str:
+    from framegrain.llm.html_model import fitted
+
     found = blocks(page)
-    if not found:
-        return ""
-    keep = minimum_cut([b[1] for b in found], smoothness([b[2] for b in found]))
-    return "\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
+    return "\n".join(b.text for b, keep in zip(found, labelled(found, model or fitted()), strict=True) if keep)
 
 
 def extract(df: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
     """One row for each input row: page_id, url, text, n_chars.
 
     Null, empty and text-free pages give the empty text. Repeated rows are extracted alike; an empty input
-    gives an empty result. Markup that never closes ends with the page.
+    gives an empty result. Markup that never closes ends with the page. Hidden elements are not part of the text.
     """
+    from framegrain.llm.html_model import fitted
+
+    model = df.sparkSession.sparkContext.broadcast(fitted())  # some thirty numbers
+
     def task(batches):
         import pyarrow as pa
 
         for b in batches:
-            texts = [main_text(p) if p else "" for p in b.column(2).to_pylist()]
+            texts = [main_text(p, model.value) if p else "" for p in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framegrain.llm import exact_dedup, html_extract, jaccard_join, mixing, quality_classifier, quality_rules, sentencepiece, sharding, suffix_dedup, toxicity
+from framegrain.llm import exact_dedup, html_extract, html_model, jaccard_join, mixing, quality_classifier, quality_rules, sentencepiece, sharding, suffix_dedup, toxicity
 from framegrain.llm.common import bloom_bits, bloom_hit, shingle_sets
 from framegrain.llm.graph import connected_components
 from tests_llm_helpers import ODD, base_stats, lowered, near_groups, words
@@ -476,7 +476,7 @@ def test_extraction(spark, empty):
     assert html_extract.main_text(PAGE) == want
     rows = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "u", ""), (3, "u", "<p>"), (4, None, "<script>x"), (5, "u", "<div><p>" * 300 + "deep text of some words that ends here." + "<b"), (6, "u", "a < b & c")], "page_id long, url string, html string").withColumn("text", F.lit(1))
     out = {(r.page_id, r.text, r.n_chars) for r in html_extract.extract(rows).collect()}
-    assert out == {(1, want, len(want)), (None, "", 0), (2, "", 0), (3, "", 0), (4, "", 0), (5, "deep text of some words that ends here.<b", 41), (6, "a < b & c", 9)}
+    assert out == {(1, want, len(want)), (None, "", 0), (2, "", 0), (3, "", 0), (4, "", 0), (5, "deep text of some words that ends here.", 39), (6, "a < b & c", 9)}
     assert html_extract.extract(rows.limit(0)).count() == 0
 
 
@@ -501,12 +501,34 @@ def test_extraction_beside_long_sides():
     assert html_extract.main_text(f'<body><div class="page social"><div>{body}</div></div></body>').count("Paragraph") == 12
 
 
+def test_extraction_drops_only_what_is_no_text():
+    long = "This paragraph has enough words to look like a text that somebody wrote, and it ends here."
+    page = f"""<body><nav><a href=/>Home</a></nav><article><h1>Title of it</h1><p>See <math><mi>x</mi>+1</math> and <svg><text>a drawing</text></svg> now.</p><p>{long}</p>
+    <div class="entry-comments-guide"><p>{long} First.</p></div><div id="post-notice-board"><p>{long} Second.</p><p>Short.</p></div><noscript><p>Without scripts too.</p></noscript><p>Press <button>go</button> to start.</p>
+    <p>Tail<textarea>typed</textarea> of the <object>thing</object> end.</p></article><form><p>Your name please.</p><button>Send</button></form><footer>© 2024 Site</footer></body>"""
+    want = ["Title of it", "See x+1 and a drawing now.", long, f"{long} First.", f"{long} Second.", "Short.", "Without scripts too.", "Press go to start.", "Tail of the thing end."]
+    assert html_extract.main_text(page) == "\n".join(want)
+    for broken in ("<p>Some words here, then an open tag.</p><a href='x", "<p>Some words here, then an open tag.</p><b", "<p>Some words here, then an open tag.<!-- x"):
+        assert html_extract.main_text(broken) == "Some words here, then an open tag."
+
+
+def test_cut_mends_what_the_classifier_gets_wrong():
+    """On drawn pages that no fit has seen, the cut changes verdicts and leaves fewer wrong ones."""
+    model, pages = html_model.fitted(), html_model.drawn(200, 77)
+    n = sum(len(y) for _, y in pages)
+    alone, cut = html_model.errors(pages, model.weights, [(0.0, 0.0, 0.5), model.edges])
+    assert cut < alone and cut < 0.01 * n
+    changed = sum(a != b for found, _ in pages for a, b in zip(html_extract.labelled(found, model), html_extract.labelled(found, html_model.Model(model.weights, (0.0, 0.0, 0.5)))))
+    assert changed > 10
+
+
 def test_minimum_cut_against_all_labellings():
     rng = np.random.default_rng(7)
     for _ in range(150):
         n = int(rng.integers(1, 9))
         cost = [float(c) for c in rng.normal(0, 1.2, n)]
-        edges = html_extract.smoothness([int(p) for p in rng.integers(0, 3, n)])
+        found = [html_extract.Block("", np.zeros(1), int(p), int(k)) for p, k in zip(rng.integers(0, 3, n), rng.integers(2, 6, n))]
+        edges = html_extract.smoothness(found, 0.7, 0.8, 0.6)
         value = lambda keep: sum(c for c, k in zip(cost, keep) if k and c > 0) + sum(-c for c, k in zip(cost, keep) if not k and c < 0) + sum(w for a, b, w in edges if keep[a] != keep[b])  # noqa: B023, E731
         best = min(value([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
         assert value(html_extract.minimum_cut(cost, edges)) == pytest.approx(best, abs=1e-9)
