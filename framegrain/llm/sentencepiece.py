@@ -3,12 +3,13 @@
 Texts fall into units (a run of word marks and what follows it, up to the next mark, tab or line end):
 no piece of such a vocabulary crosses a unit's border, so a text's ids are its units' ids in order.
 
-For the units that are frequent in the corpus, Spark explodes every substring up to the longest piece,
-equi-joins the substrings to the piece table, groups the edges by unit and folds each unit's lattice with
-the higher-order function `aggregate`: Viterbi for unigram models, the merges in the model's order for BPE
-models (whose ids the best-scoring path does not give). Frequent means at least total / DICTIONARY
-occurrences, so the resulting dictionary has at most DICTIONARY entries and is broadcast. Tasks then walk
-through whole texts; a unit outside the dictionary is folded where it is met, by the same rules.
+Spark explodes every substring of a unit up to the longest piece, equi-joins the substrings to the piece table,
+groups the edges by unit and folds each unit's lattice with the higher-order function `aggregate`: Viterbi for
+unigram models, the merges in the model's order for BPE models (whose ids the best-scoring path does not give).
+
+`encode` and `round_trip` do so for the most frequent units of the corpus, as many as a broadcast dictionary of
+DICTIONARY entries holds; tasks then walk through whole texts, and fold a unit outside the dictionary where they
+meet it, by the same rules. `encode_relational` does it for every unit and joins the ids back to the texts.
 """
 
 from __future__ import annotations
@@ -24,16 +25,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framegrain.llm.common import written
+from framegrain.llm.textstats import let
 
 MARK = "▁"
 #: Characters that no piece contains (checked when a model is read); each is a unit of its own.
 BLANK = "\t\n"
 UNIT = f"{MARK}+[^{MARK}{BLANK}]*|[^{MARK}{BLANK}]+|[{BLANK}]"
-DICTIONARY = 1 << 17
+DICTIONARY = 1 << 18
 #: Units that a task remembers besides the dictionary: the first ones that it meets, so mostly frequent ones.
-REMEMBERED = 200_000
-#: Unit length from which merges are replayed with a heap, and beyond which a unit is left to the tasks.
+REMEMBERED = 100_000
+#: Unit length beyond which merges are replayed with a heap, by the tasks: the fold in Spark grows with the cube of the length.
 LONG = 40
+#: An edge from i to j has the key i * SPAN + j; units in the lattice are shorter.
+SPAN = 1 << 15
 #: Characters of text whose units are folded together.
 CHUNK = 1 << 20
 
@@ -317,26 +321,44 @@ class Units(dict):
 # --- the relational lattice --------------------------------------------------------------------------------
 
 
-def frequent_units(df: DataFrame, model: Model, text_col: str, dictionary: int = DICTIONARY) -> DataFrame:
-    """(unit): those that occur at least twice and at least total / dictionary times; at most `dictionary` rows."""
-    text = F.col(text_col)
+def units_of(text: Column, model: Model) -> Column:
+    """The units of a text, in order."""
     if model.squeeze:
         text = F.btrim(F.regexp_replace(text, " +", " "), F.lit(" "))
     text = F.translate(F.concat(F.lit(" " if model.prefix else ""), text), " ", MARK)
-    units = df.filter(F.length(F.col(text_col)) > 0).select(F.explode(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))).alias("unit"))
+    return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
+
+
+def frequent_units(df: DataFrame, model: Model, text_col: str, dictionary: int = DICTIONARY) -> DataFrame:
+    """(unit): the most frequent of those that occur twice or more; at most `dictionary` rows.
+
+    Where to cut is read off a histogram of the counts' logarithms (some thousand rows at any size).
+    """
+    units = df.filter(F.length(F.col(text_col)) > 0).select(F.explode(units_of(F.col(text_col), model)).alias("unit"))
     counts = written(units.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "units")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return counts.filter((F.col("n") >= total / dictionary) & (F.length("unit") <= LONG)).select("unit")
+    grade = F.floor(64 * F.log2("n"))
+    least, held = None, 0
+    for g, n in counts.groupBy(grade.alias("g")).agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("g")).collect():
+        held += n
+        if held > dictionary:
+            break
+        least = g
+    return counts.filter((grade >= least if least is not None else F.lit(False)) & (F.length("unit") <= LONG)).select("unit")
 
 
 def _merge_lattice(n: Column, edges: Column) -> Column:
     """Borders of the pieces: those that remain when merges have removed all others they can."""
-    def step(borders: Column, _: Column) -> Column:
-        ready = F.filter(edges, lambda e: (F.array_position(borders, e["i"]) > 0) & (F.get(borders, F.array_position(borders, e["i"]).cast("int") + 1) == e["j"]))
-        best = F.array_max(F.transform(ready, lambda e: F.struct(e["score"].alias("score"), (-e["i"]).alias("at"), F.get(borders, F.array_position(borders, e["i"]).cast("int")).alias("mid"))))
-        return F.when(best.isNull(), borders).otherwise(F.array_remove(borders, best["mid"]))
+    tables = F.struct(F.transform(edges, lambda e: e["i"] * SPAN + e["j"]).alias("keys"), F.transform(edges, lambda e: e["score"]).alias("scores"))
+
+    def fold(t: Column) -> Column:
+        def step(borders: Column, _: Column) -> Column:
+            score = lambda b, k: F.get(t["scores"], F.array_position(t["keys"], b * SPAN + F.get(borders, k + 2)).cast("int") - 1)
+            pairs = F.transform(F.slice(borders, F.lit(1), F.greatest(F.size(borders) - 2, F.lit(0))), lambda b, k: F.struct(score(b, k).alias("score"), (-k).alias("at")))
+            return let(F.array_max(pairs), lambda best: F.when(best["score"].isNull(), borders).otherwise(F.array_remove(borders, F.get(borders, 1 - best["at"]))))
+
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), step)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), step)
+    return let(tables, fold)
 
 
 def _viterbi_lattice(n: Column, edges: Column, penalty: float) -> Column:
@@ -357,7 +379,7 @@ def _viterbi_lattice(n: Column, edges: Column, penalty: float) -> Column:
 
 
 def lattice_ids(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, ids) for distinct units of at most LONG characters."""
+    """(unit, ids) for distinct units, which should be short: the fold of one grows with the cube of its length."""
     spark, usable = units.sparkSession, model.usable()
     table = spark.createDataFrame([(p, i, float(s)) for p, (i, s) in usable.items()], "piece string, id int, score double")
     longest = max(map(len, usable))
@@ -376,15 +398,17 @@ def lattice_ids(units: DataFrame, model: Model) -> DataFrame:
         code = F.hex(F.encode(char, "UTF-8"))
         return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int") + model.first_byte)
 
-    def piece_ids(b: Column) -> Column:
+    tables = F.struct(borders.alias("b"), F.transform("edges", lambda e: e["i"] * SPAN + e["j"]).alias("keys"), F.transform("edges", lambda e: e["id"]).alias("ids"))
+
+    def piece_ids(t: Column) -> Column:
         def one(i: Column, k: Column) -> Column:
-            j = F.get(b, k + 1)
-            known = F.get(F.filter(F.col("edges"), lambda e: (e["i"] == i) & (e["j"] == j)), 0)["id"]
-            return F.when(known.isNotNull(), F.array(known)).otherwise(bytes_of(F.substring("unit", i + 1, j - i)))
+            j = F.get(t["b"], k + 1)
+            known = F.get(t["ids"], F.array_position(t["keys"], i * SPAN + j).cast("int") - 1)
+            return let(known, lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(bytes_of(F.substring("unit", i + 1, j - i))))
 
-        return F.flatten(F.transform(F.slice(b, F.lit(1), F.size(b) - 1), one))
+        return F.flatten(F.transform(F.slice(t["b"], F.lit(1), F.size(t["b"]) - 1), one))
 
-    return lattice.withColumn("borders", borders).select("unit", F.element_at(F.transform(F.array("borders"), piece_ids), 1).alias("ids"))
+    return lattice.select("unit", let(tables, piece_ids).alias("ids"))
 
 
 # --- whole texts -------------------------------------------------------------------------------------------
@@ -468,6 +492,32 @@ def encode(df: DataFrame, model: Model, text_col: str = "text", ids_col: str = "
     return df.select(*columns).mapInArrow(task, df.select(*columns).schema.add(ids_col, T.ArrayType(T.IntegerType())))
 
 
+def encode_relational(df: DataFrame, model: Model, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """The same as `encode` with the ids of every unit joined back by unit instead of looked up in a dictionary.
+
+    Each distinct unit is folded once: in the lattice, or beyond LONG characters by a task. Occurrences travel to
+    the units and back to their texts, so this moves the texts several times.
+    """
+    columns = [c for c in df.columns if c != ids_col]
+    rows = written(df.select(F.monotonically_increasing_id().alias("_row"), F.struct(*columns).alias("_all"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), "rows")
+    placed = rows.filter("_text != ''").select("_row", F.posexplode(units_of(F.col("_text"), model)).alias("_at", "unit"))
+    distinct = placed.select("unit").distinct()
+    held = df.sparkSession.sparkContext.broadcast(model)
+
+    def fold(batches):
+        import pyarrow as pa
+
+        known = Units(held.value, {})
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _id_lists([known[u] for u in b.column(0).to_pylist()])], ["unit", "ids"])
+
+    short = F.length("unit") <= LONG
+    ids = written(lattice_ids(distinct.filter(short), model).unionByName(distinct.filter(~short).mapInArrow(fold, "unit string, ids array<int>")), "unit-ids")
+    found = placed.join(ids, "unit").groupBy("_row").agg(F.collect_list(F.struct("_at", "ids")).alias("_ids"))
+    found = found.select("_row", F.flatten(F.transform(F.sort_array("_ids"), lambda x: x["ids"])).alias(ids_col))
+    return rows.join(found, "_row", "left").select("_all.*", F.coalesce(ids_col, F.array().cast("array<int>")).alias(ids_col))
+
+
 def decode(df: DataFrame, model: Model, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """df with the column `text_col`: the text of each row's ids.
 

@@ -366,10 +366,21 @@ def test_encoding_matches_library(spark, docs, odd, empty, model):
         assert len(out) == df.count()
         for r in out:
             assert r.ids == library.encode(r.text or "") and r.decoded == (r.text or "").replace("▁", " ")
+        joined = sentencepiece.encode_relational(df.select("doc_id", "text"), model).collect()
+        assert sorted(map(repr, joined)) == sorted(map(repr, sentencepiece.encode(df.select("doc_id", "text"), model).collect()))
     assert sentencepiece.encode(empty, model).count() == 0
     assert sentencepiece.encode(odd, model).columns.count("ids") == 1
 
 
+def test_frequent_units(spark, model):
+    """As many of the most frequent units as the dictionary holds."""
+    df = spark.createDataFrame([(" ".join(f"word{i}" for i in range(60) for _ in range(1 + i)),)], "text string")
+    for most, want in ((1_000, 59), (10, 10), (0, 0)):
+        got = {int(r.unit.removeprefix("▁word")) for r in sentencepiece.frequent_units(df, model, "text", most).collect()}
+        assert want - 1 <= len(got) <= max(want, 0) and got == set(range(60 - len(got), 60))
+    assert sentencepiece.frequent_units(df.limit(0), model, "text").count() == 0
+
+
 def best_path(unit, usable, penalty):
     """Highest total score by trying all paths."""
     if not unit:
