@@ -219,3 +219,71 @@ def forward_kinematics(joints: Column, chain: list[dict]) -> Column:
                 move = F.struct(vec((0, 0, 0)).alias("translation"), quaternion_to_matrix(turn).alias("rotation"))
             out = _moved(out, move)
     return out
+
+
+def pose_parts(pose: Column) -> Column:
+    """struct(position, rotation) of xyz and a quaternion."""
+    return F.struct(F.slice(pose, 1, 3).alias("position"), quaternion_to_matrix(F.slice(pose, 4, 4)).alias("rotation"))
+
+
+def pose_to_euler(pose: Column) -> Column:
+    """xyz and a quaternion as xyz and angles."""
+    return F.concat(F.slice(pose, 1, 3), matrix_to_euler(quaternion_to_matrix(F.slice(pose, 4, 4))))
+
+
+def difference_action(pose: Column, later: Column, gripper: Column, later_gripper: Column, t_scale: float, r_scale: float, g_scale: float) -> Column:
+    """Seven channels of the step between two poses, the gripper as a difference: translation, angles and gripper over their
+    scales, clipped to [-1, 1]."""
+    def steps(p: Column) -> Column:
+        delta = local_delta(p["a"]["position"], p["a"]["rotation"], p["b"]["position"], p["b"]["rotation"])
+        return bound(delta, lambda d: clipped(F.concat(scaled(d["translation"], F.lit(1 / t_scale)), scaled(matrix_to_euler(d["rotation"]), F.lit(1 / r_scale)), F.array((later_gripper - gripper) / g_scale))))
+
+    return bound(F.struct(pose_parts(pose).alias("a"), pose_parts(later).alias("b")), steps)
+
+
+def audit_fields(pose: Column, target: Column, gripper: Column, target_gripper: Column, joints: Column, target_joints: Column) -> Column:
+    """What an arm is at, is to be at, and the step between: rotations as six numbers, poses, grippers and joints, none normalised.
+
+    Joints of different numbers fail.
+    """
+    same = F.when(F.size(joints) != F.size(target_joints), F.raise_error(F.lit("joints differ in number")).cast("array<double>")).otherwise(minus(target_joints, joints))
+
+    def fields(p: Column) -> Column:
+        delta = local_delta(p["a"]["position"], p["a"]["rotation"], p["b"]["position"], p["b"]["rotation"])
+        return bound(delta, lambda d: F.struct(
+            matrix_to_six(p["a"]["rotation"]).alias("rotation_6d"), pose.alias("ee_pose"), gripper.alias("gripper"), matrix_to_six(p["b"]["rotation"]).alias("target_rotation_6d"),
+            matrix_to_six(d["rotation"]).alias("delta_rotation_6d"), target.alias("target_ee_pose"), F.concat(d["translation"], matrix_to_euler(d["rotation"])).alias("delta_xyz_euler"), target_gripper.alias("target_gripper"),
+            joints.alias("joints"), target_joints.alias("target_joints"), same.alias("delta_joints"),
+        ))
+
+    return bound(F.struct(pose_parts(pose).alias("a"), pose_parts(target).alias("b")), fields)
+
+
+def center(plane: Column, rows: int, columns: int, size: int) -> Column:
+    """The size x size cells in the middle of a flat plane of rows x columns; a plane of another shape fails."""
+    if not 0 < size <= min(rows, columns):
+        raise ValueError(f"size must be in 1..{min(rows, columns)}")
+    top, left = (rows - size) // 2, (columns - size) // 2
+    whole = F.when(F.size(plane) == rows * columns, plane).otherwise(F.raise_error(F.lit("plane has another shape")).cast("array<double>"))
+    return bound(whole, lambda p: F.flatten(F.array(*[F.slice(p, (top + r) * columns + left + 1, size) for r in range(size)])))
+
+
+def named_ranges(clip: Column, bounds: dict[str, tuple[int, int]], frames: int) -> Column:
+    """struct of the named ranges [start, stop) of a clip, an array of frames; a clip of another length fails."""
+    kind = F.when(F.size(clip) == frames, clip).otherwise(F.raise_error(F.lit("clip has another length")))
+    return bound(kind, lambda c: F.struct(*[F.slice(c, a + 1, b - a).alias(n) for n, (a, b) in bounds.items()]))
+
+
+def as_scalar(v: Column) -> Column:
+    """The element of an array of one; a longer array fails."""
+    return F.when(F.size(v) > 1, F.raise_error(F.lit("more than one element")).cast("double")).otherwise(F.get(v, F.lit(0)))
+
+
+def as_array(v: Column) -> Column:
+    return F.when(v.isNotNull(), F.array(v))
+
+
+def strided(plane: Column, rows: int, columns: int, most: int) -> Column:
+    """Every k-th row and column of a flat plane, with the smallest k that leaves at most `most` of the longer side."""
+    k = max(1, -(-max(rows, columns) // most))
+    return F.flatten(F.array(*[F.array(*[F.get(plane, F.lit(r * columns + c)) for c in range(0, columns, k)]) for r in range(0, rows, k)]))

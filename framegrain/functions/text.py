@@ -110,3 +110,8 @@ def structure(paths: Column) -> Column:
 
 def collection_name(date: Column, period: Column, outcome: Column) -> Column:
     return F.concat_ws("_", F.date_format(date, "MMdd"), F.lower(period), F.lower(outcome))
+
+
+def collapsed(name: Column) -> Column:
+    """A signal's name with each run of digits as one `#`, so that numbered signals fall together."""
+    return F.regexp_replace(name, "[0-9]+", "#")

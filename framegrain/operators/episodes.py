@@ -56,12 +56,54 @@ def absolute_actions(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("action", F.col(vector))
 
 
-#: How actions are made, by name.
-ENCODERS = {
-    "euler": lambda df, **k: local_actions(df, six=False, **k),
-    "six": lambda df, **k: local_actions(df, six=True, **k),
-    "absolute": absolute_actions,
-}
+def paired_actions(df: DataFrame, position: str, quaternion: str, target_position: str, target_quaternion: str, gripper: str, scales: tuple[float, float, float], six: bool = False) -> DataFrame:
+    """Adds `action`: the encoded step from a frame's pose to the target pose of the same frame."""
+    start, end = geometry.quaternion_to_matrix(F.col(quaternion)), geometry.quaternion_to_matrix(F.col(target_quaternion))
+    delta = geometry.local_delta(F.col(position), start, F.col(target_position), end)
+    return df.withColumn("_d", delta).withColumn("action", geometry.encode_action(F.col("_d"), F.col(gripper), *scales, six=six)).drop("_d")
+
+
+def joint_actions(df: DataFrame, joints: str, target_joints: str, chain: list[dict], gripper: str, scales: tuple[float, float, float], six: bool = False) -> DataFrame:
+    """Adds `action`: the encoded step from the pose that a frame's joints give to the one that its target joints give."""
+    rows = df.withColumn("_a", geometry.forward_kinematics(F.col(joints), chain)).withColumn("_b", geometry.forward_kinematics(F.col(target_joints), chain))
+    delta = geometry.local_delta(F.col("_a.position"), F.col("_a.rotation"), F.col("_b.position"), F.col("_b.rotation"))
+    return rows.withColumn("_d", delta).withColumn("action", geometry.encode_action(F.col("_d"), F.col(gripper), *scales, six=six)).drop("_a", "_b", "_d")
+
+
+#: How actions are made, by what they are made from and how they are encoded.
+STRATEGIES = {(name, kind): (lambda df, f=f, kind=kind, **k: f(df, six=kind == "six", **k)) for name, f in (("next_pose", local_actions), ("same_frame", paired_actions), ("joints", joint_actions)) for kind in ("euler", "six")}
+ENCODERS = {"euler": STRATEGIES["next_pose", "euler"], "six": STRATEGIES["next_pose", "six"], "absolute": absolute_actions}
+
+
+def proprio(df: DataFrame, position: str, quaternion: str, gripper: str, episode: str, order: list[str], low: list[float], high: list[float]) -> DataFrame:
+    """Adds `proprio`: position, sign-continuous unit quaternion and gripper, scaled to [-1, 1]; a value that is not finite fails."""
+    from framegrain.operators import frames, stats
+
+    rows = frames.continuous_quaternions(df.withColumn("_q", F.col(quaternion)), "_q", episode, order)
+    v = stats.scale_minmax(F.concat(position, "_q", F.array(gripper)), low, high)
+    wrong = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    checked = F.when(F.exists("_v", wrong), F.raise_error(F.lit("proprio is not finite")).cast("array<double>")).otherwise(F.col("_v"))
+    return rows.withColumn("_v", v).withColumn("proprio", checked).drop("_q", "_v")
+
+
+def first_episode_bounds(df: DataFrame, vector: str, episode: str, order: str, most: int = 5) -> DataFrame:
+    """(channel, n, min, max, mean, std) over the first `most` episodes in order only: a quick estimate."""
+    from framegrain.operators import stats
+
+    few = df.groupBy(episode).agg(F.min(order).alias("_o")).orderBy("_o", episode).limit(most).select(episode)
+    return stats.channel_stats(df.join(F.broadcast(few), episode, "left_semi"), vector, [])  # at most `most` rows
+
+
+def arm_report(df: DataFrame, predicted: str, target: str, threshold: float = 0.5, at=(1, 4, 8, 16), keys: tuple[str, ...] = ()) -> DataFrame:
+    """Means of one arm's errors over all frames of all chunks (arrays of ten channels), the share of grippers on the right
+    side of the threshold, and the errors of the frames at each of the places `at`."""
+    pairs = df.select(*keys, F.posexplode(F.arrays_zip(F.col(predicted).alias("p"), F.col(target).alias("t"))).alias("_k", "_v"))
+    rows = pairs.withColumn("_e", arm_errors(F.col("_v.p"), F.col("_v.t")))
+    side = lambda v: F.element_at(v, -1) >= threshold
+    names = ("translation", "rotation_degrees", "gripper")
+    cols = [F.avg(f"_e.{n}").alias(n) for n in names] + [F.avg((side(F.col("_v.p")) == side(F.col("_v.t"))).cast("double")).alias("gripper_accuracy")]
+    cols += [F.avg(F.when(F.col("_k") == h - 1, F.col(f"_e.{n}"))).alias(f"{n}_at_{h}") for h in at for n in names]
+    return rows.groupBy(*keys).agg(*cols)
 
 
 def arm_errors(predicted: Column, target: Column) -> Column:
@@ -168,3 +210,19 @@ def structural_similarity(df: DataFrame, keys: list[str], a: str, b: str, width:
             yield pdf[keys].assign(ssim=[one(x, y) for x, y in zip(pdf[a], pdf[b], strict=True)])
 
     return df.select(*keys, a, b).mapInPandas(task, schema)
+
+
+def position_differences(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """(keys, position, total, n, max_abs, different): two streams of arrays compared at each position, row by row."""
+    rows = df.select(*keys, F.posexplode(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b"))).alias("position", "_v"))
+    gap = F.abs(F.col("_v.a") - F.col("_v.b"))
+    return rows.groupBy(*keys, "position").agg(F.sum(gap).alias("total"), F.count(gap).alias("n"), F.max(gap).alias("max_abs"), F.sum((gap != 0).cast("long")).alias("different"))
+
+
+def kinematics_error(df: DataFrame, joints: str, recorded: str, chain: list[dict], episode: str, order: list[str], most: int = 200) -> DataFrame:
+    """(episode, frames, max_error, mean_error): distance of the chain's end from the recorded position, over at most `most` evenly spaced frames."""
+    from framegrain.operators.frames import evenly_spaced
+
+    rows = evenly_spaced(df, episode, order, F.least(F.lit(most).cast("long"), F.col("episode_length")))
+    gap = geometry.norm(geometry.minus(geometry.forward_kinematics(F.col(joints), chain)["position"], F.col(recorded)))
+    return rows.withColumn("_e", gap).groupBy(episode).agg(F.count(F.lit(1)).alias("frames"), F.max("_e").alias("max_error"), F.avg("_e").alias("mean_error"))

@@ -6,9 +6,13 @@ table of one row for each episode and joined back, so no task ever sees all fram
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framegrain.operators.ranges import running
+
 
 def _by(episode: str, *order: str) -> Window:
     return Window.partitionBy(episode).orderBy(*order)
@@ -25,10 +29,9 @@ def number_frames(df: DataFrame, episode: str, order: list[str]) -> DataFrame:
 
 def episode_bounds(df: DataFrame, episode: str) -> DataFrame:
     """(episode, length, from_index, to_index, dense_index): cumulative lengths in order of the episode's id."""
-    lengths = df.groupBy(episode).agg(F.count(F.lit(1)).alias("length"))
-    order = Window.orderBy(episode)
-    upto = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return lengths.select(episode, "length", (upto - F.col("length")).alias("from_index"), upto.alias("to_index"), (F.row_number().over(order) - 1).cast("long").alias("dense_index"))
+    lengths = running(df.groupBy(episode).agg(F.count(F.lit(1)).alias("length")), [episode], {"length": F.col("length")})
+    start = F.col("before_length").cast("long")
+    return lengths.select(episode, "length", start.alias("from_index"), (start + F.col("length")).alias("to_index"), F.col("number").alias("dense_index"))
 
 
 def global_index(frames: DataFrame, episode: str) -> DataFrame:
@@ -44,13 +47,11 @@ def bounds_by_change(df: DataFrame, order: str, episode: str) -> DataFrame:
     """
     before = df.select((F.col(order) + 1).alias(order), F.col(episode).alias("_before"), F.lit(True).alias("_has"))
     starts = df.select(order, episode).join(before, order, "left").filter(F.col("_has").isNull() | ~F.col("_before").eqNullSafe(F.col(episode)))
-    run = Window.orderBy(order)
-    end = F.coalesce(F.lead(order).over(run), F.lit(None).cast("long"))
+    runs = running(starts.select(order, episode), [order])
+    nxt = runs.select((F.col("number") - 1).alias("number"), F.col(order).alias("_to"))
     last = df.agg((F.max(order) + 1).alias("_n"))
-    return (
-        starts.select((F.row_number().over(run) - 1).alias("run"), episode, F.col(order).alias("from_index"), end.alias("to_index"))
-        .crossJoin(F.broadcast(last)).select("run", episode, "from_index", F.coalesce("to_index", "_n").alias("to_index"))
-    )
+    out = runs.join(nxt, "number", "left").crossJoin(F.broadcast(last))  # one row
+    return out.select(F.col("number").alias("run"), episode, F.col(order).alias("from_index"), F.coalesce("_to", "_n").alias("to_index"))
 
 
 def forward_chunk(column: str, size: int, episode: str, order: list[str]) -> Column:
@@ -99,13 +100,28 @@ def return_to_go(reward: str, episode: str, order: list[str]) -> Column:
     return F.sum(reward).over(_by(episode, *order).rowsBetween(0, Window.unboundedFollowing))
 
 
-def discounted_return(reward: str, gamma: float, episode: str, order: list[str]) -> Column:
-    """sum over later frames of gamma^distance * reward, as a fold from the end over the episode's tail.
+def discounted_returns(df: DataFrame, reward: str, gamma: float, episode: str, order: list[str], index: str | None = None, into: str = "discounted_return", block: int = 4_096) -> DataFrame:
+    """Adds the sum over this and later frames of gamma^distance * reward; `index` is a frame index from 0, if there is one.
 
-    Dividing a reverse sum of gamma^i * reward by gamma^t loses digits in long episodes; the fold does not.
+    Episodes are cut into blocks, so no task sees a whole episode's rewards. Within a block, gamma^place * reward
+    is summed up from the end, where terms are smallest, and divided by gamma^place; blocks are short enough for
+    that factor. What later blocks add is a discounted return over the blocks' own returns; where a block's factor
+    is below 1e-20, only the next block adds anything that a double can hold.
     """
-    ahead = F.collect_list(reward).over(_by(episode, *order).rowsBetween(0, Window.unboundedFollowing))
-    return F.aggregate(F.reverse(ahead), F.lit(0.0), lambda total, r: total * gamma + r)
+    if not 0 < gamma <= 1:
+        raise ValueError("gamma must be above 0 and at most 1")
+    width = block if gamma == 1 else max(1, min(block, int(230 / -math.log(gamma))))  # gamma^width stays above 1e-100
+    rows = df.withColumn("_at", F.col(index)) if index else number_frames(df, episode, order).withColumnRenamed("frame_index", "_at").drop("episode_length")
+    rows = rows.withColumn("_b", F.floor(F.col("_at") / width).cast("long")).withColumn("_k", F.pow(F.lit(float(gamma)), F.pmod(F.col("_at"), F.lit(width))))
+    back = Window.partitionBy(episode, "_b").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_g", F.sum(F.col(reward) * F.col("_k")).over(back) / F.col("_k"))
+    heads = rows.filter(F.pmod(F.col("_at"), F.lit(width)) == 0).select(episode, "_b", "_g")
+    step = float(gamma) ** width
+    if step > 1e-20:
+        heads = discounted_returns(heads, "_g", step, episode, ["_b"], "_b", "_g1", block).select(episode, "_b", F.col("_g1").alias("_g"))
+    later = heads.select(episode, (F.col("_b") - 1).alias("_b"), F.col("_g").alias("_later"))
+    left = F.when(F.col("_later").isNull(), F.lit(0.0)).otherwise(F.col("_later") * step / F.col("_k"))
+    return rows.join(later, [episode, "_b"], "left").withColumn(into, F.col("_g") + left).drop("_at", "_b", "_k", "_g", "_later")
 
 
 def terminal_return(reward: Column, gamma: float, episode: str, order: list[str]) -> Column:
@@ -158,7 +174,7 @@ def latest_record(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 def first_seen_codes(df: DataFrame, column: str, order: str, reserve: int = 0) -> DataFrame:
     """(column, code): dense codes in order of first appearance, from `reserve`."""
     seen = df.groupBy(column).agg(F.min(order).alias("first_seen"))
-    return seen.withColumn("code", (F.row_number().over(Window.orderBy("first_seen", column)) - 1 + reserve).cast("long"))
+    return running(seen, ["first_seen", column]).select(column, "first_seen", (F.col("number") + reserve).alias("code"))
 
 
 def sample_size(n: Column, power: float = 0.75, least: int = 100, most: int = 10_000) -> Column:

@@ -139,3 +139,28 @@ def illegal_transitions(journal: DataFrame, key: str, order: str, status: str) -
 def recovered(source_there: Column, destination_there: Column) -> Column:
     """State of an interrupted move from what exists."""
     return F.when(source_there & ~destination_there, "planned").when(~source_there & destination_there, "moved").when(source_there & destination_there, "conflict").otherwise("lost")
+
+
+def schema_catalog(df: DataFrame, schema_id: str, family: str, station: str, task: str, status: str, path: str) -> DataFrame:
+    """(family, schema_id, files, stations, tasks, passed, representative): what each schema's files are like, most files first."""
+    out = df.groupBy(family, schema_id).agg(
+        F.count(F.lit(1)).alias("files"), F.array_sort(F.collect_set(station)).alias("stations"), F.count_distinct(task).alias("tasks"),
+        F.sum((F.col(status) == "passed").cast("long")).alias("passed"), F.min(path).alias("representative"),
+    )
+    return out.orderBy(F.desc("files"), schema_id)
+
+
+def family_rollup(catalog: DataFrame, family: str) -> DataFrame:
+    """(family, schemas, files, stations): the catalogue's schemas by family."""
+    return catalog.groupBy(family).agg(F.count(F.lit(1)).alias("schemas"), F.sum("files").alias("files"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("stations")))).alias("stations"))
+
+
+def stats_contract(low: str, high: str, std: str, span: float = 1e-8) -> dict[str, Column]:
+    """Rules for a channel's statistics: there, finite, and a range above `span`."""
+    cols = [F.col(c) for c in (low, high, std)]
+    bad = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
+    return {
+        "missing": cols[0].isNull() | cols[1].isNull() | cols[2].isNull(),
+        "not finite": F.coalesce(bad(cols[0]) | bad(cols[1]) | bad(cols[2]), F.lit(False)),
+        "constant": F.coalesce(cols[1] - cols[0] < span, F.lit(False)),
+    }

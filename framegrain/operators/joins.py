@@ -26,11 +26,17 @@ def longest_prefix_join(df: DataFrame, prefixes: DataFrame, path: str, prefix: s
     return df.join(best, path, "left")
 
 
+#: Rules that a pattern join takes at most: they are broadcast and each distinct text is compared with all.
+MOST_PATTERNS = 10_000
+
+
 def single_pattern_join(df: DataFrame, patterns: DataFrame, text: str, pattern: str, value: str, fallback: str) -> DataFrame:
     """Adds `value` of the one pattern that `text` contains, whatever the case; the fallback if none or several.
 
-    patterns is a short list of rules; texts are matched once for each distinct text.
+    patterns is a short list of rules (more than MOST_PATTERNS fail); texts are matched once for each distinct text.
     """
+    if patterns.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
     names = df.select(text).distinct()
     met = names.join(F.broadcast(patterns), F.contains(F.lower(F.col(text)), F.lower(F.col(pattern))), "left")
     found = met.groupBy(text).agg(F.count(pattern).alias("matches"), F.first(value, ignorenulls=True).alias("_v"))
@@ -112,7 +118,7 @@ def in_request_order(df: DataFrame, wanted: list, key: str) -> DataFrame:
     """Rows for the requested keys with their position; a key that is missing fails the job."""
     spark = df.sparkSession
     asked = spark.createDataFrame([(i, k) for i, k in enumerate(wanted)], f"position int, {key} {df.schema[key].dataType.simpleString()}")
-    out = F.broadcast(asked).join(df.withColumn("_found", F.lit(True)), key, "left")
+    out = asked.join(df.withColumn("_found", F.lit(True)), key, "left")
     return out.withColumn("_ok", F.when(F.col("_found").isNull(), F.raise_error(F.concat(F.lit("not found: "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)).filter("_ok").drop("_found", "_ok")
 
 
@@ -123,12 +129,32 @@ def paired(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
     return a.join(b, key, "full_outer").withColumn("issue", issue)
 
 
-def with_coverage(files: DataFrame, moves: DataFrame, catalog: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """(inventory, errors): files with their covering move and catalogued schema; rows that lack one, with a code."""
-    rows = longest_prefix_join(files, moves, path, "source", "move_id").join(catalog, "schema_id", "left")
-    code = F.when(F.col("move_id").isNull(), "no move").when(F.col("schema_id").isNull(), "no schema").when(F.col("family").isNull(), "unknown schema").when(~F.col("readable"), "unreadable")
-    rows = rows.withColumn("error", code)
-    return rows.filter("error is null").drop("error"), rows.filter("error is not null")
+def with_coverage(manifest: DataFrame, moves: DataFrame, catalog: DataFrame, listing: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """(inventory, errors) of a manifest (path, schema_id, file_bytes) after its moves (source, destination), with a
+    catalogue (schema_id, family) and the listing (path, length) of what is there below `root`.
+
+    Errors by code, the first that applies: no covering move, destination outside the root, second file for a
+    destination (all but the smallest old path), schema missing from the catalogue. Files that are missing, or of
+    another size than expected, are errors too but stay in the inventory, as what was expected. The deepest source
+    above a path is its move, so a path always lies beneath its move's source.
+    """
+    names = moves.select("source", F.struct("source", "destination").alias("_move"))
+    rows = longest_prefix_join(manifest, names, "path", "source", "_move").drop("depth")
+    rest = F.substring("path", F.length("_move.source") + 1, F.length("path"))
+    rows = rows.withColumn("new_path", F.concat(F.col("_move.destination"), rest))
+    outside = ~(F.col("new_path").startswith(root.rstrip("/") + "/")) | F.col("new_path").contains("/../")
+    fits = F.col("new_path").isNotNull() & ~outside
+    first = rows.filter(fits).groupBy("new_path").agg(F.min("path").alias("_first"))
+    known = catalog.select("schema_id", "family", F.lit(True).alias("_known"))
+    there = listing.select(F.col("path").alias("new_path"), F.col("length").alias("actual_bytes"))
+    rows = rows.join(first, "new_path", "left").join(known, "schema_id", "left").join(there, "new_path", "left")
+    code = (
+        F.when(F.col("_move").isNull(), "missing_covering_move").when(outside, "destination_outside_input").when(F.col("path") != F.col("_first"), "duplicate_destination_path")
+        .when(F.col("_known").isNull(), "schema_missing_from_catalog").when(F.col("actual_bytes").isNull(), "missing_file").when(F.col("actual_bytes") != F.col("file_bytes"), "file_size_mismatch")
+    )
+    rows = rows.withColumn("error", code).drop("_move", "_first", "_known")
+    stays = F.col("error").isNull() | F.col("error").isin("missing_file", "file_size_mismatch")
+    return rows.filter(stays).withColumn("actual_exists", F.col("actual_bytes").isNotNull()).drop("error"), rows.filter("error is not null").select("path", "new_path", "error")
 
 
 def latest_with_alias(log: DataFrame, aliases: DataFrame, key: str, order: str, value: str) -> DataFrame:

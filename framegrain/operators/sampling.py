@@ -17,23 +17,51 @@ def shuffled(seed: int, *keys: str) -> Column:
     return F.xxhash64(F.lit(seed), *keys)
 
 
-def split_sizes(n: int, ratios: tuple[float, ...]) -> list[int]:
-    """Sizes of splits of n rows: one each while rows last, to splits of positive ratio, then by largest deficit."""
-    sizes = [0] * len(ratios)
-    for k in [k for k, r in enumerate(ratios) if r > 0][:n]:
-        sizes[k] = 1
-    for _ in range(n - sum(sizes)):
-        k = max(range(len(ratios)), key=lambda j: (ratios[j] * n - sizes[j], -j))
-        sizes[k] += 1
-    return sizes
+def split_sizes(n: Column, ratios: tuple[float, ...]) -> Column:
+    """Sizes of splits of n rows: one each while rows last, to splits of positive ratio, then by largest deficit, the first
+    of equal ones. Ratios add up to 1.
+
+    All but the last few rows go to splits at once: a split whose deficit is k more than the number of splits
+    gets k rows before any split's deficit falls below that number.
+    """
+    if abs(sum(ratios) - 1) > 1e-9 or min(ratios) < 0:
+        raise ValueError(f"not shares of a whole: {ratios}")
+    m, first, held = len(ratios), [], F.lit(0)
+    for r in ratios:
+        one = ((held < n) & F.lit(r > 0)).cast("int")
+        first.append(one)
+        held = held + one
+    lack = [F.lit(float(r)) * n - s for r, s in zip(ratios, first, strict=True)]
+    jump = [F.greatest(F.lit(0), F.floor(d) - m).cast("long") for d in lack]
+    some = [s + j for s, j in zip(first, jump, strict=True)]
+    start = F.struct(F.array(*[d - j for d, j in zip(lack, jump, strict=True)]).alias("lack"), F.array(*some).alias("size"))
+
+    def step(a: Column, _: Column) -> Column:
+        best = F.array_position(a["lack"], F.array_max(a["lack"])).cast("int") - 1
+        return F.struct(F.transform(a["lack"], lambda x, i: F.when(i == best, x - 1).otherwise(x)).alias("lack"), F.transform(a["size"], lambda x, i: F.when(i == best, x + 1).otherwise(x)).alias("size"))
+
+    left = n - sum(some[1:], some[0])
+    turns = F.when(left > 0, F.sequence(F.lit(1).cast("long"), left.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(turns, start, step, lambda a: a["size"])
+
+
+def coprime_from(least: Column, n: Column) -> Column:
+    """The first whole number from `least` on that has no divisor with n but 1.
+
+    Among any 300 numbers in a row there is one, for every n of 64 bits.
+    """
+    def gcd(a: Column) -> Column:
+        pair = F.struct(a.cast("long").alias("a"), n.cast("long").alias("b"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(92)), pair, lambda p, _: F.when(p["b"] == 0, p).otherwise(F.struct(p["b"].alias("a"), F.pmod(p["a"], F.when(p["b"] == 0, F.lit(1)).otherwise(p["b"])).alias("b"))), lambda p: p["a"])
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(300)), F.lit(None).cast("long"), lambda found, k: F.when(found.isNotNull(), found).when(gcd(least + k) == 1, (least + k).cast("long")))
 
 
 def stratified_split(df: DataFrame, task: str, key: str, ratios: dict[str, float], seed: int) -> DataFrame:
     """Adds `split`. Each task's rows are shuffled and dealt by split_sizes of its count (one number a task)."""
     names = list(ratios)
     counts = df.groupBy(task).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = F.udf(lambda n: split_sizes(n, tuple(ratios.values())), "array<int>")
-    ends = counts.select(task, sizes("_n").alias("_s"))
+    ends = counts.select(task, split_sizes(F.col("_n"), tuple(ratios.values())).alias("_s"))
     w = Window.partitionBy(task).orderBy(shuffled(seed, key), key)
     rows = df.withColumn("_r", F.row_number().over(w)).join(ends, task)
     split, upto = F.lit(names[-1]), F.lit(0)
@@ -94,8 +122,7 @@ def episode_quota(episodes: DataFrame, index: str, rows: str, n: int, world: int
     quota = F.lit(n // max(count, 1)) + (F.col(index) < n % max(count, 1)).cast("int")
     start = F.pmod(shuffled(seed, index), F.col(rows))
     wish = F.pmod(shuffled(seed + 1, index), F.col(rows)) + 1
-    coprime = F.udf(lambda s, r: next((x for x in range(int(s), int(s) + int(r) + 1) if math.gcd(x, int(r)) == 1), 1), "long")
-    out = episodes.withColumn("_q", quota).filter("_q > 0").withColumn("_start", start).withColumn("_stride", coprime(wish, F.col(rows)))
+    out = episodes.withColumn("_q", quota).filter("_q > 0").withColumn("_start", start).withColumn("_stride", coprime_from(wish, F.col(rows)))
     out = out.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("_q") - 1)))
     position = F.col("k") * count + F.col(index)
     return out.select(position.alias("position"), F.col(index).alias("episode"), F.pmod(F.col("_start") + F.col("k") * F.col("_stride"), F.col(rows)).alias("row"), (position % world).alias("rank"))
@@ -160,3 +187,32 @@ def fractional_rows(episodes: DataFrame, episode: str, rows: str, fractions: lis
     """(episode, row): rows floor(f * (n - 1)) for each fraction, each once."""
     at = F.array_distinct(F.array(*[F.floor(F.lit(float(f)) * (F.col(rows) - 1)).cast("long") for f in fractions]))
     return episodes.select(episode, F.explode(at).alias("row"))
+
+
+#: Offsets from a drawn frame, by name of the mode.
+TIMESTAMP_MODES = {"1_frame": (0,), "2_frames": (-1, 0), "2_frames_4_space": (-5, 0), "6_frames": (-5, -4, -3, -2, -1, 0)}
+
+
+def timestamp_groups(episodes: DataFrame, episode: str, rows: str, mode: str, fps: float, seed: int, least: int = 5) -> DataFrame:
+    """(episode, timestamps): a group of times around one frame of each episode, drawn from `least` on by hash of the key.
+
+    Episodes of at most `least` frames have none.
+    """
+    at = F.pmod(shuffled(seed, episode), F.col(rows) - least) + least
+    times = F.transform(F.array(*[F.lit(o) for o in TIMESTAMP_MODES[mode]]), lambda o: (F.col("_at") + o) / float(fps))
+    return episodes.filter(F.col(rows) > least).withColumn("_at", at).select(episode, times.alias("timestamps"))
+
+
+def even_ranks(index: str, n: int, world: int, strict: bool = False) -> Column:
+    """Rank of a dense index under ranges of equal size, ceil(n / world); the last ranks may have fewer rows or none.
+
+    strict: n must be a multiple of world.
+    """
+    if strict and n % world:
+        raise ValueError(f"{n} rows do not divide by {world}")
+    return F.floor(F.col(index) / max(1, -(-n // world))).cast("long")
+
+
+def index_range(df: DataFrame, index: str, start: int, stop: int) -> DataFrame:
+    """The rows of a sequential batch [start, stop)."""
+    return df.filter((F.col(index) >= start) & (F.col(index) < stop)).orderBy(index)

@@ -79,7 +79,7 @@ def unstandardise(vector, mean, std) -> Column:
 
 def widened(stats: Column, at: int, width: int, fixed: float) -> Column:
     """Statistics of a vector whose channels [at, at + 3) become `width` channels with a fixed value."""
-    return F.concat(F.slice(stats, 1, at), F.array_repeat(F.lit(fixed), width), F.slice(stats, at + 4, 1_000))
+    return F.concat(F.slice(stats, 1, at), F.array_repeat(F.lit(fixed), width), F.slice(stats, at + 4, F.greatest(F.size(stats) - at - 3, F.lit(0))))
 
 
 def delta_scale(df: DataFrame, columns: dict[str, float], share: float = 0.99) -> DataFrame:

@@ -63,7 +63,8 @@ def success_tail_reward(spark, sf_dir):
 @query(f"""WITH {EV}, p AS (SELECT a.event_id, round(sum(b.value * power(0.97, b.frame_index - a.frame_index)) + 1e-9, 4) AS discounted_return FROM ev a JOIN ev b ON a.user_id = b.user_id AND b.frame_index >= a.frame_index GROUP BY a.event_id) SELECT * FROM p""")
 def discounted_return(spark, sf_dir):
     # Values of two decimals make ties in the fifth place common; the nudge settles them alike here and in SQL.
-    return _events(spark, sf_dir).select("event_id", _r(frames.discounted_return("value", 0.97, "user_id", ORDER) + 1e-9, 4).alias("discounted_return"))
+    out = frames.discounted_returns(_events(spark, sf_dir), "value", 0.97, "user_id", ORDER)
+    return out.select("event_id", _r(F.col("discounted_return") + 1e-9, 4).alias("discounted_return"))
 
 
 @query(f"""WITH {EV} SELECT event_id, round(2 * power(0.99, n - 1 - frame_index) - 1, 6) AS scaled_return FROM ev""")
@@ -289,10 +290,9 @@ def out_of_range_report(spark, sf_dir):
     return stats.out_of_range(vectors, "embedding", ["vec_id"], stats.channel_stats(vectors.filter("label < 5"), "embedding", []))
 
 
-@query("""WITH v AS (SELECT vec_id, list_filter([i for i in range(6)], lambda i: embedding[i + 1] < -0.15 OR embedding[i + 1] > 0.15) AS bad FROM embeddings) SELECT vec_id, [x::INTEGER for x in bad] AS violated, len(bad) > 0 AS any_violation FROM v""")
+@query("""WITH v AS (SELECT vec_id, list_filter([i for i in range(len(embedding))], lambda i: embedding[i + 1] < -0.15 OR embedding[i + 1] > 0.15) AS bad FROM embeddings) SELECT vec_id, [x::INTEGER for x in bad] AS violated, len(bad) > 0 AS any_violation FROM v""")
 def bounds_violation(spark, sf_dir):
-    head = F.slice("embedding", 1, 6)
-    bad = F.array_compact(F.transform(head, lambda x, i: F.when((x < -0.15) | (x > 0.15), i)))
+    bad = F.array_compact(F.transform("embedding", lambda x, i: F.when((x < -0.15) | (x > 0.15), i)))
     return _read(spark, sf_dir, "embeddings").select("vec_id", bad.alias("violated"), (F.size(bad) > 0).alias("any_violation"))
 
 
@@ -355,9 +355,13 @@ def two_level_mean(spark, sf_dir):
     return metrics.episode_means(_events(spark, sf_dir), "user_id", "value", ["event_type"]).withColumn("mean", _r(F.col("mean")))
 
 
-@query()
+@query(f"""WITH m AS (SELECT event_type, user_id, avg(value) AS m FROM events GROUP BY event_type, user_id), h AS (SELECT user_id, d, md5('42:' || user_id || ':' || d) AS h FROM (SELECT DISTINCT user_id FROM events), range(500) t(d)),
+w AS (SELECT user_id, 4 * d + k AS r, len(list_filter({list(metrics.POISSON)}, lambda p: p <= ('0x' || substr(h, 7 * k + 1, 7))::BIGINT / 268435456.0)) AS n FROM h, range(4) t(k)),
+b AS (SELECT event_type, r, sum(n * m) / sum(n) AS v FROM m JOIN w USING (user_id) GROUP BY event_type, r HAVING sum(n) > 0), q AS (SELECT event_type, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM b GROUP BY event_type)
+SELECT event_type, count(*) AS episodes, round(avg(m), 6) AS mean, round(quantile_disc(m, 0.5), 6) AS median, round(stddev_pop(m), 6) AS std, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM m JOIN q USING (event_type) GROUP BY event_type""")
 def bootstrap_ci(spark, sf_dir):
-    return metrics.bootstrap_interval(_events(spark, sf_dir), "user_id", "value", ["event_type"])
+    out = metrics.bootstrap_interval(_events(spark, sf_dir), "user_id", "value", ["event_type"])
+    return out.select("event_type", "episodes", *[_r(F.col(c)).alias(c) for c in ("mean", "median", "std", "low", "high")])
 
 
 @query(f"""WITH {EV}, d AS (SELECT user_id, min(frame_index) FILTER (event_type = 'error') AS d FROM ev GROUP BY user_id)
@@ -398,4 +402,4 @@ def error_by_position(spark, sf_dir):
     return metrics.error_by_position(rows, ["label"], "embedding", "other").withColumn("mae", _r(F.col("mae")))
 
 
-from framegrain.plans import governed, recipes, streamed  # noqa: E402, F401
+from framegrain.plans import governed, recipes, recorded, streamed  # noqa: E402, F401

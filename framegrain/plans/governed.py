@@ -35,21 +35,28 @@ def schema_signal_changes(spark, sf_dir):
     return governance.signal_changes(schemas, governance.baseline(docs, "lang", "source"), "lang", "source", "signals")
 
 
-RANKS = {"too short": "warning", "too long": "review", "repeated id": "quarantine"}
+def _with_repeats(spark, sf_dir):
+    """documents with `repeated`: whether another row has the text. Digests that occur twice are joined, not all texts."""
+    docs = read(spark, sf_dir, "documents").withColumn("sha", F.sha2("text", 256))
+    twice = governance.duplicates(docs, ["sha"], "doc_id").select("sha", F.lit(True).alias("repeated"))
+    return docs.join(twice, "sha", "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
 
 
-@query("""WITH i AS (SELECT doc_id, lang, source, list_filter([CASE WHEN n_chars < 300 THEN 'too short' END, CASE WHEN n_chars > 9000 THEN 'too long' END, CASE WHEN doc_id % 50 = 0 THEN 'repeated id' END], lambda x: x IS NOT NULL) AS issues FROM documents)
-SELECT doc_id, issues, CASE WHEN list_contains(issues, 'repeated id') THEN 'quarantine' WHEN list_contains(issues, 'too long') THEN 'review' WHEN list_contains(issues, 'too short') THEN 'warning' ELSE 'passed' END AS status FROM i""")
+RANKS = {"too short": "warning", "too long": "review", "repeated text": "quarantine"}
+
+
+@query("""WITH i AS (SELECT doc_id, lang, source, list_filter([CASE WHEN n_chars < 300 THEN 'too short' END, CASE WHEN n_chars > 9000 THEN 'too long' END, CASE WHEN count(*) OVER (PARTITION BY text) > 1 THEN 'repeated text' END], lambda x: x IS NOT NULL) AS issues FROM documents)
+SELECT doc_id, issues, CASE WHEN list_contains(issues, 'repeated text') THEN 'quarantine' WHEN list_contains(issues, 'too long') THEN 'review' WHEN list_contains(issues, 'too short') THEN 'warning' ELSE 'passed' END AS status FROM i""")
 def issue_list(spark, sf_dir):
-    found = governance.issues({"too short": F.col("n_chars") < 300, "too long": F.col("n_chars") > 9000, "repeated id": F.col("doc_id") % 50 == 0})
-    rows = read(spark, sf_dir, "documents").select("doc_id", found.alias("issues"))
+    found = governance.issues({"too short": F.col("n_chars") < 300, "too long": F.col("n_chars") > 9000, "repeated text": F.col("repeated")})
+    rows = _with_repeats(spark, sf_dir).select("doc_id", found.alias("issues"))
     return rows.withColumn("status", governance.severity(F.col("issues"), RANKS))
 
 
-@query("""WITH s AS (SELECT source, CASE WHEN doc_id % 50 = 0 THEN 3 WHEN n_chars > 9000 THEN 2 WHEN n_chars < 300 THEN 1 ELSE 0 END AS k FROM documents) SELECT source, ['passed', 'warning', 'review', 'quarantine'][max(k) + 1] AS status, count(*) AS n FROM s GROUP BY source""")
+@query("""WITH s AS (SELECT source, CASE WHEN count(*) OVER (PARTITION BY text) > 1 THEN 3 WHEN n_chars > 9000 THEN 2 WHEN n_chars < 300 THEN 1 ELSE 0 END AS k FROM documents) SELECT source, ['passed', 'warning', 'review', 'quarantine'][max(k) + 1] AS status, count(*) AS n FROM s GROUP BY source""")
 def severity_rollup(spark, sf_dir):
-    found = governance.issues({"too short": F.col("n_chars") < 300, "too long": F.col("n_chars") > 9000, "repeated id": F.col("doc_id") % 50 == 0})
-    rows = read(spark, sf_dir, "documents").select("source", governance.severity(found, RANKS).alias("status"))
+    found = governance.issues({"too short": F.col("n_chars") < 300, "too long": F.col("n_chars") > 9000, "repeated text": F.col("repeated")})
+    rows = _with_repeats(spark, sf_dir).select("source", governance.severity(found, RANKS).alias("status"))
     return governance.worst_by_group(rows, ["source"], "status")
 
 

@@ -55,17 +55,25 @@ def stream_sessions(spark, sf_dir):
     return _finished(out, "complete").select("user_id", F.col("session_window.start").cast("long").alias("start_s"), "n")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value, event_type = 'error' AS must, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, i, value, value AS last, true AS go FROM e WHERE i = 1 UNION ALL
+  SELECT e.user_id, e.event_id, e.i, e.value, CASE WHEN e.must OR abs(e.value - r.last) >= 25 THEN e.value ELSE r.last END, e.must OR abs(e.value - r.last) >= 25 FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id, event_id AS timestep, [value] AS state FROM r WHERE go""")
 def stream_similarity_dedupe(spark, sf_dir):
     stream = _stream(spark, sf_dir).select("user_id", F.col("event_id").alias("timestep"), F.array("value").alias("state"), (F.col("event_type") == "error").alias("must_go"))
     return _finished(streams.similarity_filter(stream, "user_id", "timestep", "state", "must_go", 25.0), "append")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id // 40 AS f, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, i, f, [value, value + 1, value + 2, value + 3] AS q FROM e WHERE i = 1 UNION ALL
+  SELECT e.user_id, e.event_id, e.i, e.f, list_transform([0, 1, 2, 3], lambda k: CASE WHEN e.f + k - r.f BETWEEN 0 AND 3 THEN 0.3 * r.q[e.f + k - r.f + 1] + 0.7 * (e.value + k) ELSE e.value + k END) FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id, event_id, f + k AS step, round(q[k + 1] + 1e-9, 6) AS action FROM r, range(4) t(k)""")
 def stream_chunk_merge(spark, sf_dir):
+    """Each event brings a chunk of four steps from event_id div 40 on, so a user's chunks often overlap."""
     chunk = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.col("value") + k)
-    stream = _stream(spark, sf_dir).select("user_id", "event_id", F.col("event_id").alias("first"), chunk.alias("actions"), (F.col("event_id") - 1).alias("executed"))
-    return _finished(streams.merge_chunks(stream, "user_id", "event_id", "first", "actions", "executed"), "append")
+    first = F.expr("event_id div 40")
+    stream = _stream(spark, sf_dir).select("user_id", "event_id", first.alias("first"), chunk.alias("actions"), (first - 1).alias("executed"))
+    return _finished(streams.merge_chunks(stream, "user_id", "event_id", "first", "actions", "executed"), "append").withColumn("action", r6(F.col("action") + 1e-9))  # ties of short decimals round alike here and in SQL
 
 
 @query("""SELECT user_id, count(*) AS n, round((count(*) - 1) / ((max(epoch_us(ts)) - min(epoch_us(ts))) / 3600e6), 6) AS rate FROM events GROUP BY user_id""")
@@ -96,15 +104,15 @@ def message_parts_roundtrip(spark, sf_dir):
     return whole.join(parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts")), "doc_id").select("doc_id", F.sha2("text", 256).alias("sha"), "complete", "parts")
 
 
-@query(f"""WITH {EV}, o AS (SELECT frame_index AS step, value AS action FROM ev WHERE user_id = 3 AND frame_index < 30), n AS (SELECT frame_index + 10 AS step, value AS action FROM ev WHERE user_id = 5 AND frame_index < 30)
-SELECT n.step, round(CASE WHEN o.action IS NULL THEN n.action ELSE 0.3 * o.action + 0.7 * n.action END, 6) AS action FROM n LEFT JOIN o USING (step) WHERE n.step > 14""")
+@query(f"""WITH {EV}, n AS (SELECT user_id, frame_index + 10 AS step, value AS action FROM ev), o AS (SELECT u.user_id, frame_index AS step, value AS action FROM (SELECT DISTINCT user_id FROM ev) u JOIN ev ON ev.user_id = u.user_id + 1)
+SELECT n.user_id, n.step, round(CASE WHEN o.action IS NULL THEN n.action ELSE 0.3 * o.action + 0.7 * n.action END, 6) AS action FROM n LEFT JOIN o USING (user_id, step) WHERE n.step > 14""")
 def chunk_overlap_merge(spark, sf_dir):
-    """The example of two users only; chunk_overlap_merge_all merges the chunks of all."""
-    rows = read_frames(spark, sf_dir).filter("frame_index < 30").withColumn("queue", F.lit(0))
-    old = rows.filter("user_id = 3").select("queue", F.col("frame_index").alias("step"), F.col("value").alias("action"))
-    new = rows.filter("user_id = 5").select("queue", (F.col("frame_index") + 10).alias("step"), F.col("value").alias("action"))
-    executed = spark.range(1).select(F.lit(0).alias("queue"), F.lit(14).alias("executed"))
-    return streams.merged_batch(old, new, executed, ["queue"]).select("step", r6(F.col("action")).alias("action"))
+    """Each user's frames, ten steps on, merged onto those of the next user: one long chunk a user."""
+    rows = read_frames(spark, sf_dir).select("user_id", F.col("frame_index").alias("step"), F.col("value").alias("action"))
+    users = rows.select("user_id").distinct()
+    executed = users.withColumn("executed", F.lit(14).cast("long"))
+    out = streams.merged_batch(rows.withColumn("user_id", F.col("user_id") - 1).join(users, "user_id"), rows.withColumn("step", F.col("step") + 10), executed, ["user_id"])
+    return out.withColumn("action", r6(F.col("action")))
 
 
 @query(f"""WITH {EV}, c AS (SELECT user_id, frame_index // 10 - j AS chunk, frame_index AS step, value + 10 * j + frame_index % 10 AS action FROM ev, (VALUES (0), (1), (2)) t(j) WHERE frame_index // 10 >= j)

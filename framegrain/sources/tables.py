@@ -169,9 +169,15 @@ def export_order(ring: DataFrame, sequence: str, done: str, stream: str) -> Data
     return number_frames(rows, "episode_index", [sequence])
 
 
+#: Rows of a report that is rendered on the driver.
+MOST_REPORT_ROWS = 10_000
+
+
 def markdown(df: DataFrame) -> str:
-    """A small report table as Markdown."""
-    rows = df.collect()
+    """A report table of at most MOST_REPORT_ROWS rows as Markdown; a longer one fails."""
+    rows = df.limit(MOST_REPORT_ROWS + 1).collect()
+    if len(rows) > MOST_REPORT_ROWS:
+        raise ValueError(f"a report has at most {MOST_REPORT_ROWS} rows")
     cell = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows)]) + "\n"

@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: How two values of one timestep combine while chunks overlap; `latest` takes the new one.
-COMBINERS = {
-    "weighted_average": lambda old, new: 0.3 * old + 0.7 * new,
-    "average": lambda old, new: 0.5 * old + 0.5 * new,
-    "conservative": lambda old, new: 0.7 * old + 0.3 * new,
-    "latest": lambda old, new: new,
-}
+#: The weight of the newer value, by name, where two chunks have an action for one timestep.
+NEWER_WEIGHT = {"weighted_average": 0.7, "average": 0.5, "conservative": 0.3, "latest": 1.0}
+
+
+def combined(name: str, older, newer):
+    """The action for a timestep that two chunks cover: numbers or columns."""
+    share = NEWER_WEIGHT[name]
+    return newer if share == 1 else older + (newer - older) * share
 
 
 def finite(vectors: list[str]) -> Column:
@@ -101,9 +102,9 @@ def merge_chunks(stream: DataFrame, key: str, order: str, first: str, actions: s
     """Queue of a key after each chunk: (key, order, step, action).
 
     A chunk covers steps first, first + 1, ... Steps up to `executed` are dropped as late; steps that the old
-    queue has too are combined; old steps that the chunk lacks are discarded. State is one chunk a key.
+    queue has too are combined; old steps that the chunk lacks are discarded. State is one chunk a key. A key's
+    chunks of one micro-batch are sorted in memory; maxFilesPerTrigger bounds them.
     """
-    f = COMBINERS[combine]
     kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, order)}
 
     def task(keys: tuple, batches: Iterator, held: GroupState) -> Iterator:
@@ -117,7 +118,7 @@ def merge_chunks(stream: DataFrame, key: str, order: str, first: str, actions: s
             for k, a in enumerate(getattr(row, actions)):
                 s = int(getattr(row, first)) + k
                 if s > getattr(row, executed):
-                    new[s] = f(queue[s], float(a)) if s in queue else float(a)
+                    new[s] = combined(combine, queue[s], float(a)) if s in queue else float(a)
             queue = new
             out += [(keys[0], getattr(row, order), s, a) for s, a in queue.items()]
         held.update((list(queue), list(queue.values())))
@@ -136,7 +137,7 @@ def merged_batch(old: DataFrame, new: DataFrame, executed: DataFrame, keys: list
     late = executed.groupBy(*keys).agg(F.max("executed").alias("_e"))
     both = new.select(*keys, "step", F.col("action").alias("_n")).join(late, keys, "left").filter(F.col("_e").isNull() | (F.col("step") > F.col("_e")))
     both = both.join(old.select(*keys, "step", F.col("action").alias("_o")), [*keys, "step"], "left")
-    mixed = COMBINERS[combine](F.col("_o"), F.col("_n"))
+    mixed = combined(combine, F.col("_o"), F.col("_n"))
     return both.select(*keys, "step", F.when(F.col("_o").isNull(), F.col("_n")).otherwise(mixed).alias("action"))
 
 

@@ -2,11 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from framegrain.functions import geometry, text
 from framegrain.operators import frames, governance, joins, metrics, sampling, sets, stats
+from framegrain.operators.ranges import running
 from framegrain.plans.steps import Pipeline, REGISTRY
 from framegrain.sources import tables
 from framegrain.streaming import operators as streams
@@ -62,7 +64,7 @@ def test_timestamps(spark):
 
 def test_returns(spark):
     rows = spark.createDataFrame([(0, i, float(r)) for i, r in enumerate([0, 0, 1])], "e int, i int, r double")
-    out = rows.select("i", frames.discounted_return("r", 0.5, "e", ["i"]).alias("d"), frames.return_to_go("r", "e", ["i"]).alias("g")).orderBy("i").collect()
+    out = frames.discounted_returns(rows, "r", 0.5, "e", ["i"], into="d").select("i", "d", frames.return_to_go("r", "e", ["i"]).alias("g")).orderBy("i").collect()
     assert [r.d for r in out] == [0.25, 0.5, 1.0] and [r.g for r in out] == [1.0, 1.0, 1.0]
     reward, done = frames.success_tail(F.lit(True), 5, "e", ["i"])
     long = spark.range(12).select(F.lit(0).alias("e"), F.col("id").alias("i")).select("i", reward.alias("r"), done.alias("d"))
@@ -109,11 +111,56 @@ def test_statistics(spark):
     assert stats.constant_channels(stats.channel_stats(spark.createDataFrame([([1.0, 2.0],), ([1.0, 3.0],)], "v array<double>"), "v", [])).count() == 1
 
 
-def test_split_sizes():
-    assert sampling.split_sizes(20, (0.8, 0.1, 0.1)) == [16, 2, 2]
-    assert sampling.split_sizes(2, (0.8, 0.1, 0.1)) == [1, 1, 0]
-    assert sampling.split_sizes(2, (1, 0, 0)) == [2, 0, 0]
-    assert sampling.split_sizes(0, (1, 0)) == [0, 0]
+def test_split_sizes(spark):
+    def greedy(n, ratios):
+        sizes = [0] * len(ratios)
+        for k in [k for k, r in enumerate(ratios) if r > 0][:n]:
+            sizes[k] = 1
+        for _ in range(n - sum(sizes)):
+            sizes[max(range(len(ratios)), key=lambda j: (round(ratios[j] * n - sizes[j], 9), -j))] += 1
+        return sizes
+
+    counts = spark.createDataFrame([(n,) for n in (0, 1, 2, 3, 7, 10, 20, 101, 999)], "n long")
+    for ratios in ((0.8, 0.1, 0.1), (1.0, 0.0), (0.98, 0.01, 0.01), (0.25, 0.75), (0.5, 0.0, 0.5)):
+        got = counts.select("n", sampling.split_sizes(F.col("n"), ratios).alias("s")).collect()
+        assert {r.n: r.s for r in got} == {r.n: greedy(r.n, ratios) for r in got}
+    assert counts.limit(1).select(sampling.split_sizes(F.lit(10**12), (0.8, 0.1, 0.1)).alias("s")).first().s == [8 * 10**11, 10**11, 10**11]
+    with pytest.raises(ValueError):
+        sampling.split_sizes(F.lit(1), (0.5, 0.1))
+
+
+def test_coprime_from(spark):
+    pairs = [(a, n) for a in (1, 2, 14, 26, 114) for n in (1, 2, 7, 30, 210, 2_310, 97 * 89, 2**40)]
+    rows = spark.createDataFrame(pairs, "a long, n long").select("a", "n", sampling.coprime_from(F.col("a"), F.col("n")).alias("c")).collect()
+    assert all(r.c == next(x for x in range(r.a, r.a + 400) if math.gcd(x, r.n) == 1) for r in rows)
+
+
+def test_running(spark):
+    """Places and prefix sums over numbers and strings, with ties, nulls and few rows."""
+    for n in (0, 1, 3, 700):
+        rows = [(i * 37 % 101 if i % 9 else None, f"k{i * 53 % 211:03d}", i) for i in range(n)]
+        df = spark.createDataFrame(rows, "a long, b string, i long")
+        for order in (["a", "i"], ["b", "i"]):
+            want, before = {}, 0
+            for place, r in enumerate(sorted(rows, key=lambda r: ((r[0] is not None, r[0] or 0) if order[0] == "a" else (True, r[1]), r[2]))):
+                want[r[2]] = (place, before)
+                before += r[2]
+            assert {r.i: (r.number, r.before_v) for r in running(df, order, {"v": F.col("i")}).collect()} == want
+
+
+def test_discounted_returns_of_long_episodes(spark):
+    rng = np.random.default_rng(4)
+    reward = rng.normal(0, 1, 3_000)
+    df = spark.createDataFrame([("a", i, float(r)) for i, r in enumerate(reward)] + [("b", 0, 1.5)], "e string, i long, r double")
+    for gamma in (0.5, 0.97, 0.999, 1.0):
+        want, total = {("b", 0): 1.5}, 0.0
+        for i in range(len(reward) - 1, -1, -1):
+            total = total * gamma + reward[i]
+            want[("a", i)] = total
+        for block in (64, 4_096):
+            for index in (None, "i"):
+                got = frames.discounted_returns(df, "r", gamma, "e", ["i"], index, "d", block).collect()
+                assert {(r.e, r.i): pytest.approx(r.d, rel=1e-9, abs=1e-9) for r in got} == want
 
 
 def test_sampler_weights(spark):
