@@ -100,7 +100,7 @@ def return_to_go(reward: str, episode: str, order: list[str]) -> Column:
     return F.sum(reward).over(_by(episode, *order).rowsBetween(0, Window.unboundedFollowing))
 
 
-def discounted_returns(df: DataFrame, reward: str, gamma: float, episode: str, order: list[str], index: str | None = None, into: str = "discounted_return", block: int = 4_096) -> DataFrame:
+def discounted_returns(df: DataFrame, reward: str, gamma: float, episode: str, order: list[str], index: str | None = None, into: str = "discounted_return", block: int = 4_096, level: int = 0) -> DataFrame:
     """Adds the sum over this and later frames of gamma^distance * reward; `index` is a frame index from 0, if there is one.
 
     Episodes are cut into blocks, so no task sees a whole episode's rewards. Within a block, gamma^place * reward
@@ -110,15 +110,17 @@ def discounted_returns(df: DataFrame, reward: str, gamma: float, episode: str, o
     """
     if not 0 < gamma <= 1:
         raise ValueError("gamma must be above 0 and at most 1")
-    width = block if gamma == 1 else max(1, min(block, int(230 / -math.log(gamma))))  # gamma^width stays above 1e-100
+    last = gamma == 1 and level == 2  # one row for each block * block frames: a plain sum then
+    width = 1 << 40 if last else block if gamma == 1 else max(1, min(block, int(230 / -math.log(gamma))))  # gamma^width stays above 1e-100
     rows = df.withColumn("_at", F.col(index)) if index else number_frames(df, episode, order).withColumnRenamed("frame_index", "_at").drop("episode_length")
     rows = rows.withColumn("_b", F.floor(F.col("_at") / width).cast("long")).withColumn("_k", F.pow(F.lit(float(gamma)), F.pmod(F.col("_at"), F.lit(width))))
     back = Window.partitionBy(episode, "_b").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_g", F.sum(F.col(reward) * F.col("_k")).over(back) / F.col("_k"))
     heads = rows.filter(F.pmod(F.col("_at"), F.lit(width)) == 0).select(episode, "_b", "_g")
     step = float(gamma) ** width
-    if step > 1e-20:
-        heads = discounted_returns(heads, "_g", step, episode, ["_b"], "_b", "_g1", block).select(episode, "_b", F.col("_g1").alias("_g"))
+    if step > 1e-20 and not last:
+        own = heads.select(episode, F.col("_b").alias("_n"), F.col("_g").alias("_r"))
+        heads = discounted_returns(own, "_r", step, episode, ["_n"], "_n", "_sum", block, level + 1).select(episode, F.col("_n").alias("_b"), F.col("_sum").alias("_g"))
     later = heads.select(episode, (F.col("_b") - 1).alias("_b"), F.col("_g").alias("_later"))
     left = F.when(F.col("_later").isNull(), F.lit(0.0)).otherwise(F.col("_later") * step / F.col("_k"))
     return rows.join(later, [episode, "_b"], "left").withColumn(into, F.col("_g") + left).drop("_at", "_b", "_k", "_g", "_later")

@@ -1,7 +1,7 @@
 """Prefix sums over a whole table without a window over the whole table.
 
 Rows fall into ranges of the ordering column, each range is summed up in a window of its own, and the totals of
-the ranges before it are added: one row a range meets in one place, and their number is fixed.
+the ranges before it are added: one row a range comes to the driver, and their number is fixed.
 """
 
 from __future__ import annotations
@@ -38,8 +38,10 @@ def running(df: DataFrame, order: list[str], sums: dict[str, Column] | None = No
     upto = Window.partitionBy("_part").orderBy(*order)
     inside = rows.withColumn("_i", F.row_number().over(upto) - 1)
     inside = inside.withColumns({f"_s_{k}": F.coalesce(F.sum(f"_v_{k}").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for k in sums})
-    totals = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
-    over = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = totals.select("_part", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before"), *[F.coalesce(F.sum(f"_t_{k}").over(over), F.lit(0)).alias(f"_o_{k}") for k in sums])
-    out = inside.join(F.broadcast(ahead), "_part")  # at most `ranges` rows
-    return out.select(*df.columns, (F.col("_i") + F.col("_before")).cast("long").alias("number"), *[(F.col(f"_s_{k}") + F.col(f"_o_{k}")).alias(f"before_{k}") for k in sums])
+    totals = {r[0]: r[1:] for r in rows.groupBy("_part").agg(F.count(F.lit(1)), *[F.sum(f"_v_{k}") for k in sums]).collect()}  # at most `ranges` rows
+    ahead, so_far = [], [0] * (1 + len(sums))
+    for p in range(ranges):
+        ahead.append(so_far)
+        so_far = [a + (b or 0) for a, b in zip(so_far, totals.get(p, [0] * len(so_far)), strict=True)]
+    before = [F.get(F.array(*[F.lit(a[j]) for a in ahead]), F.col("_part")) for j in range(len(so_far))]
+    return inside.select(*df.columns, (F.col("_i") + before[0]).cast("long").alias("number"), *[(F.col(f"_s_{k}") + before[1 + j]).alias(f"before_{k}") for j, k in enumerate(sums)])
