@@ -35,11 +35,17 @@ def _packed(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def _only(docs: DataFrame, keys: list, names: DataFrame) -> DataFrame:
-    """One row of docs for each row of names, which has the columns k1 and k2; keys are their values in docs."""
-    a, b = _fresh(docs, "_k1", "_k2")
+    """One row of docs for each row of names, which has the columns k1 and k2; keys are their values in docs.
+
+    Of several rows with one key the first in order of its columns stays, so reruns keep the same one; columns that
+    have no order (maps, variants) don't count.
+    """
+    a, b, row = _fresh(docs, "_k1", "_k2", "_whole")
     names = names.select(F.col("k1").alias(a), F.col("k2").alias(b))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    ordered = [F.col(f"`{f.name}`") for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
     found = docs.withColumns({a: keys[0], b: keys[1]}).join(names, [a, b], "left_semi")
-    return found.dropDuplicates([a, b]).drop(a, b)
+    return found.groupBy(a, b).agg(F.min_by(whole, F.struct(F.xxhash64(*ordered), *ordered)).alias(row)).select(f"{row}.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
