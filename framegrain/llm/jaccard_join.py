@@ -238,3 +238,16 @@ def jaccard_join(df: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
 
 def op2_jaccard_join(spark, sf_dir):
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "links", "kept")
+
+
+#: The contract by brute force as DuckDB SQL: all pairs with a common shingle, which suits small tables.
+OP2_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT rid, unnest(CASE WHEN len(ws) >= {WIDTH} THEN [array_to_string(ws[k:k + {WIDTH - 1}], ' ') FOR k IN range(1, len(ws) - {WIDTH - 2})] ELSE [array_to_string(ws, ' ')] END) AS v FROM d WHERE len(ws) > 0),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.v = b.v AND a.rid <> b.rid GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE c >= {THRESHOLD} * (a.n + b.n - c) - 1e-9),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(doc_id) AS least FROM r JOIN d ON d.rid = r.y GROUP BY x),
+k AS (SELECT x, count(*) AS links FROM l GROUP BY x)
+SELECT doc_id, least(doc_id, coalesce(least, doc_id)) AS class_id, coalesce(links, 0) AS links, doc_id = least(doc_id, coalesce(least, doc_id)) AS kept FROM d LEFT JOIN c ON c.x = rid LEFT JOIN k ON k.x = rid"""

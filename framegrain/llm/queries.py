@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from framegrain.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from framegrain.llm.html_extract import op10_html_extraction
-from framegrain.llm.jaccard_join import op2_jaccard_join
+from framegrain.llm.jaccard_join import OP2_SQL, op2_jaccard_join
 from framegrain.llm.mixing import OP1_SQL, op1_mixing
 from framegrain.llm.quality_classifier import op9_quality_classifier
 from framegrain.llm.quality_rules import OP5_SQL, op5_quality_rules
 from framegrain.llm.sentencepiece import op7_sentencepiece
-from framegrain.llm.sharding import op6_sharding
-from framegrain.llm.suffix_dedup import op3_suffix_dedup
+from framegrain.llm.sharding import OP6_SQL, op6_sharding
+from framegrain.llm.suffix_dedup import OP3_SQL, op3_suffix_dedup
 from framegrain.llm.toxicity import op8_toxicity
 
 QUERIES = {
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_html_extraction": op10_html_extraction,
 }
-ORACLES = {"op1_mixing": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_quality_rules": OP5_SQL}
+ORACLES = {"op1_mixing": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_sharding": OP6_SQL}

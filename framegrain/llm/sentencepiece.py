@@ -31,7 +31,7 @@ MARK = "▁"
 #: Characters that no piece contains (checked when a model is read); each is a unit of its own.
 BLANK = "\t\n"
 UNIT = f"{MARK}+[^{MARK}{BLANK}]*|[^{MARK}{BLANK}]+|[{BLANK}]"
-DICTIONARY = 1 << 18
+DICTIONARY = 1 << 19
 #: Units that a task remembers besides the dictionary: the first ones that it meets, so mostly frequent ones.
 REMEMBERED = 100_000
 #: Unit length beyond which merges are replayed with a heap, by the tasks: the fold in Spark grows with the cube of the length.
@@ -429,7 +429,10 @@ class Encoder:
 
     def __init__(self, df: DataFrame, model: Model, text_col: str, dictionary: int):
         units = frequent_units(df, model, text_col, dictionary)
-        known = {r["unit"]: np.array(r["ids"], "<i4").tobytes() for r in lattice_ids(units, model).collect()}  # at most `dictionary` rows
+        table = lattice_ids(units, model).toArrow()  # at most `dictionary` rows
+        lists = table["ids"].combine_chunks()
+        ends, flat = 4 * lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()
+        known = {u: flat[x:y] for u, x, y in zip(table["unit"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
         self.held = df.sparkSession.sparkContext.broadcast((model, known, None if model.unigram else merge_table(model)))
 
     def __call__(self):

@@ -21,18 +21,22 @@ ROUNDS = 8
 WALK = 96
 
 
+def _digits(*parts: Column, hexes: int = 15) -> Column:
+    """A whole number of 4 * hexes bits from md5 over the parts' text; null parts are left out."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, hexes), 16, 10).cast("long")
+
+
 def _rounds(x: Column, bits: int, seed: int, order: list[int]) -> Column:
     low = bits // 2
     high = bits - low
     mask_low, mask_high = (1 << low) - 1, (1 << high) - 1
 
     def step(s: Column, i: Column) -> Column:
-        noise_low = F.xxhash64(s["h"], i, F.lit(seed)).bitwiseAND(F.lit(mask_low))
-        noise_high = F.xxhash64(s["l"], i, F.lit(seed)).bitwiseAND(F.lit(mask_high))
         even = i % 2 == 0
+        noise = _digits(F.lit(seed), i, F.when(even, s["h"]).otherwise(s["l"]))
         return F.struct(
-            F.when(even, s["l"].bitwiseXOR(noise_low)).otherwise(s["l"]).alias("l"),
-            F.when(even, s["h"]).otherwise(s["h"].bitwiseXOR(noise_high)).alias("h"),
+            F.when(even, s["l"].bitwiseXOR(noise.bitwiseAND(F.lit(mask_low)))).otherwise(s["l"]).alias("l"),
+            F.when(even, s["h"]).otherwise(s["h"].bitwiseXOR(noise.bitwiseAND(F.lit(mask_high)))).alias("h"),
         )
 
     start = F.struct(x.bitwiseAND(F.lit(mask_low)).cast("long").alias("l"), F.shiftright(x, low).cast("long").alias("h"))
@@ -67,7 +71,7 @@ def numbered(df: DataFrame, keys: list[str], bucket_rows: int = 50_000) -> tuple
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
     n = df.count()
     buckets = max(1, math.ceil(n / bucket_rows))
-    groups = groups.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    groups = groups.withColumn("_b", F.pmod(_digits(*[F.col(k) for k in keys]), F.lit(buckets)))
     totals = groups.groupBy("_b").agg(F.sum("_c").alias("_t"))
     starts = totals.select("_b", (F.sum("_t").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_t")).alias("_s"))
     within = W.partitionBy("_b").orderBy(*[F.asc_nulls_first(k) for k in keys])
@@ -99,3 +103,29 @@ def shard(df: DataFrame, shards: int = 24, seed: int = SEED, id_col: str = "doc_
 def op6_sharding(spark, sf_dir):
     out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row")
+
+
+def _sql(shards: int = 24, seed: int = SEED, bucket_rows: int = 50_000) -> str:
+    """The whole query as DuckDB SQL: the rows' numbers, then the rounds as nested selects and the walk as a recursion."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    number = lambda text: f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
+    rounds = "SELECT row, n, low, mask_low, mask_high, v & mask_low AS l, v >> low AS h FROM {source}"
+    for i in range(ROUNDS):
+        noise = number(f"'{seed}:{i}:' || {'h' if i % 2 == 0 else 'l'}")
+        halves = f"xor(l, {noise} & mask_low) AS l, h" if i % 2 == 0 else f"l, xor(h, {noise} & mask_high) AS h"
+        rounds = f"SELECT row, n, low, mask_low, mask_high, {halves} FROM ({rounds})"
+    step = f"SELECT row, n, low, mask_low, mask_high, (h << low) | l AS v FROM ({rounds})"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT doc_id, octet_length(encode(t)) + 8 AS size, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM d),
+k AS MATERIALIZED (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, {table}[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32, count(*) OVER () AS n FROM b),
+r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {number("concat_ws(':', doc_id, size, text_crc32)")} % ceil(n / {bucket_rows}.0)::BIGINT, doc_id NULLS FIRST, size, text_crc32) - 1 AS row FROM k),
+s AS (SELECT row, n, row AS v, bits // 2 AS low, (1::BIGINT << (bits // 2)) - 1 AS mask_low, (1::BIGINT << (bits - bits // 2)) - 1 AS mask_high FROM (SELECT *, greatest(2, ceil(log2(n)))::BIGINT AS bits FROM r)),
+w AS ({step.format(source="s")} UNION ALL {step.format(source="(SELECT * FROM w WHERE v >= n) AS w")})
+SELECT doc_id, size, text_crc32, 'rows' AS law, (v % {shards})::INTEGER AS shard, v // {shards} AS slot, NULL::INTEGER AS grown_shard, row FROM r JOIN (SELECT row, v FROM w WHERE v < n) USING (row)"""
+
+
+OP6_SQL = _sql()

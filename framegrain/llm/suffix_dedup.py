@@ -476,3 +476,16 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, part_b
 
 def op3_suffix_dedup(spark, sf_dir):
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+
+
+#: The contract by brute force as DuckDB SQL: every window of every text, which suits small tables.
+OP3_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT rid, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS m FROM (SELECT rid, h, unnest(range(n - {LENGTH - 1})) AS i FROM d WHERE n >= {LENGTH})),
+s AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER o + {LENGTH} THEN 0 ELSE 1 END AS fresh FROM w JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m) WINDOW o AS (PARTITION BY rid ORDER BY i)),
+g AS (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM s),
+p AS (SELECT rid, k, min(i) AS lo, max(i) + {LENGTH} AS hi FROM g GROUP BY rid, k),
+q AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY k), 0) AS before FROM p),
+c AS (SELECT rid, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY k) AS front FROM q JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN c.rid IS NULL THEN h ELSE front || substr(h, 2 * last + 1) END)) AS kept_sha256, coalesce(n_removed, 0) > 0 AS has_repeat
+FROM d LEFT JOIN c ON c.rid = d.rid"""
