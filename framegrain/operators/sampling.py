@@ -57,13 +57,30 @@ def coprime_from(least: Column, n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(300)), F.lit(None).cast("long"), lambda found, k: F.when(found.isNotNull(), found).when(gcd(least + k) == 1, (least + k).cast("long")))
 
 
+#: Ranges of hashes that a group's rows are ranked in, as a power of two.
+RANK_BITS = 10
+
+
+def shuffled_rank(df: DataFrame, group: str, key: str, seed: int, into: str) -> DataFrame:
+    """Adds a row's place, from 1, among its group's in shuffled order; rows of a null group are left out.
+
+    Ranges of the hash are counted for each group and a row is ranked within its range: a group that holds most
+    rows is spread over 2^RANK_BITS windows.
+    """
+    rows = df.withColumn("_h", shuffled(seed, key)).withColumn("_b", F.shiftright("_h", 64 - RANK_BITS))
+    counts = rows.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(group, "_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(group, "_b").orderBy("_h", key))
+    return rows.join(counts, [group, "_b"]).withColumn(into, F.col("_before") + inside).drop("_h", "_b", "_before")
+
+
 def stratified_split(df: DataFrame, task: str, key: str, ratios: dict[str, float], seed: int) -> DataFrame:
     """Adds `split`. Each task's rows are shuffled and dealt by split_sizes of its count (one number a task)."""
     names = list(ratios)
     counts = df.groupBy(task).agg(F.count(F.lit(1)).alias("_n"))
     ends = counts.select(task, split_sizes(F.col("_n"), tuple(ratios.values())).alias("_s"))
-    w = Window.partitionBy(task).orderBy(shuffled(seed, key), key)
-    rows = df.withColumn("_r", F.row_number().over(w)).join(ends, task)
+    rows = shuffled_rank(df, task, key, seed, "_r").join(ends, task)
     split, upto = F.lit(names[-1]), F.lit(0)
     chain = None
     for k, name in enumerate(names):
