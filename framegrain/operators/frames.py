@@ -18,6 +18,11 @@ def _by(episode: str, *order: str) -> Window:
     return Window.partitionBy(episode).orderBy(*order)
 
 
+def _back(episode: str, *order: str) -> Window:
+    """From the last frame back to this one: a frame that ends at UNBOUNDED FOLLOWING would be summed anew for every row."""
+    return Window.partitionBy(episode).orderBy(*[F.desc(c) for c in order])
+
+
 def _whole(episode: str, *order: str) -> Window:
     return _by(episode, *order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
@@ -91,13 +96,13 @@ def seconds_to_offsets(deltas: list[float], fps: float, tolerance: float) -> lis
 
 def success_tail(success: Column, tail: int, episode: str, order: list[str], gain: float = 10.0, cost: float = -0.05) -> tuple[Column, Column]:
     """(reward, done): the last `tail` frames of a successful episode earn `gain` and are done."""
-    left = F.count(F.lit(1)).over(_by(episode, *order).rowsBetween(0, Window.unboundedFollowing))
+    left = F.row_number().over(_back(episode, *order))
     done = success & (left <= tail)
     return F.when(done, F.lit(gain)).otherwise(F.lit(cost)), done
 
 
 def return_to_go(reward: str, episode: str, order: list[str]) -> Column:
-    return F.sum(reward).over(_by(episode, *order).rowsBetween(0, Window.unboundedFollowing))
+    return F.sum(reward).over(_back(episode, *order).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def discounted_returns(df: DataFrame, reward: str, gamma: float, episode: str, order: list[str], index: str | None = None, into: str = "discounted_return", block: int = 4_096, level: int = 0) -> DataFrame:
@@ -128,7 +133,7 @@ def discounted_returns(df: DataFrame, reward: str, gamma: float, episode: str, o
 
 def terminal_return(reward: Column, gamma: float, episode: str, order: list[str]) -> Column:
     """The discounted return where only the last frame is rewarded, scaled to [-1, 1]."""
-    left = F.count(F.lit(1)).over(_by(episode, *order).rowsBetween(0, Window.unboundedFollowing)) - 1
+    left = F.row_number().over(_back(episode, *order)) - 1
     scaled = F.pow(F.lit(gamma), left)
     return F.when(reward > 0, 2 * scaled - 1).otherwise(2 * reward * scaled - 1)
 

@@ -75,8 +75,8 @@ def interval_labels(frames: DataFrame, labels: DataFrame, episode: str, position
 def nearest_asof(queries: DataFrame, frames: DataFrame, episode: str, at: str, time: str, value: str, tolerance: float) -> DataFrame:
     """For each query the frame of the episode that is nearest in time; on a tie the earlier.
 
-    Both sides are merged in one sort by (episode, time): the nearest frame is the last before or the first
-    after. Adds `{value}`, distance and is_pad (distance beyond the tolerance).
+    Both sides are merged by (episode, time), in either direction: the nearest frame is the last one met from
+    the start or from the end. Adds `{value}`, distance and is_pad (distance beyond the tolerance).
     """
     names = [c for c in queries.columns if c not in (episode, at)]
     left = queries.select(episode, F.col(at).alias("_t"), F.struct(*names).alias("_q"), F.lit(None).cast(frames.schema[time].dataType).alias("_ft"), F.lit(None).cast(frames.schema[value].dataType).alias("_fv"), F.lit(1).alias("_side"))
@@ -84,7 +84,9 @@ def nearest_asof(queries: DataFrame, frames: DataFrame, episode: str, at: str, t
     both = left.unionByName(right)
     frame = F.when(F.col("_side") == 0, F.struct(F.col("_ft").alias("t"), F.col("_fv").alias("v")))
     w = Window.partitionBy(episode).orderBy("_t", "_side")
-    both = both.withColumn("_p", F.last(frame, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first(frame, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy(episode).orderBy(F.desc("_t"), F.desc("_side"))
+    met = lambda way: F.last(frame, ignorenulls=True).over(way.rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("_p", met(w)).withColumn("_n", met(back))
     before, after = F.col("_t") - F.col("_p.t"), F.col("_n.t") - F.col("_t")
     earlier = F.col("_n").isNull() | (before <= after)
     out = both.filter("_side = 1").select(

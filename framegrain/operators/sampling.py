@@ -121,7 +121,7 @@ def frame_weights(frames: DataFrame, online: str, episode: str, order: list[str]
 
     Weights sum to 1; where no frame is eligible all are alike.
     """
-    left = F.count(F.lit(1)).over(Window.partitionBy(online, episode).orderBy(*order).rowsBetween(1, Window.unboundedFollowing))
+    left = F.row_number().over(Window.partitionBy(online, episode).orderBy(*[F.desc(c) for c in order])) - 1
     rows = frames.withColumn("_e", (~F.col(online) | (left >= drop_last)).cast("long"))
     totals = rows.groupBy(online).agg(F.sum("_e").alias("_k"))
     raw = F.when((F.col("_e") == 1) & (F.col("_k") > 0), F.when(F.col(online), F.lit(ratio)).otherwise(F.lit(1 - ratio)) / F.col("_k")).otherwise(F.lit(0.0))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from framegrain.functions import geometry, text
-from framegrain.operators import datasets, episodes, frames, governance, joins, metrics, sampling, sets, stats
+from framegrain.operators import datasets, episodes, frames, governance, joins, metrics, sampling, scans, sets, stats
 from framegrain.plans.registry import EV, ORDER, query, r6, read, read_events, read_frames
 from framegrain.plans.steps import REGISTRY, Pipeline, load_plugins
 from framegrain.session import shared_dir
@@ -234,16 +234,32 @@ def proprio_vectors(spark, sf_dir):
 @query(f"""WITH {EV}, d AS (SELECT user_id, frame_index, value / 100 AS step, value / 500 AS turn FROM ev), h AS (SELECT *, coalesce(sum(turn) OVER (PARTITION BY user_id ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM d)
 SELECT user_id, round(sum(step * cos(a)), 5) AS x, round(sum(step * sin(a)), 5) AS y, round(cos(sum(turn)), 5) AS c, count(*) + 1 AS poses FROM h GROUP BY user_id""")
 def pose_integration(spark, sf_dir):
-    """WIN-17"""
+    """WIN-17: an ordered product of steps in blocks of 16 frames, so that episodes have several."""
     turn = F.col("value") / 500
-    matrix = F.array(F.cos(turn), -F.sin(turn), F.lit(0.0), F.sin(turn), F.cos(turn), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
-    delta = F.struct(F.array(F.col("value") / 100, F.lit(0.0), F.lit(0.0)).alias("translation"), matrix.alias("rotation"))
-    rows = read_frames(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("frame_index", delta.alias("d")))).alias("ds"))
-    start = (F.array(*[F.lit(0.0)] * 3), F.array(*[F.lit(float(x)) for x in (1, 0, 0, 0, 1, 0, 0, 0, 1)]))
-    rows = rows.select("user_id", geometry.integrate(*start, F.transform("ds", lambda d: d["d"])).alias("poses"))
-    last = F.element_at("poses", -1)
-    at = lambda v, i: F.round(F.get(v, F.lit(i)), 5)
-    return rows.select("user_id", at(last["position"], 0).alias("x"), at(last["position"], 1).alias("y"), at(last["rotation"], 0).alias("c"), F.size("poses").cast("long").alias("poses"))
+    step = F.array(F.cos(turn), -F.sin(turn), F.lit(0.0), F.sin(turn), F.cos(turn), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), F.col("value") / 100, F.lit(0.0), F.lit(0.0))
+    poses = scans.ordered_scan(read_frames(spark, sf_dir).select("user_id", "frame_index", step.alias("step")), "step", scans.POSES, "user_id", "frame_index", "pose", 16)
+    last = poses.groupBy("user_id").agg(F.max_by("pose", "frame_index").alias("p"), (F.count(F.lit(1)) + 1).alias("poses"))
+    at = lambda i: F.round(F.get("p", F.lit(i)), 5)
+    return last.select("user_id", at(9).alias("x"), at(10).alias("y"), at(0).alias("c"), "poses")
+
+
+@query(f"""WITH RECURSIVE {PLANAR},
+a AS (SELECT user_id, frame_index + 1 AS i, n, x1, y1, a1, g1, greatest(-1.0, least(1.0, (cos(a) * (x1 - x) + sin(a) * (y1 - y)) / 1.5)) * 1.5 AS u, greatest(-1.0, least(1.0, (cos(a) * (y1 - y) - sin(a) * (x1 - x)) / 1.5)) * 1.5 AS v, greatest(-1.0, least(1.0, atan2(sin(a1 - a), cos(a1 - a)) / 0.5)) * 0.5 AS t, (g1 - g) * 2 AS h FROM s WHERE a1 IS NOT NULL),
+w AS (SELECT user_id, frame_index AS i, x, y, a, least(1.0, greatest(0.0, g)) AS g FROM p WHERE frame_index = 0
+UNION ALL SELECT a.user_id, a.i, x + cos(w.a) * u - sin(w.a) * v, y + sin(w.a) * u + cos(w.a) * v, w.a + t, least(1.0, greatest(0.0, w.g + h)) FROM w JOIN a ON a.user_id = w.user_id AND a.i = w.i + 1)
+SELECT a.user_id, count(*) AS frames, round(max(sqrt((w.x - x1) ** 2 + (w.y - y1) ** 2)), 5) AS position, round(max(degrees(acos(greatest(-1.0, least(1.0, cos(w.a - a1)))))), 3) AS degrees, round(max(abs(w.g - g1)), 5) AS gripper
+FROM w JOIN a ON a.user_id = w.user_id AND a.i = w.i GROUP BY a.user_id""")
+def integration_roundtrip(spark, sf_dir):
+    """AUD-08, WIN-17: encoded steps, clipped by their scales, integrated from the first pose and compared with the recorded ones."""
+    rows = _planar(spark, sf_dir)
+    action = geometry.difference_action(F.col("pose"), F.col("pose1"), F.col("g"), F.col("g1"), 1.5, 0.5, 0.5)
+    named = lambda pose, grip: [F.slice(pose, 1, 3).alias("position"), geometry.quaternion_to_matrix(F.slice(pose, 4, 4)).alias("rotation"), F.col(grip).alias("gripper")]
+    # The gripper's step is unclipped and doubled, so that the clipping after every frame matters.
+    steps = F.concat(F.slice(action, 1, 6), F.array((F.col("g1") - F.col("g")) * 2))
+    start = rows.filter("frame_index = 0").select("user_id", *named("pose", "g")).withColumn("gripper", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "gripper")))
+    moved = scans.integrated(rows.select("user_id", "frame_index", steps.alias("action")), "action", start, (1.5, 0.5, 1.0), "user_id", "frame_index", block=16)
+    out = scans.roundtrip_errors(moved, rows.select("user_id", "frame_index", *named("pose1", "g1")), "user_id", "frame_index")
+    return out.select("user_id", "frames", F.round("position", 5).alias("position"), F.round("degrees", 3).alias("degrees"), F.round("gripper", 5).alias("gripper"))
 
 
 @query("""SELECT vec_id, [round(x, 6) FOR x IN list_concat(embedding[19:22], embedding[27:30], embedding[35:38], embedding[43:46])::DOUBLE[]] AS middle, [round(x, 6) FOR x IN embedding[1:4]::DOUBLE[]] AS past, [round(x, 6) FOR x IN embedding[61:64]::DOUBLE[]] AS future, round(embedding[64]::DOUBLE, 6) AS last,
