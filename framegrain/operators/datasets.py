@@ -159,28 +159,7 @@ def structure(df: DataFrame) -> DataFrame:
     return counts.select(F.explode(one).alias("_c")).select("_c.*")
 
 
-# --- transactions ------------------------------------------------------------------------------------------
-
-
-def write_episodes_again(df: DataFrame, root: str, journal: str, episode: str = "episode_index", fail: Callable[[], None] | None = None) -> None:
-    """Replaces the episodes of df below root, and journals them as begun and then as committed.
-
-    A run that ends between the two leaves episodes that `committed` does not show; running it again replaces
-    them. `fail` is called between the two, for tests.
-    """
-    names = df.select(episode).distinct()
-    stamp = lambda status: names.select(F.col(episode).alias("episode"), F.lit(status).alias("status"), F.current_timestamp().alias("at"))
-    stamp("begun").write.mode("append").parquet(journal)
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(episode).parquet(root)
-    if fail:
-        fail()
-    stamp("committed").write.mode("append").parquet(journal)
-
-
-def committed(spark: SparkSession, root: str, journal: str, episode: str = "episode_index") -> DataFrame:
-    """Rows of the episodes whose last journal entry says that they are committed."""
-    last = spark.read.parquet(journal).groupBy("episode").agg(F.max_by("status", F.struct("at", F.col("status") == "committed")).alias("status"))
-    return spark.read.parquet(root).join(last.filter("status = 'committed'").select(F.col("episode").alias(episode)), episode, "left_semi")
+# --- resumes ---------------------------------------------------------------------------------------------
 
 
 def resume_point(done: DataFrame, episode: str, fingerprint: str, now: str) -> DataFrame:

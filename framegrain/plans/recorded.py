@@ -11,7 +11,7 @@ from framegrain.operators import datasets, episodes, frames, governance, joins,
 from framegrain.plans.registry import EV, ORDER, query, r6, read, read_events, read_frames
 from framegrain.plans.steps import REGISTRY, Pipeline, load_plugins
 from framegrain.session import shared_dir
-from framegrain.sources import tables
+from framegrain.sources import journal, tables, versions
 
 
 def _place(spark) -> str:
@@ -725,26 +725,49 @@ def frozen_manifest(spark, sf_dir):
 @query("""SELECT user_id, count(*) FILTER (event_type <> 'click') AS n, round(sum(value) FILTER (event_type <> 'click'), 4) AS total FROM events WHERE user_id % 2 = 0 GROUP BY user_id HAVING count(*) FILTER (event_type <> 'click') > 0
 UNION ALL SELECT user_id, count(*), round(sum(value), 4) FROM events WHERE user_id % 2 = 1 GROUP BY user_id""")
 def episode_transactions(spark, sf_dir):
-    """SNK-07: all episodes are written, even ones again; a write that breaks off is not seen until it is done again."""
-    root, journal = _place(spark), _place(spark)
+    """SNK-07: all episodes are written, even ones again; a run that breaks off leaves the version before it in sight."""
+    root = _place(spark)
     events = read_events(spark, sf_dir).select("event_id", "user_id", "event_type", "value")
     again = events.filter("user_id % 2 = 0 AND event_type <> 'click'")
-    datasets.write_episodes_again(events, root, journal, "user_id")
+    first = versions.commit(events, root, "user_id")
 
     def broken():
-        raise RuntimeError("stopped between write and commit")
+        raise RuntimeError("stopped before the commit")
 
     try:
-        datasets.write_episodes_again(again, root, journal, "user_id", broken)
+        versions.commit(again, root, "user_id", fail=broken)
     except RuntimeError:
-        if not datasets.committed(spark, root, journal, "user_id").filter("user_id % 2 = 0").join(again.select("user_id").distinct(), "user_id", "left_semi").isEmpty():
-            raise ValueError("an episode that was not committed is seen") from None
-    datasets.write_episodes_again(again, root, journal, "user_id")
+        if versions.snapshot(spark, root).count() != events.count():
+            raise ValueError("what was not committed is seen, or what was is not") from None
+    versions.commit(again, root, "user_id", expected=first)
     # Even users whose events are clicks only keep their first version, as their episode was not written again.
-    rows = datasets.committed(spark, root, journal, "user_id").join(events.filter("event_type <> 'click' OR user_id % 2 = 1").select("user_id").distinct(), "user_id", "left_semi")
+    rows = versions.snapshot(spark, root).join(events.filter("event_type <> 'click' OR user_id % 2 = 1").select("user_id").distinct(), "user_id", "left_semi")
     return rows.groupBy(F.col("user_id").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query("""SELECT version, user_id, n FROM (SELECT 1 AS version, user_id, count(*) AS n FROM events GROUP BY user_id
+UNION ALL SELECT 2, user_id, count(*) FILTER (event_type <> 'error') FROM events WHERE user_id % 3 = 0 GROUP BY user_id HAVING count(*) FILTER (event_type <> 'error') > 0
+UNION ALL SELECT 2, user_id, count(*) FROM events GROUP BY user_id HAVING user_id % 3 <> 0 OR count(*) FILTER (event_type <> 'error') = 0) t""")
+def episode_versions(spark, sf_dir):
+    """SNK-07: both versions of a dataset, each as a reader of that version sees it."""
+    root = _place(spark)
+    events = read_events(spark, sf_dir).select("event_id", "user_id", "event_type")
+    for part in (events, events.filter("user_id % 3 = 0 AND event_type <> 'error'")):
+        versions.commit(part, root, "user_id")
+    counts = [versions.snapshot(spark, root, v).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(v).alias("version"), "user_id", "n") for v in (1, 2)]
+    return counts[0].unionByName(counts[1])
+
+
+@query("""SELECT run, count(*) AS records, count(DISTINCT o_orderkey) AS orders FROM (SELECT 'planned' AS run, o_orderkey FROM orders UNION ALL SELECT 'status-' || o_orderstatus, o_orderkey FROM orders) t GROUP BY run""")
+def journal_runs(spark, sf_dir):
+    """SNK-06, SNK-09: runs appended through a data source that writes, each of them twice; no record is there twice."""
+    path, orders = _place(spark), read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    for run in ["planned", *(f"status-{s}" for s in ("F", "O", "P"))] * 2:
+        rows = orders if run == "planned" else orders.filter(F.col("o_orderstatus") == run[-1])
+        journal.append_run(rows.withColumn("run", F.lit(run)), path, run)
+    return journal.read_runs(spark, path, "o_orderkey long, run string").groupBy("run").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("o_orderkey").alias("orders"))
+
+
 @query("""SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus""")
 def appended_journal(spark, sf_dir):
     """SNK-06, SNK-18: a journal in which every record is planned first, then gets its status; the latest row of each counts."""
