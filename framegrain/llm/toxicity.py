@@ -9,13 +9,13 @@ Scoring needs one number for each hash bucket (vector times softmax weights) and
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framegrain.llm.common import SEED, crc_fold, mix64
+from framegrain.llm.common import SEED, crc_fold, mix64, written
 
 GRAMS = (3, 4, 5, 6)
 LOG2_BUCKETS = 17
@@ -24,6 +24,11 @@ EPOCHS, BATCH, RATE = 10, 16, 200.0
 #: Labelled rows of each class, and bytes of all their texts, that the fit takes at most.
 PER_CLASS = 1_000
 SAMPLE_BYTES = 32 << 20
+#: Characters whose n-grams are in memory at once, some 50 bytes for each.
+PART = 1 << 20
+_SPACE = re.compile(r"\s")
+#: A text of more than this part of SAMPLE_BYTES is not trained on; like any other it is scored.
+LONGEST = 16
 
 
 def gram_buckets(text: str) -> np.ndarray:
@@ -104,30 +109,56 @@ def _peak(z: np.ndarray, y: np.ndarray, prior: float) -> float:
     return float((z[order][best] + z[order][min(best + 1, len(z) - 1)]) / 2)
 
 
+def parts_of(text: str, size: int = PART):
+    """A text in parts that end at white space, so that no n-gram is cut; a part is longer than `size` where its last word is."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + size) if at + size < len(text) else None
+        stop = cut.end() if cut else len(text)
+        yield text[at:stop]
+        at = stop
+
+
 def logits(texts: list[str], weights: np.ndarray, intercept: float) -> np.ndarray:
     out = np.full(len(texts), intercept)
     for i, t in enumerate(texts):
-        if t:
-            b = gram_buckets(t)
-            if len(b):
-                out[i] += float(weights[b].mean(dtype=np.float64))
+        total, n = 0.0, 0
+        for part in parts_of(t):
+            b = gram_buckets(part)
+            total += float(weights[b].sum(dtype=np.float64))
+            n += len(b)
+        if n:
+            out[i] += total / n
     return out
 
 
 def training_rows(df: DataFrame, labels: DataFrame, target: str, per_class: int, id_col: str, text_col: str, seed: int = SEED, most_bytes: int = SAMPLE_BYTES):
     """(texts, labels, prior) of at most per_class rows of each class and most_bytes of whole texts, chosen by hash of the id.
 
-    An id that several rows have counts once, with the first of its texts by hash and then by code point.
+    An id that several rows have counts once, with the first of its texts by hash and then by code point. Texts are taken in
+    order of the hash, from either class in turn, as long as they fit; one that does not fit is passed over, and so is one
+    of more than 1 / LONGEST of most_bytes, so that a few long texts don't crowd out the rest.
     """
     known = labels.filter(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
     n, positive = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     by_hash = lambda v: known.filter(F.col("y") == v).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(per_class)
     chosen = by_hash(0).unionByName(by_hash(1))  # at most 2 * per_class ids
-    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), "doc_id")
+    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), "doc_id").filter(F.octet_length("t") <= most_bytes // LONGEST)
     # Of a repeated id only hashes are compared while rows aggregate; equal hashes leave equal texts, but for collisions.
     first = rows.groupBy("doc_id").agg(F.min_by(F.struct("t", "y"), F.struct(F.xxhash64("t"), "t")).alias("r")).select("doc_id", "r.t", "r.y")
-    upto = F.sum(F.octet_length("t")).over(W.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").rowsBetween(W.unboundedPreceding, 0))
-    got = first.withColumn("upto", upto).filter(F.col("upto") <= most_bytes).collect()  # a window over at most 2 * per_class rows
+    first = written(first, "labelled")
+    sizes = first.select("doc_id", "y", F.octet_length("t").alias("n"), F.xxhash64("doc_id", F.lit(seed)).alias("h")).collect()  # ids and numbers only
+    place = {0: 0, 1: 0}
+    order = []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        order.append((place[r["y"]], r["h"], r["doc_id"], r["n"]))
+        place[r["y"]] += 1
+    taken, room = [], most_bytes
+    for _, _, i, size in sorted(order):
+        if size <= room:
+            taken.append(i)
+            room -= size
+    got = first.filter(F.col("doc_id").isin(taken)).collect() if taken else []
     got.sort(key=lambda r: r["doc_id"])
     return [r["t"] for r in got], np.array([r["y"] for r in got], float), (positive + 1.0) / (n + 2.0)
 
