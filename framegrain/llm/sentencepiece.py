@@ -32,6 +32,8 @@ MARK = "▁"
 BLANK = "\t\n"
 UNIT = f"{MARK}+[^{MARK}{BLANK}]*|[^{MARK}{BLANK}]+|[{BLANK}]"
 DICTIONARY = 1 << 17
+#: Parts, by hash, of the units that occur equally often, when not all of them fit.
+GRAINS = 1_024
 #: Units that a task remembers besides the dictionary: the first ones that it meets, so mostly frequent ones.
 REMEMBERED = 100_000
 #: Unit length beyond which merges are replayed with a heap, by the tasks: the fold in Spark grows with the cube of the length.
@@ -330,20 +332,28 @@ def units_of(text: Column, model: Model) -> Column:
 
 
 def frequent_units(df: DataFrame, model: Model, text_col: str, dictionary: int = DICTIONARY) -> DataFrame:
-    """(unit): the most frequent of those that occur twice or more; at most `dictionary` rows.
+    """(unit): the most frequent units of at most LONG characters; all of them, where they fit into `dictionary` rows.
 
-    Where to cut is read off a histogram of the counts' logarithms (some thousand rows at any size).
+    Where to cut is read off a histogram of the counts' logarithms (some thousand rows at any size), and inside the grade that
+    does not fit whole, off one of the units' hashes in GRAINS parts: what stays free is about one part of that grade.
     """
     units = df.filter(F.length(F.col(text_col)) > 0).select(F.explode(units_of(F.col(text_col), model)).alias("unit"))
-    counts = written(units.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "units")
-    grade = F.floor(64 * F.log2("n"))
-    least, held = None, 0
+    counts = written(units.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).filter(F.length("unit") <= LONG), "units")
+    grade, grain = F.floor(64 * F.log2("n")), F.pmod(F.xxhash64("unit"), F.lit(GRAINS))
+    held, cut = 0, None
     for g, n in counts.groupBy(grade.alias("g")).agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("g")).collect():
+        if held + n > dictionary:
+            cut = g
+            break
         held += n
-        if held > dictionary:
+    if cut is None:
+        return counts.select("unit")
+    last = -1
+    for g, n in counts.filter(grade == cut).groupBy(grain.alias("g")).agg(F.count(F.lit(1)).alias("m")).orderBy("g").collect():
+        if held + n > dictionary:
             break
-        least = g
-    return counts.filter((grade >= least if least is not None else F.lit(False)) & (F.length("unit") <= LONG)).select("unit")
+        held, last = held + n, g
+    return counts.filter((grade > cut) | (grade == cut) & (grain <= last)).select("unit")
 
 
 def _merge_lattice(n: Column, edges: Column) -> Column:
@@ -424,6 +434,17 @@ def _slices(batches):
             yield b.slice(at, SLICE)
 
 
+def parts_of(text: str, size: int = CHUNK):
+    """A marked text in parts that end where a unit ends; a part is longer than `size` where its last unit is."""
+    begin = re.compile(f"(?<=[^{MARK}]){MARK}")
+    at = 0
+    while at < len(text):
+        cut = begin.search(text, at + size) if at + size < len(text) else None
+        stop = cut.start() if cut else len(text)
+        yield text[at:stop]
+        at = stop
+
+
 class Encoder:
     """What tasks need to encode: the model, the dictionary and the table of merges."""
 
@@ -442,8 +463,14 @@ class Encoder:
         def ids(texts: list) -> list[bytes]:
             found, part, size = [], [], 0
             for t in texts:
-                part.append(find(marked(t, units.model)) if t else [])
-                size += len(t or "")
+                t = marked(t, units.model) if t else ""
+                if len(t) > 2 * CHUNK:
+                    found += units.of_texts(part) if part else []
+                    found.append(b"".join(units.of_texts([find(p)])[0] for p in parts_of(t)))
+                    part, size = [], 0
+                    continue
+                part.append(find(t))
+                size += len(t)
                 if size >= CHUNK:
                     found += units.of_texts(part)
                     part, size = [], 0
