@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -48,7 +49,7 @@ STOPS = (".", "!", "?", "…", ":", ";", "\"", "”", "»", "。")
 #: with one further in; the same for words of lists.
 FEATURES = (
     "bias", "words", "few_words", "many_words", "links", "stop", "paragraph", "heading", "item", "cell", "nav", "footer", "aside", "form", "site_header", "inner_header",
-    "main", "named", "whole", "part", "inner", "list_whole", "list_part", "list_inner", "sign", "first", "last",
+    "main", "named", "whole", "part", "inner", "list_whole", "list_part", "list_inner", "sign", "first", "last", "hidden",
 )
 WHOLE, PART, INNER = 0, 1, 2
 
@@ -112,43 +113,81 @@ def _apart(listed: bool, share: float, inside: int, around: bool, mains: int) ->
     return min(1.0, (4.0 if listed else 1.0) * (1.0 - share))
 
 
+class Sides:
+    """The elements with side words, each with the one around it; what a block needs of all around it is kept along the way."""
+
+    def __init__(self):
+        self.above: list[int] = [-1]  # entry 0 is the page
+        self.element: list[Element | None] = [None]
+        self.around: list[bool] = [False]  # inside an article or main
+        self.held = [0]  # characters in it, and how many articles and mains
+        self.inside = [0]
+
+    def open(self, e: Element, above: int, around: bool) -> int:
+        self.above.append(above)
+        self.element.append(e)
+        self.around.append(around)
+        self.held.append(0)
+        self.inside.append(0)
+        return len(self.above) - 1
+
+    def shares(self) -> list[dict[int, float]]:
+        """{place among the features: how far a side} of each, the most of it and all around it."""
+        for k in range(len(self.above) - 1, 0, -1):  # what is inside is opened later
+            self.held[self.above[k]] += self.held[k]
+            self.inside[self.above[k]] += self.inside[k]
+        out: list[dict[int, float]] = [{}]
+        for k in range(1, len(self.above)):
+            e, best = self.element[k], out[self.above[k]]
+            apart = _apart(e.listed, self.held[k] / max(1, self.held[0]), self.inside[k], self.around[k], self.inside[0])
+            place = FEATURES.index("whole") + 3 * e.listed + e.form
+            out.append(best if best.get(place, 0.0) >= apart else best | {place: apart})
+        return out
+
+
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page in page order, without those of hidden elements."""
+    """The blocks of a page in page order. Time grows with the page's length, however deep its elements are."""
     texts: list[str] = []
     rows: list[list[float]] = []
     tied: list[tuple[int, int]] = []
     stack: list[Element] = []
-    under: list[list[Element]] = []  # elements with side words around each block
-    held: dict[int, int] = {}  # characters in such an element; key 0: in the page
-    inside: dict[int, int] = {}  # articles and mains in such an element; key 0: in the page
-    around: set[int] = set()  # such elements that are inside an article or main
+    within: list[int] = [0]  # the innermost entry of `sides` on each level of the stack
+    open_tags: Counter[str] = Counter()
+    state: Counter[str] = Counter()  # hidden elements, mains and elements with side words that are open
+    sides, under = Sides(), []
     parts: list[str] = []
+    never_closed: set[str] = set()
     linked = link = number = depth = low = 0
 
     def end() -> None:
         nonlocal linked, depth, low
         if parts:
             text = " ".join("".join(parts).split())
-            if text and not any(e.hidden for e in stack):
-                tags, near = {e.tag for e in stack}, {e.tag for e in stack[-3:]}
-                main = any(e.tag in MAIN_TAGS and e.main for e in stack)
+            if text:
+                near = {e.tag for e in stack[-3:]}
+                main, has = state["main"] > 0, lambda *tags: any(open_tags[t] for t in tags)
                 words = text.count(" ") + 1
-                aside = not tags.isdisjoint(("nav", "menu", "footer", "aside", "form", "fieldset", "dialog", "search"))
+                form = has("form", "fieldset", "dialog", "search")
                 rows.append([
                     1.0, np.log1p(words), words < 4, words >= 20, linked / len(text), text.endswith(STOPS), not near.isdisjoint(("p", "pre", "blockquote")), not near.isdisjoint(("h1", "h2", "h3", "h4", "h5", "h6")),
-                    not near.isdisjoint(("li", "dt", "dd")), not near.isdisjoint(("td", "th")), not tags.isdisjoint(("nav", "menu")), "footer" in tags, "aside" in tags, not tags.isdisjoint(("form", "fieldset", "dialog", "search")),
-                    "header" in tags and not main, "header" in tags and main, main, any(e.main for e in stack), 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, "©" in text and words < 40, not texts, False,
+                    not near.isdisjoint(("li", "dt", "dd")), not near.isdisjoint(("td", "th")), has("nav", "menu"), has("footer"), has("aside"), form,
+                    has("header") and not main, has("header") and main, main, state["named"] > 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, "©" in text and words < 40, not texts, False, state["hidden"] > 0,
                 ])
                 texts.append(text)
                 tied.append((stack[-2].number if len(stack) > 1 else 0, depth + len(stack) - 2 * min(low, len(stack))))
-                under.append([e for e in stack if e.form is not None])
+                under.append(within[-1])
                 depth = low = len(stack)
-                if not aside:
-                    for k in (0, *(e.number for e in under[-1])):
-                        held[k] = held.get(k, 0) + len(text)
+                if not (form or has("nav", "menu", "footer", "aside")):
+                    sides.held[within[-1]] += len(text)
             parts.clear()
         linked = 0
 
+    def pop() -> None:
+        e = stack.pop()
+        within.pop()
+        open_tags[e.tag] -= 1
+        state.subtract({"main": e.tag in MAIN_TAGS and e.main, "named": e.main, "hidden": e.hidden})
+
     at, size = 0, len(page)
     while at < size:
         m = TAG.search(page, at)
@@ -171,43 +210,48 @@ def blocks(page: str) -> list[Block]:
                 continue
             if tag in ("title", "head"):
                 end()
-            close = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at) if tag != "head" else re.compile(r"</head\b[^>]*>|<body\b", re.I).search(page, at)
+            close = None
+            if tag not in never_closed:
+                close = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at) if tag != "head" else re.compile(r"</head\b[^>]*>|<body\b", re.I).search(page, at)
             if close:
                 at = close.start() if close[0].lower().startswith("<body") else close.end()
-            elif tag in ("script", "style", "textarea", "title"):
-                at = size
+            else:
+                never_closed.add(tag)
+                if tag in ("script", "style", "textarea", "title"):
+                    at = size
             parts.append(" ")
         elif tag == "a":
             link = 0 if closing else 1
         elif tag in BLOCKS:
             end()
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
+                while open_tags[tag]:
+                    last = stack[-1].tag
+                    pop()
+                    if last == tag:
                         break
             elif tag not in VOID:
                 if stack and (stack[-1].tag == "p" or stack[-1].tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th")):
-                    stack.pop()
+                    pop()
                 low = min(low, len(stack))
                 form, listed, main, hidden = _named(tag, m[3].strip())
                 number += 1
                 if tag in MAIN_TAGS and main:
-                    for k in (0, *(e.number for e in stack if e.form is not None)):
-                        inside[k] = inside.get(k, 0) + 1
-                if form is not None and any(e.tag in MAIN_TAGS and e.main for e in stack):
-                    around.add(number)
-                stack.append(Element(tag, number, form, listed, main, hidden))
+                    sides.inside[within[-1]] += 1
+                e = Element(tag, number, form, listed, main, hidden)
+                within.append(within[-1] if form is None else sides.open(e, within[-1], state["main"] > 0))
+                stack.append(e)
+                open_tags[tag] += 1
+                state.update({"main": tag in MAIN_TAGS and main, "named": main, "hidden": hidden})
             low = min(low, len(stack))
         elif tag == "br" or tag in VOID:
             parts.append(" ")
     end()
     out = np.array(rows, float).reshape(-1, len(FEATURES))
-    first = FEATURES.index("whole")
-    for i, elements in enumerate(under):
-        for e in elements:
-            k = first + 3 * e.listed + e.form
-            out[i, k] = max(out[i, k], _apart(e.listed, held.get(e.number, 0) / max(1, held.get(0, 0)), inside.get(e.number, 0), e.number in around, inside.get(0, 0)))
+    shares = sides.shares()
+    for i, k in enumerate(under):
+        for place, share in shares[k].items():
+            out[i, place] = share
     if len(out):
         out[-1, FEATURES.index("last")] = 1.0
     return [Block(t, f, *x) for t, f, x in zip(texts, out, tied, strict=True)]
@@ -305,7 +349,8 @@ def extract(df: DataFrame, id_col="page_id", url_col="url", html_col="html") ->
     """One row for each input row: page_id, url, text, n_chars.
 
     Null, empty and text-free pages give the empty text. Repeated rows are extracted alike; an empty input
-    gives an empty result. Markup that never closes ends with the page. Hidden elements are not part of the text.
+    gives an empty result; other columns are ignored. Markup that never closes ends with the page. Hidden elements are
+    judged like others: being hidden is one of the things that the classifier looks at.
     """
     from framegrain.llm.html_model import fitted
 

@@ -8,6 +8,7 @@ edges are those under which the minimum cut errs least on TUNE_PAGES others. Bot
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from itertools import product
 from typing import NamedTuple
@@ -23,6 +24,8 @@ RIDGE = 0.3
 GRID = {"near": (0.0, 0.25, 0.5, 1.0, 2.0), "parent": (0.0, 0.5, 1.0), "decay": (0.3, 0.6)}
 #: First characters of a drawn block that is content and of one that is not.
 KEPT, LEFT = "", ""
+#: Ways to hide an element. Where text is concerned they say little: much of it is shown later, or hidden from readers' aids only.
+HIDDEN = (" hidden", ' aria-hidden="true"', ' style="display: none"')
 
 
 class Model(NamedTuple):
@@ -35,6 +38,7 @@ class Pages:
 
     def __init__(self, seed: int):
         self.rng = np.random.default_rng(seed)
+        self.aside = np.random.default_rng(seed + 7)
         self.pool = ["".join(map(chr, self.rng.integers(97, 123, self.rng.integers(2, 10)))) for _ in range(500)]
 
     def one(self, *choices):
@@ -135,6 +139,11 @@ class Pages:
         return self.one(f"<footer>{sign}</footer>", f"<footer>{sign}</footer>", f"<footer>{self.filling()}<p>{sign}</p></footer>", f"<div{self.attr('footer', 'site-footer', 'copyright')}>{sign}</div>", f"<p>{sign}</p>", "")
 
     def page(self) -> str:
+        """A page of which a few blocks, of the text or not, are marked as hidden."""
+        mark = lambda m: m[0] if self.aside.random() >= (0.04 if m[2] == KEPT else 0.06) else f"<{m[1]}{HIDDEN[self.aside.integers(len(HIDDEN))]}>{m[2]}"
+        return re.sub(f"<([a-z0-9]+)>([{KEPT}{LEFT}])", mark, self.plain_page())
+
+    def plain_page(self) -> str:
         if self.odds(0.06):
             return self.one(f"{KEPT}{self.prose()}", f"<p>{KEPT}{self.prose()}", f"<div>{KEPT}{self.words(3, 30)}</div>", f"<body>{self.top()}{self.bottom()}</body>")
         story = self.one(
