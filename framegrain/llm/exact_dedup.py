@@ -118,7 +118,10 @@ def exact_dedup(df: DataFrame, keep: str = "max", digest_bytes: int = 32, id_col
     out = _salted_join(narrow, groups, hot, "left")
     mine = F.col("r") == F.coalesce(F.col("best"), F.col("r"))
     out = out.select("doc_id", "sha", "r", F.coalesce("best", "r").alias("best"), F.coalesce("n", F.lit(1)).cast("long").alias("n"), mine.alias("mine"), F.coalesce("n_best", F.lit(1)).alias("n_best"))
-    tied = out.filter(F.col("mine") & (F.col("n_best") > 1)).withColumn("kept", F.row_number().over(W.partitionBy("sha").orderBy("r")) == 1)
+    # Rows that repeat an id and its text: one number a digest is chosen while rows aggregate, and found again by number, which no two rows share.
+    tied = written(out.filter(F.col("mine") & (F.col("n_best") > 1)).withColumn("number", F.monotonically_increasing_id()), "tied")
+    chosen = tied.groupBy("sha").agg(F.min("number").alias("number")).select("number", F.lit(True).alias("chosen"))
+    tied = tied.join(chosen, "number", "left").withColumn("kept", F.col("chosen").isNotNull()).drop("number", "chosen")
     rest = out.filter(~(F.col("mine") & (F.col("n_best") > 1))).withColumn("kept", F.col("mine"))
     return rest.unionByName(tied).select("doc_id", _id(F.col("best"), sign).alias("keep_id"), F.col("n").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 

@@ -19,6 +19,8 @@ from framegrain.llm.common import SEED
 ROUNDS = 8
 #: Steps along a cycle that one expression allows. Each step stays outside with a chance below one half.
 WALK = 96
+#: Copies of one row that one task makes at most.
+ALIKE_ROWS = 10_000
 
 
 def _digits(*parts: Column, hexes: int = 15) -> Column:
@@ -75,13 +77,14 @@ def numbered(df: DataFrame, keys: list[str], bucket_rows: int = 50_000) -> tuple
     totals = groups.groupBy("_b").agg(F.sum("_c").alias("_t"))
     starts = totals.select("_b", (F.sum("_t").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_t")).alias("_s"))
     within = W.partitionBy("_b").orderBy(*[F.asc_nulls_first(k) for k in keys])
-    out = (
-        groups.withColumn("_o", F.sum("_c").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("_c"))
-        .join(starts, "_b")
-        .withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1)))
-        .select(*keys, (F.col("_s") + F.col("_o") + F.col("_k")).alias("row"))
-    )
-    return out, n
+    placed = groups.withColumn("_o", F.sum("_c").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")).join(starts, "_b")
+    span = lambda low, high: F.explode(F.sequence(low, high))
+    few = placed.filter(F.col("_c") <= ALIKE_ROWS).withColumn("_k", span(F.lit(0).cast("long"), F.col("_c") - 1))
+    # Copies of one row are made by several tasks, a part of them each.
+    parts = placed.filter(F.col("_c") > ALIKE_ROWS).withColumn("_p", span(F.lit(0).cast("long"), F.floor((F.col("_c") - 1) / ALIKE_ROWS)))
+    parts = parts.repartition(F.col("_p"), *[F.col(k) for k in keys])
+    many = parts.withColumn("_k", span(F.col("_p") * ALIKE_ROWS, F.least(F.col("_c"), (F.col("_p") + 1) * ALIKE_ROWS) - 1))
+    return few.unionByName(many.drop("_p")).select(*keys, (F.col("_s") + F.col("_o") + F.col("_k")).alias("row")), n
 
 
 def shard(df: DataFrame, shards: int = 24, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
