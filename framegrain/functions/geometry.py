@@ -197,8 +197,8 @@ def _moved(pose: Column, delta: Column) -> Column:
 def forward_kinematics(joints: Column, chain: list[dict]) -> Column:
     """struct(position, rotation) of the last link of a serial chain.
 
-    chain: {"kind": revolute | continuous | prismatic | fixed, "xyz", "rpy", "axis", "sign", "offset"}; joints are
-    consumed in order by the links that move.
+    chain: {"kind": revolute | continuous | prismatic | fixed, "xyz", "rpy", "axis", "sign", "offset", "index"}; a link that
+    moves takes the joint at its index, or the next one.
     """
     pose = (F.array(*[F.lit(0.0)] * 3), F.array(*[F.lit(float(x)) for x in (1, 0, 0, 0, 1, 0, 0, 0, 1)]))
     used, out = 0, F.struct(pose[0].alias("position"), pose[1].alias("rotation"))
@@ -207,7 +207,7 @@ def forward_kinematics(joints: Column, chain: list[dict]) -> Column:
         fixed = F.struct(vec(link.get("xyz", (0, 0, 0))).alias("translation"), euler_to_matrix(vec(link.get("rpy", (0, 0, 0)))).alias("rotation"))
         out = _moved(out, fixed)
         if link["kind"] != "fixed":
-            q = F.get(joints, F.lit(used)) * float(link.get("sign", 1)) + float(link.get("offset", 0))
+            q = F.get(joints, F.lit(link.get("index", used))) * float(link.get("sign", 1)) + float(link.get("offset", 0))
             used += 1
             axis = link.get("axis", (0, 0, 1))
             n = math.sqrt(sum(a * a for a in axis))

@@ -103,3 +103,19 @@ def image_stats(images: DataFrame, frame: str, pixels: str) -> DataFrame:
     rows = images.select(frame, F.posexplode(pixels).alias("channel", "plane")).select(frame, "channel", F.explode("plane").alias("v"))
     x = F.col("v") / 255.0
     return rows.groupBy("channel").agg(F.countDistinct(frame).alias("n"), F.avg(x).alias("mean"), F.sqrt(F.greatest(F.avg(x * x) - F.avg(x) * F.avg(x), F.lit(0.0))).alias("std"))
+
+
+def sketches(df: DataFrame, value: str, keys: list[str], size: int = 200) -> DataFrame:
+    """(keys, n, sketch): a quantile sketch of each group as a binary column, to be kept in a table of statistics and merged later.
+
+    A rank is off by about 1.7 / size of a group's rows at most, with 99% confidence; a group of up to `size` values is exact.
+    Nulls and NaN are left out.
+    """
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), size).alias("sketch"))
+
+
+def merged_quantiles(partial: DataFrame, keys: list[str], quantiles: dict[str, float], size: int = 200) -> DataFrame:
+    """(keys, n, one column a quantile) of the sketches of each group: the smallest value with at least that share of values up to it."""
+    merged = partial.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", size).alias("_s"))
+    return merged.select(*keys, "n", *[F.kll_sketch_get_quantile_double("_s", F.lit(float(q))).alias(name) for name, q in quantiles.items()])

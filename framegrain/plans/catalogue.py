@@ -402,4 +402,4 @@ def error_by_position(spark, sf_dir):
     return metrics.error_by_position(rows, ["label"], "embedding", "other").withColumn("mae", _r(F.col("mae")))
 
 
-from framegrain.plans import governed, recipes, recorded, streamed  # noqa: E402, F401
+from framegrain.plans import compared, governed, recipes, recorded, streamed  # noqa: E402, F401
