@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framegrain.operators.ranges import running
+
 # --- listings and sources ----------------------------------------------------------------------------------
 
 
@@ -125,11 +127,23 @@ def save_manifest(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
 
 
-def digest(df: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
-    """One row (rows, sha256) over the texts of a small table's columns in order: `|` between columns, a new line after each row; null is empty."""
-    line = F.concat(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit("\n"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("_l")))), lambda r: r["_l"]), "")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sha2(text, 256).alias("sha256"))
+def digest(df: DataFrame, order: list[str], columns: list[str], fan: int = 1_024) -> DataFrame:
+    """One row (rows, sha256): the root of a tree of hashes over a table in order, whatever its size.
+
+    A leaf is the text of a row's columns with `|` between them and a new line after them; null is empty. `fan` leaves, and
+    above them `fan` hashes, are joined and hashed, until one hash is left. An empty table has the hash of the empty text.
+    """
+    leaf = F.concat(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit("\n"))
+    level = running(df.select(*order, leaf.alias("_l")), order).select(F.col("number").alias("_n"), "_l")
+    rows = level.count()
+    left = rows
+    while True:
+        parts = level.groupBy(F.floor(F.col("_n") / fan).alias("_n")).agg(F.array_sort(F.collect_list(F.struct("_n", "_l"))).alias("_p"))  # at most `fan` entries
+        level = parts.select("_n", F.sha2(F.array_join(F.transform("_p", lambda p: p["_l"]), ""), 256).alias("_l"))
+        left = -(-left // fan)
+        if left <= 1:
+            break
+    return level.agg(F.lit(rows).cast("long").alias("rows"), F.coalesce(F.first("_l"), F.sha2(F.lit(""), 256)).alias("sha256"))
 
 
 def dataset_info(frames: DataFrame, episode: str, task: str, fps: float) -> DataFrame:

@@ -1,7 +1,7 @@
 """Regression, ranking, calibration and rollout metrics.
 
 Ranks are distributed: values are counted first, ranks come from prefix sums over ranges of counts, so no
-metric sorts all rows in one task.
+metric sorts all rows in one task, however many there are.
 """
 
 from __future__ import annotations
@@ -12,27 +12,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Value ranges that prefix sums over all values are split into.
-RANGES = 64
+from framegrain.operators.ranges import prefixed
 
 
-def counted(df: DataFrame, value: str, sums: dict[str, Column], number: str | None = None) -> DataFrame:
-    """(value, sums, before_*): for each distinct value the sums over its rows and over all rows of smaller ones.
-
-    Values fall into RANGES ranges of like size by the number they are ordered by first (`number`, the value
-    itself unless it is a struct); each range adds the totals of the ranges before it, RANGES rows at most.
-    """
-    number = number or value
-    cuts = df.agg(F.percentile_approx(number, [k / RANGES for k in range(1, RANGES)])).first()[0] or []
-    edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+def counted(df: DataFrame, value: str, sums: dict[str, Column]) -> DataFrame:
+    """(value, sums, before_*): for each distinct value the sums over its rows and over all rows of smaller ones."""
     per = df.groupBy(value).agg(*[c.alias(k) for k, c in sums.items()])
-    parts = per.withColumn("_p", F.size(F.filter(edges, lambda e: e <= F.col(number))))
-    w = Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    totals = parts.groupBy("_p").agg(*[F.sum(k).alias(f"_t_{k}") for k in sums])
-    over = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_p", *[F.coalesce(F.sum(f"_t_{k}").over(over), F.lit(0)).alias(f"_o_{k}") for k in sums])
-    inside = parts.select("*", *[F.coalesce(F.sum(k).over(w), F.lit(0)).alias(f"_w_{k}") for k in sums])
-    return inside.join(F.broadcast(offsets), "_p").select(value, *sums, *[(F.col(f"_w_{k}") + F.col(f"_o_{k}")).alias(f"before_{k}") for k in sums])
+    return prefixed(per, [value], {k: F.col(k) for k in sums})
 
 
 def regression_errors(predicted: Column, target: Column) -> list[Column]:
@@ -59,7 +45,7 @@ def average_precision(df: DataFrame, score: str, label: str, tie: str) -> DataFr
     """One row: the mean of precision at each positive, scores descending, ties by `tie`; null without positives."""
     key = F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t"))
     rows = df.withColumn("_k", key)
-    per = counted(rows, "_k", number="_k.s", sums={"p": F.sum(F.col(label).cast("long")), "c": F.count(F.lit(1))})
+    per = counted(rows, "_k", {"p": F.sum(F.col(label).cast("long")), "c": F.count(F.lit(1))})
     precision = (F.col("before_p") + F.col("p")) / (F.col("before_c") + F.col("c"))
     return per.agg(F.sum("p").alias("positives"), (F.sum(F.col("p") * precision) / F.sum("p")).alias("average_precision"))
 

@@ -1,47 +1,47 @@
 """Prefix sums over a whole table without a window over the whole table.
 
-Rows fall into ranges of the ordering column, each range is summed up in a window of its own, and the totals of
-the ranges before it are added: one row a range comes to the driver, and their number is fixed.
+Rows fall into ranges of the ordering columns, as many as hold ROWS rows each; each range is summed up in a window of its
+own, and the totals of the ranges before it are added. The one window over all ranges sees one row for each of them.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
-#: Values that the borders of ranges are read from, for each range.
-SAMPLED = 16
-
+from framegrain.session import stored
 
-def borders(df: DataFrame, column: str, ranges: int = RANGES) -> Column:
-    """An array of at most ranges - 1 values that cut the column into parts of like size.
-
-    They come from the ranges * SAMPLED values with the smallest hashes: a bounded sample, the same on any rerun.
-    """
-    kind = df.schema[column].dataType
-    sample = df.filter(F.col(column).isNotNull()).select(column).orderBy(F.xxhash64(column, F.lit(17)), column).limit(ranges * SAMPLED).collect()
-    values = sorted(r[0] for r in sample)
-    cuts = sorted({values[len(values) * k // ranges] for k in range(1, ranges)}) if values else []
-    return F.array(*[F.lit(c).cast(kind) for c in cuts]) if cuts else F.array().cast(f"array<{kind.simpleString()}>")
+#: Rows of a range, about.
+ROWS = 500_000
 
 
-def running(df: DataFrame, order: list[str], sums: dict[str, Column] | None = None, ranges: int = RANGES) -> DataFrame:
-    """df with `number`, its place from 0 in the order, and before_{name}: the sum over all rows before. Nulls come first.
+def prefixed(df: DataFrame, order: list[str], sums: dict[str, Column], rows: int = ROWS) -> DataFrame:
+    """df with before_{name}: the sum over all rows before in the order, which should be total. Nulls come first.
 
-    The first column of `order` cuts the ranges, so it should have many values.
+    All columns of `order` cut the ranges, so many rows alike in the first one are no hot range. A table of more than `rows`
+    rows is written once, by range.
     """
+    parts = math.ceil(df.count() / rows)
+    values = df.withColumns({f"_v_{k}": c for k, c in sums.items()})
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    if parts > 1:
+        values = stored(values.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    else:
+        values = values.withColumn("_part", F.lit(0))
+    upto = before(Window.partitionBy("_part").orderBy(*order))
+    inside = values.withColumns({f"_s_{k}": F.coalesce(F.sum(f"_v_{k}").over(upto), F.lit(0)) for k in sums})
+    if parts <= 1:
+        return inside.select(*df.columns, *[F.col(f"_s_{k}").alias(f"before_{k}") for k in sums])
+    totals = values.groupBy("_part").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
+    over = before(Window.orderBy("_part"))  # one row for each range
+    ahead = totals.select("_part", *[F.coalesce(F.sum(f"_t_{k}").over(over), F.lit(0)).alias(f"_o_{k}") for k in sums])
+    return inside.join(ahead, "_part").select(*df.columns, *[(F.col(f"_s_{k}") + F.col(f"_o_{k}")).alias(f"before_{k}") for k in sums])
+
+
+def running(df: DataFrame, order: list[str], sums: dict[str, Column] | None = None, rows: int = ROWS) -> DataFrame:
+    """df with `number`, its place from 0 in the order, and before_{name}: the sum over all rows before. Nulls come first."""
     sums = sums or {}
-    cuts = borders(df, order[0], ranges)
-    part = F.coalesce(F.size(F.filter(cuts, lambda c: c <= F.col(order[0]))), F.lit(0))
-    rows = df.withColumn("_part", part).withColumns({f"_v_{k}": c for k, c in sums.items()})
-    upto = Window.partitionBy("_part").orderBy(*order)
-    inside = rows.withColumn("_i", F.row_number().over(upto) - 1)
-    inside = inside.withColumns({f"_s_{k}": F.coalesce(F.sum(f"_v_{k}").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for k in sums})
-    totals = {r[0]: r[1:] for r in rows.groupBy("_part").agg(F.count(F.lit(1)), *[F.sum(f"_v_{k}") for k in sums]).collect()}  # at most `ranges` rows
-    ahead, so_far = [], [0] * (1 + len(sums))
-    for p in range(ranges):
-        ahead.append(so_far)
-        so_far = [a + (b or 0) for a, b in zip(so_far, totals.get(p, [0] * len(so_far)), strict=True)]
-    before = [F.get(F.array(*[F.lit(a[j]) for a in ahead]), F.col("_part")) for j in range(len(so_far))]
-    return inside.select(*df.columns, (F.col("_i") + before[0]).cast("long").alias("number"), *[(F.col(f"_s_{k}") + before[1 + j]).alias(f"before_{k}") for j, k in enumerate(sums)])
+    out = prefixed(df, order, {"_number": F.lit(1).cast("long"), **sums}, rows)
+    return out.select(*df.columns, F.col("before__number").cast("long").alias("number"), *[f"before_{k}" for k in sums])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from framegrain.functions import geometry, text
@@ -655,18 +656,21 @@ def _files(spark, sf_dir):
 def listed_sources(spark, sf_dir):
     """SRC-11, SRC-24, UDF-06: a lister that is passed in, episodes and whole ids that are excluded, and no source twice."""
     files = _files(spark, sf_dir)
-    found = datasets.listed(spark, ["en", "de", "fr", "es"], lambda s, root: files.filter(F.col("lang") == root))
+    roots = [r["lang"] for r in files.select("lang").distinct().orderBy("lang").collect()]  # one row a root
+    found = datasets.listed(spark, roots, lambda s, root: files.filter(F.col("lang") == root))
     docs = read(spark, sf_dir, "documents")
     gone = docs.filter("doc_id % 10 = 0").select(F.concat(F.lit("ep"), "doc_id").alias("id")).unionByName(docs.filter("source = 'src3'").select(F.concat(F.lit("src3/ep"), "doc_id").alias("id")))
     rows = datasets.sources(found, F.get(F.split("path", "/"), F.lit(2)), gone)
     return rows.join(found.select("path", "root"), "path").select("root", "collection", "episode_id", "length")
 
 
-@query("""SELECT source AS task, count(*) FILTER (n_chars >= 400) AS files, coalesce(sum(n_chars) FILTER (n_chars >= 400), 0)::BIGINT AS bytes, count(*) FILTER (n_chars < 400) AS corrupt FROM documents WHERE doc_id % 2 = 1 GROUP BY source""")
+@query("""SELECT source AS task, count(*) FILTER (n_chars >= 400) AS files, coalesce(sum(n_chars) FILTER (n_chars >= 400), 0)::BIGINT AS bytes, count(*) FILTER (n_chars < 400) AS corrupt FROM documents GROUP BY source""")
 def task_file_groups(spark, sf_dir):
     """SRC-22: files that can't be read are counted apart."""
-    files = _files(spark, sf_dir).filter("doc_id % 2 = 1").withColumn("error", F.when(F.col("length") < 400, "truncated"))
-    return datasets.task_groups(files, 2)
+    files = _files(spark, sf_dir).withColumn("error", F.when(F.col("length") < 400, "truncated"))
+    # Half of the files lie one folder deeper.
+    deeper = F.size(F.split("path", "/")) == 6
+    return datasets.task_groups(files.filter(deeper), 3).unionByName(datasets.task_groups(files.filter(~deeper), 2)).groupBy("task").agg(*[F.sum(c).alias(c) for c in ("files", "bytes", "corrupt")])
 
 
 @query("""SELECT s_suppkey, CASE s_nationkey % 4 WHEN 0 THEN 'dual' WHEN 1 THEN 'left' WHEN 2 THEN 'right' ELSE 'single' END AS layout FROM supplier""")
@@ -700,11 +704,13 @@ def episode_metadata(spark, sf_dir):
     return datasets.episode_lines(read_events(spark, sf_dir), "user_id", "event_type")
 
 
-@query("""SELECT count(*) AS rows, sha256(string_agg(user_id || '|' || n || '|' || k || chr(10), '' ORDER BY user_id)) AS sha256 FROM (SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS k FROM events GROUP BY user_id)""")
+@query("""WITH p AS (SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS k FROM events GROUP BY user_id), l AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS i, user_id || '|' || n || '|' || k || chr(10) AS l FROM p),
+a AS (SELECT i // 64 AS i, sha256(string_agg(l, '' ORDER BY i)) AS l FROM l GROUP BY i // 64), b AS (SELECT i // 64 AS i, sha256(string_agg(l, '' ORDER BY i)) AS l FROM a GROUP BY i // 64), c AS (SELECT sha256(string_agg(l, '' ORDER BY i)) AS l FROM b)
+SELECT (SELECT count(*) FROM l) AS rows, CASE WHEN (SELECT count(*) FROM a) = 1 THEN (SELECT l FROM a) WHEN (SELECT count(*) FROM b) = 1 THEN (SELECT l FROM b) ELSE (SELECT l FROM c) END AS sha256""")
 def stats_sidecar(spark, sf_dir):
-    """SNK-08, AUD-03: a hash over a table of statistics."""
+    """SNK-08, AUD-03: a tree of hashes over a table of statistics."""
     per = read_events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_type").alias("k"))
-    return datasets.digest(per, ["user_id"], ["user_id", "n", "k"])
+    return datasets.digest(per, ["user_id"], ["user_id", "n", "k"], fan=64)
 
 
 @query("""SELECT count(*) AS rows, true AS refused, count(*) + 1 AS replaced FROM nation""")
@@ -715,8 +721,8 @@ def frozen_manifest(spark, sf_dir):
     try:
         datasets.save_manifest(nation, path)
         refused = False
-    except Exception as e:  # Spark's own error classes differ by version
-        refused = "exist" in str(e).lower()
+    except AnalysisException as e:
+        refused = e.getCondition() == "PATH_ALREADY_EXISTS"
     first = spark.read.parquet(path).count()
     datasets.save_manifest(nation.unionByName(nation.limit(1)), path, overwrite=True)
     return spark.read.parquet(path).agg(F.lit(first).cast("long").alias("rows"), F.lit(refused).alias("refused"), F.count(F.lit(1)).alias("replaced"))
@@ -810,11 +816,17 @@ def metric_gauges(spark, sf_dir):
     return tables.latest_gauges(rows.unionByName(nan))
 
 
-@query("""SELECT '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || r_name || ' |', chr(10) ORDER BY r_regionkey) || chr(10) AS report FROM region""")
+@query("""SELECT 0 AS line, '| key | name | n |' AS text UNION ALL SELECT 1, '| --- | --- | --- |' UNION ALL
+SELECT 1 + row_number() OVER (ORDER BY c_custkey), '| ' || c_custkey || ' | ' || c_name || ' | ' || coalesce(n::VARCHAR, '') || ' |' FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey""")
 def markdown_report(spark, sf_dir):
-    """SNK-14"""
-    rows = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")).orderBy("key")
-    return spark.createDataFrame([(tables.markdown(rows),)], "report string")
+    """SNK-14: a report of any length, line by line, read back from the file that was written."""
+    counts = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    rows = read(spark, sf_dir, "customer").join(counts, F.col("o_custkey") == F.col("c_custkey"), "left").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), "n")
+    path = _place(spark)
+    tables.write_markdown(rows, ["key"], path)
+    lines = tables.markdown_lines(rows, ["key"])
+    there = spark.read.text(path).select(F.col("value").alias("text"))
+    return lines.join(there, "text", "left_semi")
 
 
 @query("""SELECT source AS schema_id, lang AS family, count(*) AS files, list(DISTINCT n_chars % 3 ORDER BY n_chars % 3) AS stations, count(DISTINCT n_chars % 50) AS tasks, count(*) FILTER (n_chars > 2000) AS passed, min(doc_id) AS representative FROM documents GROUP BY lang, source""")

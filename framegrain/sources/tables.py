@@ -169,6 +169,25 @@ def export_order(ring: DataFrame, sequence: str, done: str, stream: str) -> Data
     return number_frames(rows, "episode_index", [sequence])
 
 
+def markdown_lines(df: DataFrame, order: list[str]) -> DataFrame:
+    """(line, text): a table as Markdown, one row a line, in order of `line` from 0; null is empty and `|` is escaped.
+
+    Rows come in the given order, which should be total; lines are made where the rows are.
+    """
+    from framegrain.operators.ranges import running
+
+    spark = df.sparkSession
+    cell = lambda c: F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    joined = lambda cells: F.concat(F.lit("| "), F.array_join(F.array(*cells), " | "), F.lit(" |"))
+    head = spark.range(2).select(F.col("id").alias("line"), F.when(F.col("id") == 0, joined([F.lit(c) for c in df.columns])).otherwise(joined([F.lit("---") for _ in df.columns])).alias("text"))
+    return head.unionByName(running(df, order).select((F.col("number") + 2).alias("line"), joined([cell(c) for c in df.columns]).alias("text")))
+
+
+def write_markdown(df: DataFrame, order: list[str], path: str) -> None:
+    """The lines of `markdown_lines` as text files whose names keep their order."""
+    markdown_lines(df, order).repartitionByRange("line").sortWithinPartitions("line").select("text").write.text(path)
+
+
 #: Rows of a report that is rendered on the driver.
 MOST_REPORT_ROWS = 10_000
 
