@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from importlib.util import find_spec
 
 from pyspark.sql import functions as F
 
 from framegrain.plans.registry import EV, query, r6, read, read_events, read_frames
 from framegrain.session import shared_dir
 from framegrain.streaming import operators as streams
+from framegrain.streaming import timed
 
 
 def _place(spark) -> str:
@@ -93,7 +95,7 @@ def stream_incremental_poll(spark, sf_dir):
     place = _place(spark)
     events = read_events(spark, sf_dir)
     done = events.filter("event_type = 'click'").select("event_id")
-    streams.poll(spark, f"{sf_dir}/events.parquet*", events.schema, done, "event_id", lambda batch, number: batch.write.mode("append").parquet(f"{place}/out"), f"{place}/state").awaitTermination()
+    streams.poll(spark, f"{sf_dir}/events.parquet*", events.schema, lambda: done, "event_id", lambda batch, number: batch.write.mode("append").parquet(f"{place}/out"), f"{place}/state").awaitTermination()
     return spark.read.schema(events.schema).parquet(f"{place}/out").groupBy((F.col("event_id") % 7 == 0).alias("late")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -127,3 +129,45 @@ def chunk_overlap_merge_all(spark, sf_dir):
     executed = new.filter("chunk > 0").select("user_id", "chunk", (10 * F.col("chunk") + 4).alias("executed"))
     out = streams.merged_batch(new.withColumn("chunk", F.col("chunk") + 1), new, executed, ["user_id", "chunk"])
     return out.withColumn("action", r6(F.col("action")))
+
+
+#: Spark's state with timers talks to Python in protocol buffers.
+timed_query = query if find_spec("google") and find_spec("google.protobuf") else lambda sql: lambda f: f
+
+
+def _timed(spark, run):
+    """run() with the state store that timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, timed.PROVIDER)
+    try:
+        return run()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+@timed_query("""WITH RECURSIVE e AS (SELECT user_id, event_type AS holder, event_type = 'purchase' AS gives, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS i FROM events),
+r AS (SELECT user_id, 0::BIGINT AS i, NULL::VARCHAR AS h, NULL::BIGINT AS b, NULL::BIGINT AS u, [] ::STRUCT(h VARCHAR, b BIGINT, e BIGINT, w VARCHAR)[] AS o FROM (SELECT DISTINCT user_id FROM e) UNION ALL
+SELECT user_id, i, CASE WHEN gives AND h0 IS NOT DISTINCT FROM holder THEN NULL WHEN gives THEN h0 ELSE holder END, CASE WHEN gives AND h0 IS NOT DISTINCT FROM holder THEN NULL WHEN gives THEN b0 WHEN h0 = holder THEN b0 ELSE t END,
+  CASE WHEN gives AND h0 IS NOT DISTINCT FROM holder THEN NULL WHEN gives THEN u0 ELSE t + 10800000 END,
+  list_concat(list_concat(CASE WHEN h IS NOT NULL AND u <= t THEN [{'h': h, 'b': b, 'e': u, 'w': 'expired'}] ELSE [] END, CASE WHEN gives AND h0 = holder THEN [{'h': h0, 'b': b0, 'e': t, 'w': 'released'}] ELSE [] END), CASE WHEN NOT gives AND h0 <> holder THEN [{'h': h0, 'b': b0, 'e': t, 'w': 'taken over'}] ELSE [] END)
+  FROM (SELECT r.user_id, e.i, r.h, r.b, r.u, e.holder, e.gives, e.t, CASE WHEN r.u <= e.t THEN NULL ELSE r.h END AS h0, CASE WHEN r.u <= e.t THEN NULL ELSE r.b END AS b0, CASE WHEN r.u <= e.t THEN NULL ELSE r.u END AS u0 FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)),
+x AS (SELECT user_id, unnest(o) AS o FROM r UNION ALL SELECT user_id, {'h': h, 'b': b, 'e': u, 'w': 'expired'} FROM r WHERE h IS NOT NULL AND i = (SELECT max(i) FROM e WHERE e.user_id = r.user_id) AND u <= (SELECT max(t) FROM e))
+SELECT user_id, o.h AS holder, o.b AS began_ms, o.e AS ended_ms, o.w AS reason FROM x""")
+def stream_leases(spark, sf_dir):
+    """STM-09, STM-13: leases that are released, taken over or run out."""
+    stream = _stream(spark, sf_dir).select("user_id", "ts", "event_id", "event_type", (F.col("event_type") == "purchase").alias("gives"))
+    out = _timed(spark, lambda: _finished(timed.leases(stream, "user_id", "ts", "event_id", "event_type", "gives", 10_800), "append"))
+    return out.select(F.col("key").alias("user_id"), "holder", F.unix_millis("began").alias("began_ms"), F.unix_millis("ended").alias("ended_ms"), "reason")
+
+
+@timed_query("""WITH RECURSIVE e AS (SELECT user_id, value, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS i FROM events),
+r AS (SELECT user_id, i, t AS last, false AS waits, 0.0::DOUBLE AS held, [{'t': t, 'v': value}] AS o FROM e WHERE i = 1 UNION ALL
+SELECT user_id, i, CASE WHEN l0 + 7200000 <= t THEN t ELSE l0 END, l0 + 7200000 > t, CASE WHEN l0 + 7200000 > t THEN value ELSE held END, list_concat(CASE WHEN due THEN [{'t': l0, 'v': held}] ELSE [] END, CASE WHEN l0 + 7200000 <= t THEN [{'t': t, 'v': value}] ELSE [] END)
+  FROM (SELECT r.user_id, e.i, e.t, e.value, r.held, r.waits AND r.last + 7200000 <= e.t AS due, CASE WHEN r.waits AND r.last + 7200000 <= e.t THEN r.last + 7200000 ELSE r.last END AS l0, r.waits FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)),
+x AS (SELECT user_id, unnest(o) AS o FROM r UNION ALL SELECT user_id, {'t': last + 7200000, 'v': held} FROM r WHERE waits AND i = (SELECT max(i) FROM e WHERE e.user_id = r.user_id) AND last + 7200000 <= (SELECT max(t) FROM e))
+SELECT user_id, o.t AS at_ms, round(o.v, 6) AS value FROM x""")
+def stream_throttled(spark, sf_dir):
+    """STM-06: the latest value of a user, pushed every two hours at most."""
+    out = _timed(spark, lambda: _finished(timed.throttled(_stream(spark, sf_dir), "user_id", "ts", "event_id", "value", 7_200), "append"))
+    return out.select(F.col("key").alias("user_id"), F.unix_millis("at").alias("at_ms"), r6(F.col("value")).alias("value"))

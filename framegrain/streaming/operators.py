@@ -5,7 +5,7 @@ State is keyed, so it is spread over the state stores by stream; each operator's
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,21 @@ def combined(name: str, older, newer):
     return newer if share == 1 else older + (newer - older) * share
 
 
+def in_order(batches: Iterator, by: list[str], slice_rows: int = 1_000) -> Iterator:
+    """A key's rows of one micro-batch in order, in pandas slices, however many Arrow batches they come in.
+
+    They are held and sorted as Arrow columns; only a slice at a time becomes Python objects.
+    """
+    import pyarrow as pa
+
+    held = [pa.Table.from_pandas(pdf, preserve_index=False) for pdf in batches]
+    if held:
+        table = pa.concat_tables(held)
+        order = pa.compute.sort_indices(table, sort_keys=[(c, "ascending") for c in by])
+        for at in range(0, len(order), slice_rows):
+            yield table.take(order.slice(at, slice_rows)).to_pandas()
+
+
 def finite(vectors: list[str]) -> Column:
     """Whether all vector columns have finite elements only."""
     out = F.lit(True)
@@ -68,9 +83,9 @@ def similarity_filter(stream: DataFrame, key: str, step: str, state: str, must:
         import pandas as pd
 
         last, starts, ends = (list(x) for x in held.get) if held.exists else ([], [], [])
-        for pdf in batches:
+        for pdf in in_order(batches, [step]):
             out = []
-            for row in pdf.sort_values(step, kind="stable").itertuples(index=False):
+            for row in pdf.itertuples(index=False):
                 s, v = getattr(row, step), np.asarray(getattr(row, state), float)
                 at = bisect_right(starts, s)  # ranges before `at` start at s or before
                 known = at > 0 and s <= ends[at - 1]
@@ -103,7 +118,7 @@ def merge_chunks(stream: DataFrame, key: str, order: str, first: str, actions: s
 
     A chunk covers steps first, first + 1, ... Steps up to `executed` are dropped as late; steps that the old
     queue has too are combined; old steps that the chunk lacks are discarded. State is one chunk a key. A key's
-    chunks of one micro-batch are sorted in memory; maxFilesPerTrigger bounds them.
+    chunks of one micro-batch are sorted as Arrow columns; maxFilesPerTrigger bounds them. Queues leave as they are made.
     """
     kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, order)}
 
@@ -111,18 +126,19 @@ def merge_chunks(stream: DataFrame, key: str, order: str, first: str, actions: s
         import pandas as pd
 
         steps, values = (list(x) for x in held.get) if held.exists else ([], [])
-        queue, out = dict(zip(steps, values, strict=True)), []
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        for row in rows.itertuples(index=False):
-            new = {}
-            for k, a in enumerate(getattr(row, actions)):
-                s = int(getattr(row, first)) + k
-                if s > getattr(row, executed):
-                    new[s] = combined(combine, queue[s], float(a)) if s in queue else float(a)
-            queue = new
-            out += [(keys[0], getattr(row, order), s, a) for s, a in queue.items()]
+        queue = dict(zip(steps, values, strict=True))
+        for pdf in in_order(batches, [order], 100):
+            out = []
+            for row in pdf.itertuples(index=False):
+                new = {}
+                for k, a in enumerate(getattr(row, actions)):
+                    s = int(getattr(row, first)) + k
+                    if s > getattr(row, executed):
+                        new[s] = combined(combine, queue[s], float(a)) if s in queue else float(a)
+                queue = new
+                out += [(keys[0], getattr(row, order), s, a) for s, a in queue.items()]
+            yield pd.DataFrame(out, columns=[key, order, "step", "action"])
         held.update((list(queue), list(queue.values())))
-        yield pd.DataFrame(out, columns=[key, order, "step", "action"])
 
     return stream.select(key, order, first, actions, executed).groupBy(key).applyInPandasWithState(
         task, f"{key} {kinds[key]}, {order} {kinds[order]}, step long, action double", "steps array<bigint>, values array<double>", "append", GroupStateTimeout.NoTimeout
@@ -181,8 +197,14 @@ def in_parts(df: DataFrame, message: str, payload: str, size: int) -> DataFrame:
     return rows.select(message, "part", kind.alias("kind"), F.substring(payload, F.col("part") * size + 1, F.lit(size)).alias(payload))
 
 
-def poll(spark, source: str, schema, done: DataFrame, key: str, work, checkpoint: str, fmt: str = "parquet"):
-    """Runs work(batch, number) on rows of new files whose key is not done, then stops."""
+def poll(spark, source: str, schema, done: Callable[[], DataFrame], key: str, work: Callable[[DataFrame, int], None], checkpoint: str, fmt: str = "parquet"):
+    """Runs work(batch, number) on rows of new files whose key is not done, then stops.
+
+    `done` gives the table of what is done; it is asked anew for each batch, so what an earlier batch or another job has done
+    since is left out. Files that come late are new files whatever their time.
+    """
+    def each(batch: DataFrame, number: int) -> None:
+        work(batch.join(done().select(key), key, "left_anti"), number)
+
     stream = spark.readStream.schema(schema).format(fmt).load(source)
-    todo = stream.join(done.select(key), key, "left_anti")
-    return todo.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
