@@ -122,6 +122,58 @@ def loss_masks(kind: Column, table: dict[str, list[bool]]) -> Column:
     return out.otherwise(F.raise_error(F.concat(F.lit("no mask for "), kind)).cast("array<boolean>"))
 
 
+#: Places of the action and the value among nine positions of a sample; the four before the action are what is seen.
+ACTION_AT, VALUE_AT, POSITIONS = 4, 8, 9
+#: What an inverse-dynamics sample is shown.
+SHOWN = ("normal", "current_only", "future_only", "future_shuffle")
+
+
+def temporal_masks(kind: Column, shown: str = "normal") -> Column:
+    """struct(condition, loss) over the nine positions for `policy`, `world`, `value` and `inverse_dynamics` samples.
+
+    What is seen is no target. World samples see the action too, value samples all before the value. Inverse dynamics
+    sees what comes before and after the action (or one of them, by `shown`) and has the action as its only target.
+    """
+    if shown not in SHOWN:
+        raise ValueError(f"shown is one of {SHOWN}")
+    seen = lambda *places: [i in places for i in range(POSITIONS)]
+    past, future = range(ACTION_AT), range(ACTION_AT + 1, VALUE_AT)
+    both = seen(*(past if shown != "future_only" else ()), *(future if shown != "current_only" else ()))
+    condition = {"policy": seen(*past), "world": seen(*past, ACTION_AT), "value": seen(*range(VALUE_AT)), "inverse_dynamics": both}
+    loss = {k: [not m for m in c] for k, c in condition.items()} | {"inverse_dynamics": seen(ACTION_AT)}
+    return F.struct(loss_masks(kind, condition).alias("condition"), loss_masks(kind, loss).alias("loss"))
+
+
+def without_failed_actions(loss: Column, kind: Column, failed: Column) -> Column:
+    """A loss mask in which the action of a failed policy sample is no target; a null `failed` counts as not failed."""
+    return F.when((kind == "policy") & F.coalesce(failed, F.lit(False)), F.transform(loss, lambda m, i: m & (i != ACTION_AT))).otherwise(loss)
+
+
+def series_columns(df: DataFrame, features: dict[str, dict], time: str = "timestamp") -> tuple[DataFrame, list[str]]:
+    """The time and each channel of the float32 and int32 features as columns; and the features of more dimensions, left out.
+
+    features: {name: {"dtype", "shape", "names"}}. Names are a list, or nested by what they name, when the first list inside
+    counts; without any a channel is called {feature}_{place}. A feature of another type, and the time, have no columns.
+    """
+    columns, left = [F.col(time)], []
+    for name, f in features.items():
+        if f["dtype"] not in ("float32", "int32") or name == time:
+            continue
+        if len(f["shape"]) > 1:
+            left.append(name)
+            continue
+        names = f.get("names")
+        while names and not isinstance(names, (list, tuple)):
+            names = next(iter(names.values()))
+        n = f["shape"][0] if f["shape"] else 1
+        names = list(names) if names else [f"{name}_{i}" for i in range(n)]
+        if len(names) != n:
+            raise ValueError(f"{name} has {n} channels and {len(names)} names")
+        vector = str(df.schema[name].dataType.typeName()) == "array"
+        columns += [(F.get(f"`{name}`", F.lit(i)) if vector else F.col(f"`{name}`")).alias(c) for i, c in enumerate(names)]
+    return df.select(*columns), left
+
+
 def reward_counts(df: DataFrame, episode: str, reward: str, threshold: float) -> DataFrame:
     """(episode, positive, negative): frames above the threshold, and the others."""
     up = F.col(reward) > threshold

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framegrain.session import stored
+
 #: From best to worst.
 SEVERITIES = ("passed", "warning", "review", "quarantine", "unreadable")
 
@@ -164,3 +166,109 @@ def stats_contract(low: str, high: str, std: str, span: float = 1e-8) -> dict[st
         "not finite": F.coalesce(bad(cols[0]) | bad(cols[1]) | bad(cols[2]), F.lit(False)),
         "constant": F.coalesce(cols[1] - cols[0] < span, F.lit(False)),
     }
+
+
+# --- documents of metadata and configuration ---------------------------------------------------------------
+
+
+def document_issues(docs: DataFrame, name: str, document: str, values: dict[str, str], lengths: dict[str, int], only: Column | None = None) -> DataFrame:
+    """(name, issue): JSON documents whose fields are not as they should be.
+
+    values: {path: text that the field must have}, as `$.action.encoding`; a number's text is its JSON. lengths: {path, or paths
+    with `|` between them of which the first that is there counts: length that the list must have}. only: which documents are
+    looked at, a condition on `_doc`. A document that is null, or no JSON, has the one issue "no document".
+    """
+    rows = docs.select(name, F.when(F.schema_of_variant(F.try_parse_json(document)).isNotNull(), F.col(document)).alias("_doc"))
+    if only is not None:
+        rows = rows.filter(only)
+    field = lambda path: F.get_json_object("_doc", path)
+    found = []
+    for path, want in values.items():
+        is_ = field(path)
+        found.append(F.when(~is_.eqNullSafe(F.lit(want)), F.concat(F.lit(f"{path[2:]} is "), F.coalesce(is_, F.lit("missing")), F.lit(f", not {want}"))))
+    for paths, n in lengths.items():
+        held = F.coalesce(*[F.json_array_length(field(p)) for p in paths.split("|")])
+        found.append(F.when(~held.eqNullSafe(F.lit(n)), F.lit(f"{paths.split('|')[0][2:]} has not {n} values")))
+    issue = F.when(F.col("_doc").isNull(), F.array(F.lit("no document"))).otherwise(F.array_compact(F.array(*found)))
+    return rows.select(name, F.explode(issue).alias("issue"))
+
+
+#: What a training configuration is made of, as far as it is checked.
+CONFIG = """struct<training: struct<batch_size_per_rank: bigint, gradient_accumulation_steps: bigint, validation_every_steps: bigint, validation_every_epochs: bigint>,
+data: struct<root: string, layout: string, workers_per_rank: bigint, prefetch_factor: bigint>, model: struct<checkpoint_path: string, tokenizer_path: string>,
+objectives: struct<training_mode: string, policy_auxiliary_targets: boolean, loss_reduction: string, policy_probability: double, world_probability: double, value_probability: double, inverse_dynamics_probability: double>,
+split: struct<max_episodes: bigint, ratios: array<double>>, evaluation: struct<protocol: string, sigma_values: array<double>, objectives: array<string>, step_validation_max_batches: bigint, step_validation_objectives: array<string>>>"""
+#: Modes of training and what each of them may be evaluated on.
+MODES = ("policy_only", "inverse_dynamics_only", "base_joint", "joint_with_inverse", "custom_mix")
+TARGETS = ("policy", "world", "value", "inverse_dynamics")
+
+
+def training_rules(c: Column) -> dict[str, Column]:
+    """{issue: whether a configuration of type CONFIG has it}; what is missing has its default."""
+    at = lambda part, field, default: F.coalesce(c[part][field], F.lit(default))
+    mode, protocol = at("objectives", "training_mode", ""), at("evaluation", "protocol", "fixed_suite")
+    shares = [at("objectives", f"{t}_probability", 0.0) for t in TARGETS]
+    ratios, sigmas = c["split"]["ratios"], c["evaluation"]["sigma_values"]
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    unified, every = at("data", "layout", "") == "unified", at("training", "validation_every_steps", 0)
+    known = lambda list_: F.forall(list_, lambda x: x.isin(*TARGETS))
+    steps = c["evaluation"]["step_validation_objectives"]
+    none = lambda v: F.coalesce(v, F.lit("")) == ""
+    return {
+        "no model checkpoint": none(c["model"]["checkpoint_path"]), "no tokenizer": none(c["model"]["tokenizer_path"]), "no data root": none(c["data"]["root"]),
+        "batch size below 1": at("training", "batch_size_per_rank", 0) < 1, "accumulation below 1": at("training", "gradient_accumulation_steps", 0) < 1,
+        "validation steps below 0": every < 0, "validation epochs below 0": at("training", "validation_every_epochs", 1) < 0,
+        "workers below 0": at("data", "workers_per_rank", -1) < 0, "prefetch below 1": at("data", "prefetch_factor", 0) < 1,
+        "unknown mode": ~F.trim(mode).isin(*MODES), "policy without auxiliary targets": (F.trim(mode) == "policy_only") & ~at("objectives", "policy_auxiliary_targets", False),
+        "unknown reduction": ~at("objectives", "loss_reduction", "masked_mean").isin("masked_mean", "learner_actor_full_tensor_mean"),
+        "shares are no distribution": (F.trim(mode) == "custom_mix") & (F.least(*shares) < 0) | (F.trim(mode) == "custom_mix") & (F.abs(sum(shares[1:], shares[0]) - 1) > 1e-6),
+        "too few episodes": (at("split", "max_episodes", 0) < 0) | unified & (at("split", "max_episodes", 0) < 2),
+        "ratios are no three shares": unified & F.coalesce((F.size(ratios) != 3) | (F.array_min(ratios) < 0) | (F.abs(total(ratios) - 1) > 1e-6), F.lit(True)),
+        "train or validation is empty": unified & F.coalesce((F.get(ratios, F.lit(0)) <= 0) | (F.get(ratios, F.lit(1)) <= 0), F.lit(False)),
+        "unknown protocol": ~protocol.isin("fixed_suite", "learner_actor"),
+        "no sigmas within 0 and 1": (protocol == "fixed_suite") & F.coalesce((F.size(sigmas) == 0) | ~F.forall(sigmas, lambda x: (x > 0) & (x <= 1)), F.lit(True)),
+        "protocol needs policy_only": (protocol == "learner_actor") & (F.trim(mode) != "policy_only"),
+        "unknown targets of evaluation": c["evaluation"]["objectives"].isNotNull() & F.coalesce((F.size(c["evaluation"]["objectives"]) == 0) | ~known(c["evaluation"]["objectives"]), F.lit(True)),
+        "step validation without batches": (every > 0) & (protocol == "fixed_suite") & (at("evaluation", "step_validation_max_batches", 0) < 1),
+        "step validation without targets": (every > 0) & (protocol == "fixed_suite") & F.coalesce((F.size(steps) == 0) | ~known(steps), F.lit(True)),
+    }
+
+
+def config_issues(configs: DataFrame, name: str, document: str) -> DataFrame:
+    """(name, issue): training configurations, as JSON, that break a rule; one that is no JSON object is "no configuration"."""
+    rows = configs.select(name, F.from_json(document, CONFIG).alias("_c"), F.coalesce(F.trim(document).startswith("{") & F.try_parse_json(document).isNotNull(), F.lit(False)).alias("_ok"))
+    found = F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(issue)) for issue, broken in training_rules(F.col("_c")).items()]))
+    return rows.select(name, F.explode(F.when(F.col("_ok"), found).otherwise(F.array(F.lit("no configuration")))).alias("issue"))
+
+
+# --- trees of schemas --------------------------------------------------------------------------------------
+
+
+def tree_digests(nodes: DataFrame, file: str = "file", path: str = "path", what: str = "what", separator: str = "/") -> DataFrame:
+    """(file, path, nodes, digest) of every node of every file's tree: equal digests are equal subtrees, wherever they are.
+
+    nodes: (file, path, what), one row a group or dataset with a text that describes it; parents that have no row are groups
+    without a description, and the root is the empty path. A digest is over what the node is and the names and digests of its
+    children, made level by level from the deepest; no tree is ever held whole or compared.
+    """
+    parts = F.filter(F.split(path, separator), lambda p: p != "")
+    own = nodes.select(file, parts.alias("_p"), F.coalesce(F.col(what), F.lit("")).alias("_w"))
+    above = own.select(file, F.explode(F.transform(F.sequence(F.lit(0), F.size("_p")), lambda n: F.slice("_p", 1, n))).alias("_p"))
+    every = above.distinct().join(own.groupBy(file, "_p").agg(F.array_join(F.array_sort(F.collect_list("_w")), "\n").alias("_w")), [file, "_p"], "left")
+    every = stored(every.select(file, "_p", F.size("_p").alias("_depth"), F.coalesce("_w", F.lit("")).alias("_w")), "nodes")
+    deepest = every.agg(F.coalesce(F.max("_depth"), F.lit(-1))).first()[0]
+    done, below = None, None
+    for depth in range(deepest, -1, -1):
+        level = every.filter(F.col("_depth") == depth)
+        if below is not None:
+            children = below.groupBy(file, F.slice("_p", F.lit(1), F.lit(depth)).alias("_p")).agg(F.array_sort(F.collect_list(F.struct(F.element_at("_p", -1).alias("n"), F.col("digest").alias("d")))).alias("_c"), F.sum("nodes").alias("_n"))
+            level = level.join(children, [file, "_p"], "left")
+        else:
+            level = level.withColumn("_c", F.lit(None).cast("array<struct<n:string,d:string>>")).withColumn("_n", F.lit(None).cast("long"))
+        inside = F.transform(F.coalesce("_c", F.array().cast("array<struct<n:string,d:string>>")), lambda c: F.concat(F.lit("\n"), c["n"], F.lit("\t"), c["d"]))
+        level = level.select(file, "_p", F.sha2(F.concat(F.col("_w"), F.array_join(inside, "")), 256).alias("digest"), (1 + F.coalesce("_n", F.lit(0))).alias("nodes"))
+        below = stored(level, "digests")
+        done = below if done is None else done.unionByName(below)
+    if done is None:
+        return every.select(file, F.lit("").alias("path"), F.lit(0).cast("long").alias("nodes"), F.lit("").alias("digest"))
+    return done.select(file, F.array_join("_p", separator).alias("path"), "nodes", "digest")

@@ -177,3 +177,18 @@ def transitions_with_reward(df: DataFrame, episode: str, order: list[str], state
     from framegrain.operators.frames import next_states
 
     return next_states(df, [state], episode, order, sparse_reward=True)
+
+
+def capped_transitions(df: DataFrame, episode: str, order: list[str], state: str, key: str, capacity: int, seed: int) -> DataFrame:
+    """`transitions_with_reward`, of which `capacity` are kept at random where there are more.
+
+    Which ones is settled on the keys alone, by range of their hash, so no task and no driver holds the kept rows.
+    """
+    from framegrain.operators.ranges import running
+    from framegrain.operators.sampling import shuffled
+
+    rows = transitions_with_reward(df, episode, order, state)
+    if rows.count() <= capacity:
+        return rows
+    kept = running(df.select(key, shuffled(seed, key).alias("_h")), ["_h", key]).filter(F.col("number") < capacity).select(key)
+    return rows.join(kept, key, "left_semi").select(*rows.columns)

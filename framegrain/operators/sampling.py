@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 
 def shuffled(seed: int, *keys: str) -> Column:
-    """A pseudo-random 64-bit order."""
-    return F.xxhash64(F.lit(seed), *keys)
+    """A pseudo-random number of 60 bits for each row, from md5 over the seed and the keys' text, so that other engines can repeat it."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), 1, 15), 16, 10).cast("long")
 
 
 def split_sizes(n: Column, ratios: tuple[float, ...]) -> Column:
@@ -67,7 +67,7 @@ def shuffled_rank(df: DataFrame, group: str, key: str, seed: int, into: str) ->
     Ranges of the hash are counted for each group and a row is ranked within its range: a group that holds most
     rows is spread over 2^RANK_BITS windows.
     """
-    rows = df.withColumn("_h", shuffled(seed, key)).withColumn("_b", F.shiftright("_h", 64 - RANK_BITS))
+    rows = df.withColumn("_h", shuffled(seed, key)).withColumn("_b", F.shiftright("_h", 60 - RANK_BITS))
     counts = rows.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(group, "_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from framegrain.functions import generators, geometry, urdf
-from framegrain.operators import audits, compare, stats
+from framegrain.operators import audits, compare, episodes, governance, joins, stats
 from framegrain.plans.registry import EV, query, r6, read, read_events, read_frames
 from framegrain.session import shared_dir
 from framegrain.sources import rowgroups
@@ -148,3 +148,86 @@ def merged_quantiles(spark, sf_dir):
     rows = read_events(spark, sf_dir).select("event_type", (F.col("user_id") % 50).alias("part"), F.col("user_id").alias("shard"), "value")
     partial = stats.sketches(rows, "value", ["event_type", "part", "shard"], size=8_192)
     return stats.merged_quantiles(partial, ["event_type", "part"], {"low": 0.25, "median": 0.5, "high": 0.9}, size=8_192)
+
+
+@query("""WITH k AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'policy' WHEN 'view' THEN 'world' WHEN 'purchase' THEN 'value' ELSE 'inverse_dynamics' END AS kind, value < 20 AS failed FROM events),
+m AS (SELECT event_id, kind, failed, [CASE kind WHEN 'value' THEN p < 8 WHEN 'world' THEN p <= 4 WHEN 'policy' THEN p < 4 ELSE p < 8 AND p <> 4 END FOR p IN range(9)] AS condition FROM k)
+SELECT event_id, kind, condition, [CASE WHEN kind = 'inverse_dynamics' THEN p = 4 WHEN kind = 'policy' AND failed AND p = 4 THEN false ELSE NOT condition[p + 1] END FOR p IN range(9)] AS loss FROM m""")
+def failed_action_masks(spark, sf_dir):
+    """FLT-10: masks by kind of sample, without the actions of failed policy samples."""
+    kind = F.when(F.col("event_type") == "click", "policy").when(F.col("event_type") == "view", "world").when(F.col("event_type") == "purchase", "value").otherwise("inverse_dynamics")
+    rows = read_events(spark, sf_dir).select("event_id", kind.alias("kind"), (F.col("value") < 20).alias("failed")).withColumn("m", episodes.temporal_masks(F.col("kind")))
+    return rows.select("event_id", "kind", F.col("m.condition").alias("condition"), episodes.without_failed_actions(F.col("m.loss"), F.col("kind"), F.col("failed")).alias("loss"))
+
+
+@query("SELECT vec_id / 10.0 AS timestamp, label, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS {n}" for i, n in enumerate(["dx", "dy", "dz"])) + ", " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS state_{i - 3}" for i in range(3, 6)) + " FROM embeddings")
+def series_columns(spark, sf_dir):
+    """PRJ-06: time and the channels of features by type; one of two dimensions and one of another type stay out."""
+    part = lambda at, n: F.transform(F.slice("embedding", at, n), lambda x: F.round(x.cast("double"), 6))
+    rows = read(spark, sf_dir, "embeddings").select((F.col("vec_id") / F.lit(10.0)).alias("timestamp"), "vec_id", F.array(F.col("label")).alias("label"), part(1, 3).alias("action"), part(4, 3).alias("state"), F.array(part(1, 2)).alias("image"))
+    one = lambda dtype, *shape, **more: {"dtype": dtype, "shape": shape} | more
+    features = {
+        "timestamp": one("float32", 1), "image": one("float32", 1, 2), "vec_id": one("int64", 1), "label": one("int32", 1, names=["label"]),
+        "action": one("float32", 3, names={"motors": ["dx", "dy", "dz"]}), "state": one("float32", 3, names=None),
+    }
+    out, left = episodes.series_columns(rows, features)
+    if left != ["image"]:
+        raise ValueError(f"left out: {left}")
+    return out
+
+
+@query(f"""WITH {EV}, t AS (SELECT event_id, coalesce(lead(value) OVER (PARTITION BY user_id ORDER BY frame_index), value) AS next_value, frame_index = n - 1 AS done, ('0x' || substr(md5('11:' || event_id), 1, 15))::BIGINT AS h FROM ev)
+SELECT event_id, next_value, done, CASE WHEN done THEN 1.0 ELSE 0.0 END::DOUBLE AS reward FROM t QUALIFY row_number() OVER (ORDER BY h, event_id) <= 700""")
+def capped_transitions(spark, sf_dir):
+    """SRC-21: demonstrations as transitions with a terminal reward, at most 700 of them at random, as their buffer holds no more."""
+    return joins.capped_transitions(read_events(spark, sf_dir), "user_id", ["ts", "event_id"], "value", "event_id", 700, 11).select("event_id", "next_value", "done", "reward")
+
+
+@query("""WITH d AS (SELECT doc_id, lang, n_chars, doc_id % 5 = 0 AS broken, n_chars % 3 <> 0 AS success FROM documents)
+SELECT doc_id, unnest(CASE WHEN broken THEN ['no document'] ELSE list_filter([CASE WHEN lang <> 'en' THEN 'action.encoding is ' || lang || ', not en' END, CASE WHEN n_chars % 20 <> 7 THEN 'action.dimension is ' || CASE WHEN n_chars % 4 = 0 THEN 'missing' ELSE (n_chars % 20)::VARCHAR END || ', not 7'
+  WHEN n_chars % 4 = 0 THEN 'action.dimension is missing, not 7' END, CASE WHEN n_chars % 6 <> 2 THEN 'actions_min has not 2 values' END], lambda x: x IS NOT NULL) END) AS issue FROM d WHERE broken OR success""")
+def metadata_audit(spark, sf_dir):
+    """AUD-13: fields of JSON documents of successful recordings; documents that are none."""
+    rows = read(spark, sf_dir, "documents")
+    some = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n_chars") % 6, F.lit(1))), lambda i: i * 0.5)
+    listed = F.slice(some, F.lit(1), F.col("n_chars") % 6)
+    old = F.col("doc_id") % 2 == 0
+    action = F.struct(F.col("lang").alias("encoding"), F.when(F.col("n_chars") % 4 != 0, F.col("n_chars") % 20).alias("dimension"))
+    doc = F.to_json(F.struct(action.alias("action"), F.when(old, listed).alias("action_min"), F.when(~old, listed).alias("actions_min"), F.struct(F.when(F.col("n_chars") % 3 != 0, "success").otherwise("failed").alias("outcome")).alias("episode_labeling")))
+    docs = rows.select("doc_id", F.when(F.col("doc_id") % 10 == 0, None).when(F.col("doc_id") % 5 == 0, F.lit("{broken")).otherwise(doc).alias("doc"))
+    success = F.col("_doc").isNull() | (F.get_json_object("_doc", "$.episode_labeling.outcome") == "success")
+    return governance.document_issues(docs, "doc_id", "doc", {"$.action.encoding": "en", "$.action.dimension": "7"}, {"$.actions_min|$.action_min": 2}, success)
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 3 AS a, n_chars % 5 AS m, n_chars % 7 AS b, length(lang) AS l, doc_id % 4 AS r, n_chars % 2 AS p FROM documents)
+SELECT doc_id, unnest(list_filter([CASE WHEN a = 0 THEN 'no model checkpoint' END, CASE WHEN b = 0 THEN 'batch size below 1' END, CASE WHEN b = 1 THEN 'validation epochs below 0' END, CASE WHEN a = 2 THEN 'workers below 0' END, CASE WHEN m = 4 THEN 'unknown mode' END,
+  CASE WHEN m = 0 AND p = 1 THEN 'policy without auxiliary targets' END, CASE WHEN m = 3 AND r <> 1 THEN 'shares are no distribution' END, CASE WHEN r = 0 OR p = 0 AND r < 2 THEN 'too few episodes' END, CASE WHEN p = 0 AND r = 2 THEN 'ratios are no three shares' END,
+  CASE WHEN p = 0 AND r = 3 THEN 'train or validation is empty' END, CASE WHEN b <> 2 AND a = 1 THEN 'no sigmas within 0 and 1' END, CASE WHEN b = 2 AND m <> 0 THEN 'protocol needs policy_only' END, CASE WHEN b = 3 THEN 'unknown targets of evaluation' END,
+  CASE WHEN b > 4 THEN 'step validation without batches' END, CASE WHEN b > 4 THEN 'step validation without targets' END], lambda x: x IS NOT NULL)) AS issue FROM d""")
+def config_audit(spark, sf_dir):
+    """AUD-13: constraints of training configurations, made from documents."""
+    a, m, b, r, p = F.col("doc_id") % 3, F.col("n_chars") % 5, F.col("n_chars") % 7, F.col("doc_id") % 4, F.col("n_chars") % 2
+    share = lambda first, rest: F.array(*[F.lit(float(x)) for x in (first, *rest)])
+    config = F.struct(
+        F.struct(b.alias("batch_size_per_rank"), F.lit(1).alias("gradient_accumulation_steps"), F.when(b > 4, 10).alias("validation_every_steps"), F.when(b == 1, -1).alias("validation_every_epochs")).alias("training"),
+        F.struct(F.lit("/data").alias("root"), F.when(p == 0, "unified").otherwise("pre_split").alias("layout"), F.when(a != 2, 4).alias("workers_per_rank"), F.lit(2).alias("prefetch_factor")).alias("data"),
+        F.struct(F.when(a != 0, "/model").alias("checkpoint_path"), F.lit("/tokens").alias("tokenizer_path")).alias("model"),
+        F.struct(
+            F.when(m == 0, " policy_only").when(m == 1, "inverse_dynamics_only").when(m == 2, "base_joint").when(m == 3, "custom_mix").otherwise("else").alias("training_mode"), F.when(p == 0, True).alias("policy_auxiliary_targets"),
+            F.when(r == 0, -0.5).when(r == 1, 0.25).when(r == 2, 0.75).alias("policy_probability"), F.when(r == 0, 1.5).when(r < 3, 0.75).alias("world_probability"),
+        ).alias("objectives"),
+        F.struct(F.when(r == 0, -1).when(r == 1, 1).otherwise(5).alias("max_episodes"), F.when(r == 2, share(0.5, (0.6, 0.1))).when(r == 3, share(1, (0, 0))).otherwise(share(0.8, (0.1, 0.1))).alias("ratios")).alias("split"),
+        F.struct(F.when(b == 2, "learner_actor").alias("protocol"), F.when(a == 0, share(0.5, (1,))).when(a == 1, share(0.5, (1.5,))).otherwise(share(1, ())).alias("sigma_values"), F.when(b == 3, F.array(F.lit("policy"), F.lit("other"))).alias("objectives")).alias("evaluation"),
+    )
+    return governance.config_issues(read(spark, sf_dir, "documents").select("doc_id", F.to_json(config).alias("config")), "doc_id", "config")
+
+
+@query("""WITH o AS (SELECT DISTINCT o_custkey % 40 AS file, o_orderstatus AS s, o_orderpriority AS p FROM orders),
+l AS (SELECT file, s, p, sha256('dataset ' || length(p)) AS d FROM o), m AS (SELECT file, s, count(*) AS n, sha256('group' || string_agg(chr(10) || p || chr(9) || d, '' ORDER BY p)) AS d FROM l GROUP BY file, s),
+h AS (SELECT file, sum(n) + count(*) AS n, sha256(string_agg(chr(10) || s || chr(9) || d, '' ORDER BY s)) AS d FROM m GROUP BY file)
+SELECT file, s || '/' || p AS path, 1 AS nodes, d AS digest FROM l UNION ALL SELECT file, s, 1 + n, d FROM m UNION ALL SELECT file, '', 1 + n, d FROM h""")
+def schema_trees(spark, sf_dir):
+    """SRC-03, SRC-04: digests of groups and datasets, so that equal parts of schemas are found by their digests."""
+    rows = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("file"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p")).distinct()
+    leaves = rows.select("file", F.concat_ws("/", "s", "p").alias("path"), F.concat(F.lit("dataset "), F.length("p")).alias("what"))
+    return governance.tree_digests(leaves.unionByName(rows.select("file", F.col("s").alias("path"), F.lit("group").alias("what")).distinct()))

@@ -219,7 +219,10 @@ def alternating_batches(spark, sf_dir):
     return out.agg(F.count(F.lit(1)).alias("n"), F.min("batch").alias("first_batch"), F.max("slot").alias("last_slot"))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, lang, ('0x' || substr(md5('3:' || doc_id), 1, 15))::BIGINT AS h, ('0x' || substr(md5('5:' || doc_id), 1, 15))::BIGINT AS o FROM documents), l AS (SELECT doc_id, quality, ('0x' || substr(md5((4 - quality) || ':' || doc_id), 1, 15))::BIGINT AS h FROM labels)
+SELECT 'round_robin' AS sampler, doc_id FROM (SELECT doc_id FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY h DESC, doc_id DESC) AS r FROM d) ORDER BY r, lang LIMIT 50)
+UNION ALL SELECT 'half_and_half', doc_id FROM l WHERE quality IN (0, 1) QUALIFY row_number() OVER (PARTITION BY quality ORDER BY h, doc_id) <= 20
+UNION ALL SELECT 'capped', doc_id FROM (SELECT doc_id FROM d ORDER BY h, doc_id LIMIT 64) UNION ALL SELECT 'objective', doc_id FROM d WHERE o % (1 << 30) / (1 << 30)::DOUBLE < 0.3""")
 def random_samplers(spark, sf_dir):
     labels, docs = read(spark, sf_dir, "labels"), read(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     parts = {
