@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -152,12 +151,12 @@ def blocks(page: str) -> list[Block]:
     tied: list[tuple[int, int]] = []
     stack: list[Element] = []
     within: list[int] = [0]  # the innermost entry of `sides` on each level of the stack
-    open_tags: Counter[str] = Counter()
-    state: Counter[str] = Counter()  # hidden elements, mains and elements with side words that are open
+    opened = dict.fromkeys(BLOCKS, 0)  # how many elements of each tag are open
     sides, under = Sides(), []
     parts: list[str] = []
     never_closed: set[str] = set()
     linked = link = number = depth = low = 0
+    mains = named = hides = 0  # open elements that are an article or main, are named like one, or are hidden
 
     def end() -> None:
         nonlocal linked, depth, low
@@ -165,28 +164,31 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             if text:
                 near = {e.tag for e in stack[-3:]}
-                main, has = state["main"] > 0, lambda *tags: any(open_tags[t] for t in tags)
+                main, nav, header = mains > 0, opened["nav"] + opened["menu"] > 0, opened["header"] > 0
                 words = text.count(" ") + 1
-                form = has("form", "fieldset", "dialog", "search")
+                form = opened["form"] + opened["fieldset"] + opened["dialog"] + opened["search"] > 0
                 rows.append([
                     1.0, np.log1p(words), words < 4, words >= 20, linked / len(text), text.endswith(STOPS), not near.isdisjoint(("p", "pre", "blockquote")), not near.isdisjoint(("h1", "h2", "h3", "h4", "h5", "h6")),
-                    not near.isdisjoint(("li", "dt", "dd")), not near.isdisjoint(("td", "th")), has("nav", "menu"), has("footer"), has("aside"), form,
-                    has("header") and not main, has("header") and main, main, state["named"] > 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, "©" in text and words < 40, not texts, False, state["hidden"] > 0,
+                    not near.isdisjoint(("li", "dt", "dd")), not near.isdisjoint(("td", "th")), nav, opened["footer"] > 0, opened["aside"] > 0, form,
+                    header and not main, header and main, main, named > 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, "©" in text and words < 40, not texts, False, hides > 0,
                 ])
                 texts.append(text)
                 tied.append((stack[-2].number if len(stack) > 1 else 0, depth + len(stack) - 2 * min(low, len(stack))))
                 under.append(within[-1])
                 depth = low = len(stack)
-                if not (form or has("nav", "menu", "footer", "aside")):
+                if not (form or nav or opened["footer"] or opened["aside"]):
                     sides.held[within[-1]] += len(text)
             parts.clear()
         linked = 0
 
     def pop() -> None:
+        nonlocal mains, named, hides
         e = stack.pop()
         within.pop()
-        open_tags[e.tag] -= 1
-        state.subtract({"main": e.tag in MAIN_TAGS and e.main, "named": e.main, "hidden": e.hidden})
+        opened[e.tag] -= 1
+        mains -= e.main and e.tag in MAIN_TAGS
+        named -= e.main
+        hides -= e.hidden
 
     at, size = 0, len(page)
     while at < size:
@@ -225,7 +227,7 @@ def blocks(page: str) -> list[Block]:
         elif tag in BLOCKS:
             end()
             if closing:
-                while open_tags[tag]:
+                while opened[tag]:
                     last = stack[-1].tag
                     pop()
                     if last == tag:
@@ -239,10 +241,12 @@ def blocks(page: str) -> list[Block]:
                 if tag in MAIN_TAGS and main:
                     sides.inside[within[-1]] += 1
                 e = Element(tag, number, form, listed, main, hidden)
-                within.append(within[-1] if form is None else sides.open(e, within[-1], state["main"] > 0))
+                within.append(within[-1] if form is None else sides.open(e, within[-1], mains > 0))
                 stack.append(e)
-                open_tags[tag] += 1
-                state.update({"main": tag in MAIN_TAGS and main, "named": main, "hidden": hidden})
+                opened[tag] += 1
+                mains += main and tag in MAIN_TAGS
+                named += main
+                hides += hidden
             low = min(low, len(stack))
         elif tag == "br" or tag in VOID:
             parts.append(" ")
