@@ -15,9 +15,12 @@ corpus own no repeated window. For the others:
    the left. Windows at offset o before their anchors are equal exactly when both agree, to o bytes left and
    length - o bytes right, which is a comparison of class numbers for each o.
 
-Anchors that share one substring more than `hot` times compare 256-bit digests of the windows they own
-instead, counted by Spark: no task gets such a group. Windows that repeat within one text are found there,
-compared byte by byte, and only their first copy goes on, so periodic texts don't multiply anchors.
+Anchors that share one substring more than `hot` times are first split, as any merge sort may split its runs: windows at
+offsets o1..o2 before their anchors all cover the o1 bytes before and the length - o2 bytes behind, so equal ones fall
+into one class of these bytes. Offsets are halved until no class has more than `hot` distinct contexts; a context that
+several anchors have is repeated whole and goes on once. Down to one offset a class is one context, so this ends, and no
+task ever gets a larger group. Windows that repeat within one text are found there, compared byte by byte, and only their
+first copy goes on, so periodic texts don't multiply anchors.
 """
 
 from __future__ import annotations
@@ -333,7 +336,7 @@ def repeated_windows(df: DataFrame, length: int = LENGTH, gram: int = GRAM, part
 
     picked = docs.mapInArrow(only, "d1 long, d2 long, text string").join(lists, ["d1", "d2"])
 
-    def cut(batches, want_hot):
+    def cut(batches, want_hot=False):
         for b in batches:
             texts, d1, d2 = utf8(b.column(2)), b.column(0).to_pylist(), b.column(1).to_pylist()
             for t, x, y, at in zip(texts, d1, d2, b.column(3).to_pylist(), strict=True):
@@ -349,9 +352,9 @@ def repeated_windows(df: DataFrame, length: int = LENGTH, gram: int = GRAM, part
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], ["part", "blob"])
 
         held, size = [], 0
-        for x, y, key, a, s, e, t in cut(batches, False):
-            held.append((key % parts, (x, y, a, s, e), t[a : e + length], t[s:a][::-1]))
-            size += e + length - s
+        for key, x, y, a, s, e, t in batches:  # t: the text from s to e + length
+            held.append((key % parts, (x, y, a, s, e), t[a - s :], t[: a - s][::-1]))
+            size += len(t)
             if size >= RUN_BYTES:
                 yield out(held)
                 held, size = [], 0
@@ -376,36 +379,74 @@ def repeated_windows(df: DataFrame, length: int = LENGTH, gram: int = GRAM, part
         _, stop = np.nonzero(edge == -1)
         return pd.DataFrame({"d1": d1[m], "d2": d2[m], "lo": (a[m] - stop + 1).astype(np.int32), "hi": (a[m] - begin).astype(np.int32)})
 
-    runs = picked.mapInArrow(write_runs, "part int, blob binary")
-    cold = runs.groupBy("part").applyInPandas(merge, MARKS)
-    out = local.unionByName(cold)
+    def of_texts(batches):
+        yield from write_runs((key, x, y, a, s, e, t[s : e + length]) for x, y, key, a, s, e, t in cut(batches))
+
+    def of_contexts(batches):
+        yield from write_runs(row for b in batches for row in zip(*[c.to_pylist() for c in b.columns], strict=True))
+
+    runs = picked.mapInArrow(of_texts, "part int, blob binary")
     if not shared.filter(F.col("n") > hot).isEmpty():
-        out = out.unionByName(_by_window(picked, cut, length))
-    return out
+        def contexts(batches):
+            import pyarrow as pa
 
+            for b in batches:
+                rows = [(key, x, y, a, s, e, t[s : e + length]) for x, y, key, a, s, e, t in cut([b], True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_kinds())], CONTEXT)
 
-def _by_window(picked, cut, length) -> DataFrame:
-    """The same for hot anchors: digests of the windows that they own, counted by Spark."""
-    def digests(batches):
-        import hashlib
+        few, whole = _split(written(picked.mapInArrow(contexts, ", ".join(f"{c} {k}" for c, k in zip(CONTEXT, CONTEXT_TYPES, strict=True))), "contexts"), length, gram, hot)
+        runs = runs.unionByName(few.select(*CONTEXT).mapInArrow(of_contexts, "part int, blob binary"))
+        local = local.unionByName(whole)
+    return local.unionByName(runs.groupBy("part").applyInPandas(merge, MARKS))
 
-        import pyarrow as pa
 
-        def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["d1", "d2", "at", "w"])
-
-        rows = []
-        for x, y, _, _, s, e, t in cut(batches, True):
-            rows += [(x, y, i, hashlib.blake2b(t[i : i + length], digest_size=32).digest()) for i in range(s, e + 1)]
-            if len(rows) > 50_000:
-                yield out(rows)
-                rows = []
-        if rows:
-            yield out(rows)
-
-    windows = picked.mapInArrow(digests, "d1 long, d2 long, at int, w binary")
-    twice = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w")
-    return windows.join(twice, "w").select("d1", "d2", F.col("at").alias("lo"), F.col("at").alias("hi"))
+#: An anchor with the text that its windows cover; `class` is what all that meet in a task have in common.
+CONTEXT = ["class", "d1", "d2", "a", "s", "e", "bytes"]
+CONTEXT_TYPES = ["long", "long", "long", "int", "int", "int", "binary"]
+
+
+def _kinds():
+    import pyarrow as pa
+
+    return [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[k] for k in CONTEXT_TYPES]
+
+
+def _split(rows: DataFrame, length: int, gram: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(contexts in classes of at most `hot`, marks): contexts of hot anchors, split by offset; and those that repeat whole."""
+    top = length - gram + 1  # offsets are 0 .. top - 1
+    few = whole = None
+    size = top
+    while True:
+        size = -(-size // 2)
+
+        def cells(batches, size=size):
+            import hashlib
+
+            import pyarrow as pa
+
+            for b in batches:
+                out = []
+                for key, x, y, a, s, e, t in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                    for o1 in range((a - e) // size * size, a - s + 1, size):
+                        o2 = min(o1 + size, top) - 1
+                        lo, hi = max(s, a - o2), min(e, a - o1)
+                        at = a - s  # the anchor's place in t
+                        name = hashlib.blake2b(b"%d %d %d " % (key, size, o1) + t[at - o1 : at + length - o2], digest_size=24).digest()
+                        part = t[lo - s : hi - s + length]
+                        out.append((int.from_bytes(name[:8], "little", signed=True), x, y, a, lo, hi, part, hashlib.blake2b(name + b"%d %d " % (a - lo, a - hi) + part, digest_size=32).digest()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate([*_kinds(), pa.binary()])], [*CONTEXT, "context"])
+
+        kinds = ", ".join(f"{c} {k}" for c, k in zip([*CONTEXT, "context"], [*CONTEXT_TYPES, "binary"], strict=True))
+        found = written(rows.select(*CONTEXT).mapInArrow(cells, kinds), "cells")
+        per = written(found.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*CONTEXT)).alias("r")), "distinct-contexts")
+        marks = found.join(per.filter("n > 1").select("context"), "context").select("d1", "d2", F.col("s").alias("lo"), F.col("e").alias("hi"))
+        classes = written(per.groupBy("r.class").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "classes")
+        own = per.select("r.*").join(classes, "class")
+        small = own.filter(F.col("m") <= hot)
+        few, whole = (small, marks) if few is None else (few.unionByName(small), whole.unionByName(marks))
+        rows = own.filter(F.col("m") > hot)
+        if size == 1 or classes.filter(F.col("m") > hot).isEmpty():
+            return few, whole
 
 
 def covered(intervals, length: int) -> list[tuple[int, int]]:
