@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framegrain.llm.common import written
+from framegrain.llm.common import WRITTEN, drop_written, written
 from framegrain.llm.exact_dedup import exact_dedup, normalised
 from framegrain.llm.jaccard_join import jaccard_join, row_keys
 from framegrain.llm.mixing import mix
@@ -93,7 +93,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, begun = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(WRITTEN)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_written(spark, begun, keep=1)  # the stage's result is written: its own tables and the one before it are done with
     return STAGES[-1][1](spark, docs, sf_dir)

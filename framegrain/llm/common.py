@@ -16,6 +16,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 SEED = 20_240_601
+#: Tables that `written` made in this process and that are still there.
+WRITTEN: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -23,9 +25,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/framegrain/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark, since: int, keep: int = 0) -> None:
+    """Deletes the tables that `written` made after the first `since` ones, but for the last `keep`. Nothing may read them any more."""
+    gone = WRITTEN[since : len(WRITTEN) - keep]
+    for path in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del WRITTEN[since : len(WRITTEN) - keep]
+
+
 def crc_fold(id_col) -> F.Column:
     """crc32 of the id's text, modulo 5: 0 marks the held-out rows of the labelled operators."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % 5
