@@ -34,6 +34,7 @@ def _finished(stream, mode: str):
 
 @query("""SELECT event_type, 'online' AS store, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type UNION ALL SELECT event_type, 'offline', count(*), round(sum(value), 4) FROM events WHERE event_type = 'error' GROUP BY event_type""")
 def stream_route(spark, sf_dir):
+    """FLT-02, STM-02"""
     place = _place(spark)
     stream = _stream(spark, sf_dir).withColumn("is_intervention", F.col("event_type") == "error").withColumn("state", F.array("value"))
     streams.route(stream, f"{place}/online", f"{place}/offline", f"{place}/state", vectors=("state",)).awaitTermination()
@@ -62,6 +63,7 @@ r AS (SELECT user_id, event_id, i, value, value AS last, true AS go FROM e WHERE
   SELECT e.user_id, e.event_id, e.i, e.value, CASE WHEN e.must OR abs(e.value - r.last) >= 25 THEN e.value ELSE r.last END, e.must OR abs(e.value - r.last) >= 25 FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
 SELECT user_id, event_id AS timestep, [value] AS state FROM r WHERE go""")
 def stream_similarity_dedupe(spark, sf_dir):
+    """STM-03"""
     stream = _stream(spark, sf_dir).select("user_id", F.col("event_id").alias("timestep"), F.array("value").alias("state"), (F.col("event_type") == "error").alias("must_go"))
     return _finished(streams.similarity_filter(stream, "user_id", "timestep", "state", "must_go", 25.0), "append")
 
@@ -71,7 +73,7 @@ r AS (SELECT user_id, event_id, i, f, [value, value + 1, value + 2, value + 3] A
   SELECT e.user_id, e.event_id, e.i, e.f, list_transform([0, 1, 2, 3], lambda k: CASE WHEN e.f + k - r.f BETWEEN 0 AND 3 THEN 0.3 * r.q[e.f + k - r.f + 1] + 0.7 * (e.value + k) ELSE e.value + k END) FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
 SELECT user_id, event_id, f + k AS step, round(q[k + 1] + 1e-9, 6) AS action FROM r, range(4) t(k)""")
 def stream_chunk_merge(spark, sf_dir):
-    """Each event brings a chunk of four steps from event_id div 40 on, so a user's chunks often overlap."""
+    """UDF-03: Each event brings a chunk of four steps from event_id div 40 on, so a user's chunks often overlap."""
     chunk = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.col("value") + k)
     first = F.expr("event_id div 40")
     stream = _stream(spark, sf_dir).select("user_id", "event_id", first.alias("first"), chunk.alias("actions"), (first - 1).alias("executed"))
@@ -80,6 +82,7 @@ def stream_chunk_merge(spark, sf_dir):
 
 @query("""SELECT user_id, count(*) AS n, round((count(*) - 1) / ((max(epoch_us(ts)) - min(epoch_us(ts))) / 3600e6), 6) AS rate FROM events GROUP BY user_id""")
 def stream_running_rate(spark, sf_dir):
+    """STM-05"""
     stream = _stream(spark, sf_dir).select("user_id", (F.unix_micros("ts") / 3600e6).alias("hours"))
     out = _finished(streams.running_rate(stream, "user_id", "hours"), "append")
     return out.groupBy("user_id").agg(F.max("n").alias("n"), r6(F.max_by("rate", "n")).alias("rate"))
@@ -87,11 +90,13 @@ def stream_running_rate(spark, sf_dir):
 
 @query("""SELECT user_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id""")
 def stream_latest_only(spark, sf_dir):
+    """SRT-05, STM-06"""
     return _finished(streams.latest_only(_stream(spark, sf_dir), "user_id", "value", "event_id"), "complete")
 
 
 @query("""SELECT event_id % 7 = 0 AS late, count(*) AS n FROM events WHERE event_type <> 'click' GROUP BY 1""")
 def stream_incremental_poll(spark, sf_dir):
+    """STM-08"""
     place = _place(spark)
     events = read_events(spark, sf_dir)
     done = events.filter("event_type = 'click'").select("event_id")
@@ -101,6 +106,7 @@ def stream_incremental_poll(spark, sf_dir):
 
 @query("""SELECT doc_id, sha256(text) AS sha, true AS complete, greatest(ceil(length(text) / 500.0), 1)::BIGINT AS parts FROM documents""")
 def message_parts_roundtrip(spark, sf_dir):
+    """SRC-18, STM-12"""
     parts = streams.in_parts(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 500)
     whole = streams.reassembled(parts, "doc_id", "part", "kind", "text")
     return whole.join(parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts")), "doc_id").select("doc_id", F.sha2("text", 256).alias("sha"), "complete", "parts")
@@ -109,7 +115,7 @@ def message_parts_roundtrip(spark, sf_dir):
 @query(f"""WITH {EV}, n AS (SELECT user_id, frame_index + 10 AS step, value AS action FROM ev), o AS (SELECT u.user_id, frame_index AS step, value AS action FROM (SELECT DISTINCT user_id FROM ev) u JOIN ev ON ev.user_id = u.user_id + 1)
 SELECT n.user_id, n.step, round(CASE WHEN o.action IS NULL THEN n.action ELSE 0.3 * o.action + 0.7 * n.action END, 6) AS action FROM n LEFT JOIN o USING (user_id, step) WHERE n.step > 14""")
 def chunk_overlap_merge(spark, sf_dir):
-    """Each user's frames, ten steps on, merged onto those of the next user: one long chunk a user."""
+    """STM-04: Each user's frames, ten steps on, merged onto those of the next user: one long chunk a user."""
     rows = read_frames(spark, sf_dir).select("user_id", F.col("frame_index").alias("step"), F.col("value").alias("action"))
     users = rows.select("user_id").distinct()
     executed = users.withColumn("executed", F.lit(14).cast("long"))
