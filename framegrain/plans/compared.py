@@ -64,7 +64,7 @@ k AS (SELECT user_id, frame_index AS i, CASE WHEN user_id % 19 = 0 AND frame_ind
 i AS (SELECT user_id, len AS inf FROM (SELECT user_id, len, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(path)) AS p FROM c GROUP BY user_id, len) WHERE p = 1),
 x AS (SELECT user_id, e, bool_or(k = 'd') AS dd, bool_or(k = 'c') AS cc, bool_or(k = 'z') AS zz FROM (SELECT user_id, e, 'c' AS k FROM t UNION ALL SELECT user_id, e, 'z' FROM t WHERE e <> 'click' UNION ALL SELECT user_id, e, 'd' FROM t WHERE c % 2 = 0) GROUP BY ALL),
 s AS (SELECT user_id, least(inf, n) AS us FROM i JOIN u USING (user_id) WHERE user_id % 17 <> 0 AND least(inf, n) > 5),
-w AS (SELECT user_id, us, us - 1 - coalesce(max(j), 0) AS steps, bool_or(v IS NULL) AS bad FROM (SELECT user_id, us, v, CASE WHEN v > lag(v) OVER (PARTITION BY user_id ORDER BY i) THEN i END AS j FROM k JOIN s USING (user_id) WHERE i < us) GROUP BY ALL),
+w AS (SELECT user_id, us, us - 1 - coalesce(max(j), 0) AS steps, bool_or(v IS NULL) AS bad FROM (SELECT user_id, us, v, CASE WHEN v > lag(v) OVER (PARTITION BY user_id ORDER BY i) THEN i END AS j FROM k JOIN s USING (user_id) WHERE i < us) GROUP BY user_id, us),
 a AS (SELECT user_id, 'invalid_or_missing_trajectory_length' AS issue FROM r WHERE t IS NULL OR t <= 0
 UNION ALL SELECT user_id, 'missing_language_instruction' FROM r WHERE language IS NULL
 UNION ALL SELECT user_id, 'language_instruction_mismatch:actual=' || CASE WHEN user_id % 3 = 0 THEN '''it\\''s a "test"''' ELSE '"it''s"' END FROM r WHERE language <> 'pick'
@@ -224,8 +224,8 @@ def config_audit(spark, sf_dir):
 
 @query("""WITH o AS (SELECT DISTINCT o_custkey % 40 AS file, o_orderstatus AS s, o_orderpriority AS p FROM orders),
 l AS (SELECT file, s, p, sha256('dataset ' || length(p)) AS d FROM o), m AS (SELECT file, s, count(*) AS n, sha256('group' || string_agg(chr(10) || p || chr(9) || d, '' ORDER BY p)) AS d FROM l GROUP BY file, s),
-h AS (SELECT file, sum(n) + count(*) AS n, sha256(string_agg(chr(10) || s || chr(9) || d, '' ORDER BY s)) AS d FROM m GROUP BY file)
-SELECT file, s || '/' || p AS path, 1 AS nodes, d AS digest FROM l UNION ALL SELECT file, s, 1 + n, d FROM m UNION ALL SELECT file, '', 1 + n, d FROM h""")
+h AS (SELECT file, (sum(n) + count(*))::BIGINT AS n, sha256(string_agg(chr(10) || s || chr(9) || d, '' ORDER BY s)) AS d FROM m GROUP BY file)
+SELECT file, s || '/' || p AS path, 1::BIGINT AS nodes, d AS digest FROM l UNION ALL SELECT file, s, 1 + n, d FROM m UNION ALL SELECT file, '', 1 + n, d FROM h""")
 def schema_trees(spark, sf_dir):
     """SRC-03, SRC-04: digests of groups and datasets, so that equal parts of schemas are found by their digests."""
     rows = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("file"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p")).distinct()

@@ -706,7 +706,7 @@ def episode_metadata(spark, sf_dir):
 
 @query("""WITH p AS (SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS k FROM events GROUP BY user_id), l AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS i, user_id || '|' || n || '|' || k || chr(10) AS l FROM p),
 a AS (SELECT i // 64 AS i, sha256(string_agg(l, '' ORDER BY i)) AS l FROM l GROUP BY i // 64), b AS (SELECT i // 64 AS i, sha256(string_agg(l, '' ORDER BY i)) AS l FROM a GROUP BY i // 64), c AS (SELECT sha256(string_agg(l, '' ORDER BY i)) AS l FROM b)
-SELECT (SELECT count(*) FROM l) AS rows, CASE WHEN (SELECT count(*) FROM a) = 1 THEN (SELECT l FROM a) WHEN (SELECT count(*) FROM b) = 1 THEN (SELECT l FROM b) ELSE (SELECT l FROM c) END AS sha256""")
+SELECT (SELECT count(*) FROM l) AS rows, CASE WHEN (SELECT count(*) FROM a) = 1 THEN (SELECT max(l) FROM a) WHEN (SELECT count(*) FROM b) = 1 THEN (SELECT max(l) FROM b) ELSE (SELECT l FROM c) END AS sha256""")
 def stats_sidecar(spark, sf_dir):
     """SNK-08, AUD-03: a tree of hashes over a table of statistics."""
     per = read_events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_type").alias("k"))

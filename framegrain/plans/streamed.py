@@ -152,7 +152,7 @@ def _timed(spark, run):
         spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
-@timed_query("""WITH RECURSIVE e AS (SELECT user_id, event_type AS holder, event_type = 'purchase' AS gives, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS i FROM events),
+@timed_query("""WITH RECURSIVE e AS (SELECT user_id, event_type AS holder, event_type = 'purchase' AS gives, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
 r AS (SELECT user_id, 0::BIGINT AS i, NULL::VARCHAR AS h, NULL::BIGINT AS b, NULL::BIGINT AS u, [] ::STRUCT(h VARCHAR, b BIGINT, e BIGINT, w VARCHAR)[] AS o FROM (SELECT DISTINCT user_id FROM e) UNION ALL
 SELECT user_id, i, CASE WHEN gives AND h0 IS NOT DISTINCT FROM holder THEN NULL WHEN gives THEN h0 ELSE holder END, CASE WHEN gives AND h0 IS NOT DISTINCT FROM holder THEN NULL WHEN gives THEN b0 WHEN h0 = holder THEN b0 ELSE t END,
   CASE WHEN gives AND h0 IS NOT DISTINCT FROM holder THEN NULL WHEN gives THEN u0 ELSE t + 10800000 END,
@@ -167,7 +167,7 @@ def stream_leases(spark, sf_dir):
     return out.select(F.col("key").alias("user_id"), "holder", F.unix_millis("began").alias("began_ms"), F.unix_millis("ended").alias("ended_ms"), "reason")
 
 
-@timed_query("""WITH RECURSIVE e AS (SELECT user_id, value, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS i FROM events),
+@timed_query("""WITH RECURSIVE e AS (SELECT user_id, value, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
 r AS (SELECT user_id, i, t AS last, false AS waits, 0.0::DOUBLE AS held, [{'t': t, 'v': value}] AS o FROM e WHERE i = 1 UNION ALL
 SELECT user_id, i, CASE WHEN l0 + 7200000 <= t THEN t ELSE l0 END, l0 + 7200000 > t, CASE WHEN l0 + 7200000 > t THEN value ELSE held END, list_concat(CASE WHEN due THEN [{'t': l0, 'v': held}] ELSE [] END, CASE WHEN l0 + 7200000 <= t THEN [{'t': t, 'v': value}] ELSE [] END)
   FROM (SELECT r.user_id, e.i, e.t, e.value, r.held, r.waits AND r.last + 7200000 <= e.t AS due, CASE WHEN r.waits AND r.last + 7200000 <= e.t THEN r.last + 7200000 ELSE r.last END AS l0, r.waits FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)),

@@ -7,7 +7,7 @@ State is one row a key. The state store must be RocksDB (`framegrain.session.ses
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -20,11 +20,11 @@ RELEASED, EXPIRED, TAKEN = "released", "expired", "taken over"
 
 
 def _ms(value) -> int:
-    return round(value.timestamp() * 1000)
+    return value.value // 1_000_000  # of pandas, in nanoseconds
 
 
 def _at(ms: int) -> datetime:
-    return datetime.fromtimestamp(ms / 1000, timezone.utc)
+    return datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(milliseconds=ms)
 
 
 class Leases(StatefulProcessor):
