@@ -119,3 +119,25 @@ def merged_quantiles(partial: DataFrame, keys: list[str], quantiles: dict[str, f
     """(keys, n, one column a quantile) of the sketches of each group: the smallest value with at least that share of values up to it."""
     merged = partial.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", size).alias("_s"))
     return merged.select(*keys, "n", *[F.kll_sketch_get_quantile_double("_s", F.lit(float(q))).alias(name) for name, q in quantiles.items()])
+
+
+def value_counts(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, value, n): how often each value is there, to be kept in a table of statistics and merged later without loss. Nulls and NaN are left out."""
+    return df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+
+
+def counted_quantiles(partial: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """(keys, n, one column a quantile) of tables of `value_counts`, exact: the smallest value with at least that share of values up to it.
+
+    Counts add up in ranges of keys and values, so no task meets a key's values.
+    """
+    from framegrain.operators.ranges import prefixed
+
+    per = prefixed(partial.groupBy(*keys, value).agg(F.sum("n").alias("_n")), [*keys, value], {"n": F.col("_n")})
+    spans = per.groupBy(*keys).agg(F.sum("_n").alias("n"), F.min("before_n").alias("_from"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    rows = per.alias("l").join(spans.alias("r"), same).select(*[F.col(f"r.{k}").alias(k) for k in keys], F.col(f"l.{value}").alias("_v"), "n", (F.col("before_n") - F.col("_from") + F.col("_n")).alias("_upto"))
+    at = lambda q: F.min(F.when(F.col("_upto") >= F.greatest(F.ceil(F.lit(float(q)) * F.col("n")), F.lit(1)), F.col("_v")))
+    return rows.groupBy(*keys, "n").agg(*[at(q).alias(name) for name, q in quantiles.items()])
