@@ -1,8 +1,12 @@
 """Results that must not change with the number of rows or with hard values."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+from framegrain.functions import geometry
 from framegrain.operators import metrics, stats
+from framegrain.plans.catalogue import ORACLES, QUERIES
+from framegrain.sources import rowgroups
 
 
 def test_bootstrap_median_of_many_episodes(spark):
@@ -32,3 +36,56 @@ def test_counted_quantiles_are_exact(spark):
         v = sorted(r.v for r in df.filter(F.col("g").eqNullSafe(F.lit(g)) & F.col("v").isNotNull() & ~F.isnan("v")).collect())
         assert (got[g].n, got[g].least, got[g].low, got[g].top) == (25_000, v[0], v[6_249], v[-1])
     assert (got["b"].n, got["b"].low) == (1, 3.0)
+
+
+def test_matrices_near_half_turns_and_right_angles(spark):
+    import math
+
+    cases = [(0.5, 0.5, 0.5, 2e-4), (0.6, -0.7, 0.3, -2e-4), (0.0, 1.0, 0.0, 1e-3), (1.0, 0.0, 0.0, 0.0), (-1.0, 2.0, -3.0, 0.0)]
+    cases += [(0.0, math.sin(a / 2), 0.0, math.cos(a / 2)) for a in (math.pi / 2, math.pi / 2 - 1e-5, -math.pi / 2 + 1e-7, math.pi / 2 - 1e-9)]
+    cases += [(0.5, 0.5, -0.5, 0.5 + e) for e in (0.0, 1e-4, 1e-9)] + [(0.3, 0.2, -0.1, 0.9)]
+    rows = spark.createDataFrame([(list(q),) for q in cases], "q array<double>").withColumn("m", geometry.quaternion_to_matrix(F.col("q")))
+    back = geometry.matrix_to_quaternion(F.col("m"))
+    gap = F.array_max(F.zip_with(geometry.euler_to_matrix(geometry.matrix_to_euler(F.col("m"))), F.col("m"), lambda a, b: F.abs(a - b)))
+    for r in rows.select("q", back.alias("back"), geometry.quaternion_distance(back, geometry.unit(F.col("q"))).alias("d"), gap.alias("gap")).collect():
+        assert r.d < 1e-14 and r.gap < 1e-14 and r.back[3] >= 0, r
+
+
+def _embeddings(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    return duck
+
+
+def _same(spark, duck, name, path):
+    df = QUERIES[name](spark, str(path))
+    want = duck.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(repr(tuple(r)) for r in df.collect()) == sorted(map(repr, want))
+
+
+def test_small_values_and_bounds_as_in_sql(spark, tmp_path):
+    small = [-1e-7, 1e-7, -0.0, 0.0, -4.9e-7, -0.15, 0.15, -0.2, 0.2, 0.14999998, -0.15000002, 1.5, -2.5]
+    duck = _embeddings(spark, tmp_path, [(i, [small[(i + k) % len(small)] for k in range(64)], i % 3) for i in range(len(small))])
+    for name in ("plane_slices", "source_arrays", "bounds_violation"):
+        _same(spark, duck, name, tmp_path)
+
+
+def test_quota_of_more_episodes_than_samples(spark, tmp_path):
+    spark.range(3_300).select("id", (F.col("id") % 1_100).alias("user_id")).withColumnRenamed("id", "event_id").selectExpr("event_id", "TIMESTAMP_NTZ '2024-01-01' AS ts", "user_id", "'click' AS event_type", "1D AS value", "'' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    _same(spark, duck, "quota_per_episode", tmp_path)
+
+
+def test_rows_of_files_with_many_groups(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    spark.range(30_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("s")).repartitionByRange(2, "id").write.option("parquet.block.size", 1 << 12).parquet(path)
+    asked = spark.read.parquet(path).select(F.col("id").alias("want"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_index"))
+    asked = asked.unionByName(asked.filter("want % 100 = 0"))
+    groups = rowgroups.row_groups(asked.select("path").distinct())
+    assert groups.count() > 50
+    got = rowgroups.rows_at(asked, groups, "id long, s string")
+    assert got.count() == 30_300 and got.filter("id <> want OR s <> sha2(CAST(want AS STRING), 256)").isEmpty()
+    # A footer is read once a task, not once a group.
+    assert "FlatMapGroupsInArrow" not in got._jdf.queryExecution().toString()
