@@ -100,12 +100,20 @@ def advanced(p: Column, r: Column, delta: Column) -> Column:
 
 
 def matrix_to_euler(m: Column) -> Column:
-    """Angles about x, y, z of Rz * Ry * Rx."""
+    """Angles about x, y, z of Rz * Ry * Rx, to full precision also where the second is close to a right angle.
+
+    The turn about z is taken back before the others are read; it is 0 where it can't be told from the one about x.
+    """
     def three(v: Column) -> Column:
-        i = _items(v, 9)
-        return F.array(F.atan2(i[7], i[8]), F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -i[6]))), F.atan2(i[3], i[0]))
+        i, z = _items(v["m"], 9), F.atan2(F.get(v["m"], F.lit(3)), F.get(v["m"], F.lit(0)))
+        c, s = v["c"], v["s"]
+        return F.array(F.atan2(s * i[2] - c * i[5], c * i[4] - s * i[1]), F.atan2(-i[6], c * i[0] + s * i[3]), z)
 
-    return bound(m, three)
+    def turned(v: Column) -> Column:
+        z = F.atan2(F.get(v, F.lit(3)), F.get(v, F.lit(0)))
+        return F.struct(v.alias("m"), F.cos(z).alias("c"), F.sin(z).alias("s"))
+
+    return bound(bound(m, turned), three)
 
 
 def euler_to_matrix(e: Column) -> Column:
@@ -131,14 +139,20 @@ def matrix_to_quaternion(m: Column) -> Column:
         x = F.sqrt(F.greatest(F.lit(0.0), 1 + i[0] - i[4] - i[8])) / 2
         y = F.sqrt(F.greatest(F.lit(0.0), 1 - i[0] + i[4] - i[8])) / 2
         z = F.sqrt(F.greatest(F.lit(0.0), 1 - i[0] - i[4] + i[8])) / 2
+        # Each is divided by the largest component, so none is the difference of nearly equal numbers over a small one.
         by_w = F.array((i[7] - i[5]) / (4 * w), (i[2] - i[6]) / (4 * w), (i[3] - i[1]) / (4 * w), w)
-        by_x = F.array(x, (i[1] + i[3]) / (4 * x), (i[2] + i[6]) / (4 * x), w)
-        by_y = F.array((i[1] + i[3]) / (4 * y), y, (i[5] + i[7]) / (4 * y), w)
-        by_z = F.array((i[2] + i[6]) / (4 * z), (i[5] + i[7]) / (4 * z), z, w)
-        top = F.greatest(x, y, z)
-        return F.when(w > 1e-4, by_w).when(x == top, by_x).when(y == top, by_y).otherwise(by_z)
-
-    return bound(m, four)
+        by_x = F.array(x, (i[1] + i[3]) / (4 * x), (i[2] + i[6]) / (4 * x), (i[7] - i[5]) / (4 * x))
+        by_y = F.array((i[1] + i[3]) / (4 * y), y, (i[5] + i[7]) / (4 * y), (i[2] - i[6]) / (4 * y))
+        by_z = F.array((i[2] + i[6]) / (4 * z), (i[5] + i[7]) / (4 * z), z, (i[3] - i[1]) / (4 * z))
+        top = F.greatest(w, x, y, z)
+        return F.when(w == top, by_w).when(x == top, by_x).when(y == top, by_y).otherwise(by_z)
+
+    def signed(q: Column) -> Column:
+        w = F.get(q, F.lit(3))
+        vanishes = F.concat(F.slice(q, 1, 3), F.array(F.abs(w)))
+        return F.when(w < -1e-12, F.transform(q, lambda c: -c)).when(w < 0, vanishes).otherwise(q)
+
+    return bound(bound(m, four), signed)
 
 
 def quaternion_distance(a: Column, b: Column) -> Column:
