@@ -32,6 +32,16 @@ def _each(v, digits=6):
     return F.transform(v, lambda x: F.round(x, digits) + 0.0)
 
 
+def _signed(x, digits=6):
+    """A double rounded; what rounds to zero keeps its sign, as in SQL."""
+    below = (x < 0) | ((x == 0) & F.startswith(x.cast("string"), F.lit("-")))
+    return F.when(below, -F.round(-x, digits)).otherwise(F.round(x, digits))
+
+
+def _each_signed(v, digits=6):
+    return F.transform(v, lambda x: _signed(x, digits))
+
+
 def _list(sql, digits=6):
     return f"list_transform({sql}, lambda x: round(x, {digits}) + 0.0)"
 
@@ -269,7 +279,7 @@ def plane_slices(spark, sf_dir):
     """MTH-21, PRJ-17, PRJ-18, AGG-41"""
     v = _vectors(spark, sf_dir).withColumn("r", geometry.named_ranges(F.col("v"), {"past": (0, 4), "future": (60, 64)}, 64))
     one = geometry.as_scalar(geometry.as_array(F.element_at("v", -1)))
-    return v.select("vec_id", _each(geometry.center(F.col("v"), 8, 8, 4)).alias("middle"), _each(F.col("r.past")).alias("past"), _each(F.col("r.future")).alias("future"), r6(one).alias("last"), _each(geometry.strided(F.col("v"), 8, 8, 3)).alias("sparse"))
+    return v.select("vec_id", _each_signed(geometry.center(F.col("v"), 8, 8, 4)).alias("middle"), _each_signed(F.col("r.past")).alias("past"), _each_signed(F.col("r.future")).alias("future"), _signed(one).alias("last"), _each_signed(geometry.strided(F.col("v"), 8, 8, 3)).alias("sparse"))
 
 
 @query("""WITH e AS (SELECT user_id, value / 200 AS a, value FROM events) SELECT user_id, round(avg(abs(0.1 * value / 100) / 3) + 1e-9, 5) AS translation, 0.0::DOUBLE AS rotation_degrees, round(avg(value / 1000) + 1e-9, 5) AS gripper, round(avg(((value / 300 >= 0.5) = (value / 300 + value / 1000 >= 0.5))::DOUBLE) + 1e-9, 5) AS gripper_accuracy, round(avg(abs(0.1 * value / 100) / 3) + 1e-9, 5) AS translation_at_1, round(avg(value / 1000) + 1e-9, 5) AS gripper_at_2 FROM e GROUP BY user_id""")
@@ -385,7 +395,7 @@ def camera_choice(spark, sf_dir):
 def source_arrays(spark, sf_dir):
     """PRJ-10, PRJ-13, PRJ-19"""
     rows = _vectors(spark, sf_dir).select("vec_id", F.slice("v", 1, 2).alias("a"), F.slice("v", 5, 2).alias("b")).withColumn("joined", episodes.both_arms("a", "b"))
-    return rows.select("vec_id", _each(F.col("joined")).alias("joined"), _each(episodes.per_arm("joined", 2, 1)).alias("right_arm"))
+    return rows.select("vec_id", _each_signed(F.col("joined")).alias("joined"), _each_signed(episodes.per_arm("joined", 2, 1)).alias("right_arm"))
 
 
 FEATURES = {"state": {"dtype": "float64", "shape": (3,)}, "camera": {"dtype": "video", "shape": (3, 4, 4)}, "grid": {"dtype": "float32", "shape": (2, 2)}, "flag": {"dtype": "bool", "shape": (1,)}}
