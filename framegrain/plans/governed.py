@@ -229,7 +229,9 @@ def fractional_rows(spark, sf_dir):
 def quota_per_episode(spark, sf_dir):
     """SMP-06"""
     bounds = frames.episode_bounds(read_events(spark, sf_dir), "user_id")
-    return sampling.episode_quota(bounds, "dense_index", "length", 1000, 4, 3).groupBy("episode").agg(F.count("row").alias("n"))
+    taken = sampling.episode_quota(bounds, "dense_index", "length", 1000, 4, 3).groupBy("episode").agg(F.count("row").alias("n"))
+    # With more episodes than samples, later ones have none.
+    return bounds.select(F.col("dense_index").alias("episode")).join(taken, "episode", "left").select("episode", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 @query("""SELECT count(*) AS n, min(batch) AS first_batch, max(slot) AS last_slot FROM (SELECT unnest(range(0, 2 * greatest(ceil(a / 16.0), ceil(b / 16.0))::BIGINT)) AS batch, 15::BIGINT AS slot FROM (SELECT count(*) FILTER (quality = 0) AS a, count(*) FILTER (quality = 1) AS b FROM labels)), range(16)""")
