@@ -328,7 +328,7 @@ def out_of_range_report(spark, sf_dir):
 @query("""WITH v AS (SELECT vec_id, list_filter([i for i in range(len(embedding))], lambda i: embedding[i + 1] < -0.15 OR embedding[i + 1] > 0.15) AS bad FROM embeddings) SELECT vec_id, [x::INTEGER for x in bad] AS violated, len(bad) > 0 AS any_violation FROM v""")
 def bounds_violation(spark, sf_dir):
     """FLT-11"""
-    bad = F.array_compact(F.transform("embedding", lambda x, i: F.when((x < -0.15) | (x > 0.15), i)))
+    bad = F.array_compact(F.transform("embedding", lambda x, i: F.when((x < F.lit(-0.15).cast("float")) | (x > F.lit(0.15).cast("float")), i)))  # at the vectors' own precision
     return _read(spark, sf_dir, "embeddings").select("vec_id", bad.alias("violated"), (F.size(bad) > 0).alias("any_violation"))
 
 
