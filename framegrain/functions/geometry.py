@@ -15,6 +15,11 @@ def bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def together(body, **values: Column) -> Column:
+    """body of a struct of the values, each computed once."""
+    return bound(F.struct(*[v.alias(n) for n, v in values.items()]), body)
+
+
 def _items(v: Column, n: int) -> list[Column]:
     return [F.get(v, F.lit(i)) for i in range(n)]
 
@@ -24,7 +29,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def norm(v: Column) -> Column:
-    return F.sqrt(dot(v, v))
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
 
 def scaled(v: Column, k: Column) -> Column:
@@ -36,14 +41,17 @@ def minus(a: Column, b: Column) -> Column:
 
 
 def cross(a: Column, b: Column) -> Column:
-    (a1, a2, a3), (b1, b2, b3) = _items(a, 3), _items(b, 3)
-    return F.array(a2 * b3 - a3 * b2, a3 * b1 - a1 * b3, a1 * b2 - a2 * b1)
+    def three(p: Column) -> Column:
+        (a1, a2, a3), (b1, b2, b3) = _items(p["a"], 3), _items(p["b"], 3)
+        return F.array(a2 * b3 - a3 * b2, a3 * b1 - a1 * b3, a1 * b2 - a2 * b1)
+
+    return together(three, a=a, b=b)
 
 
 def unit(v: Column, least: float = 1e-8) -> Column:
     """v over its norm; a norm below `least` fails."""
     checked = lambda n: F.when(n < least, F.raise_error(F.lit("vector has no direction")).cast("double")).otherwise(n)
-    return bound(checked(norm(v)), lambda n: scaled(v, 1 / n))
+    return bound(v, lambda x: bound(checked(norm(x)), lambda n: bound(1 / n, lambda k: scaled(x, k))))
 
 
 def quaternion_to_matrix(q: Column) -> Column:
@@ -60,16 +68,18 @@ def quaternion_to_matrix(q: Column) -> Column:
 
 def matrix_to_six(m: Column) -> Column:
     """The first two columns of a rotation matrix."""
-    return F.array(*[F.get(m, F.lit(i)) for i in (0, 3, 6, 1, 4, 7)])
+    return bound(m, lambda x: F.array(*[F.get(x, F.lit(i)) for i in (0, 3, 6, 1, 4, 7)]))
 
 
 def six_to_matrix(s: Column, least: float = 1e-8) -> Column:
     """Gram and Schmidt on the two columns; parallel or vanishing columns fail."""
-    def second(e1: Column) -> Column:
-        b = F.slice(s, 4, 3)
-        return bound(unit(minus(b, scaled(e1, dot(e1, b))), least), lambda e2: bound(cross(e1, e2), lambda e3: F.flatten(F.transform(F.arrays_zip(e1.alias("a"), e2.alias("b"), e3.alias("c")), lambda r: F.array(r["a"], r["b"], r["c"])))))
+    def second(p: Column) -> Column:
+        e1, b = p["e1"], p["b"]
+        e2 = bound(dot(e1, b), lambda k: unit(minus(b, scaled(e1, k)), least))
+        rows = lambda e: F.array(*[F.get(e[n], F.lit(i)) for i in range(3) for n in ("e1", "e2", "e3")])
+        return bound(e2, lambda e2: together(rows, e1=e1, e2=e2, e3=cross(e1, e2)))
 
-    return bound(unit(F.slice(s, 1, 3), least), second)
+    return bound(s, lambda v: together(second, e1=unit(F.slice(v, 1, 3), least), b=F.slice(v, 4, 3)))
 
 
 def product(a: Column, b: Column) -> Column:
@@ -81,22 +91,29 @@ def product(a: Column, b: Column) -> Column:
 
 
 def transposed(m: Column) -> Column:
-    return F.array(*[F.get(m, F.lit(i)) for i in (0, 3, 6, 1, 4, 7, 2, 5, 8)])
+    return bound(m, lambda x: F.array(*[F.get(x, F.lit(i)) for i in (0, 3, 6, 1, 4, 7, 2, 5, 8)]))
 
 
 def rotate(m: Column, v: Column) -> Column:
-    return F.array(*[dot(F.slice(m, 3 * i + 1, 3), v) for i in range(3)])
+    def three(p: Column) -> Column:
+        x, y = _items(p["m"], 9), _items(p["v"], 3)
+        return F.array(*[F.lit(0.0) + x[3 * i] * y[0] + x[3 * i + 1] * y[1] + x[3 * i + 2] * y[2] for i in range(3)])
+
+    return together(three, m=m, v=v)
 
 
 def local_delta(p0: Column, r0: Column, p1: Column, r1: Column) -> Column:
     """struct(translation, rotation): the second pose in the first one's frame."""
-    back = transposed(r0)
-    return F.struct(rotate(back, minus(p1, p0)).alias("translation"), product(back, r1).alias("rotation"))
+    return together(lambda s: F.struct(rotate(s["back"], s["step"]).alias("translation"), product(s["back"], s["r1"]).alias("rotation")), back=transposed(r0), step=minus(p1, p0), r1=r1)
 
 
 def advanced(p: Column, r: Column, delta: Column) -> Column:
     """struct(position, rotation) after a local delta."""
-    return F.struct(F.zip_with(p, rotate(r, delta["translation"]), lambda x, y: x + y).alias("position"), product(r, delta["rotation"]).alias("rotation"))
+    def both(s: Column) -> Column:
+        moved = F.zip_with(s["p"], rotate(s["r"], s["d"]["translation"]), lambda x, y: x + y)
+        return F.struct(moved.alias("position"), product(s["r"], s["d"]["rotation"]).alias("rotation"))
+
+    return together(both, p=p, r=r, d=delta)
 
 
 def matrix_to_euler(m: Column) -> Column:
@@ -157,8 +174,8 @@ def matrix_to_quaternion(m: Column) -> Column:
 
 def quaternion_distance(a: Column, b: Column) -> Column:
     """Largest difference of a component, to b or to -b."""
-    most = lambda f: F.array_max(F.zip_with(a, b, f))
-    return F.least(most(lambda x, y: F.abs(x - y)), most(lambda x, y: F.abs(x + y)))
+    most = lambda p, f: F.array_max(F.zip_with(p["a"], p["b"], f))
+    return together(lambda p: F.least(most(p, lambda x, y: F.abs(x - y)), most(p, lambda x, y: F.abs(x + y))), a=a, b=b)
 
 
 def clipped(v: Column, limit: float = 1.0) -> Column:
@@ -167,15 +184,22 @@ def clipped(v: Column, limit: float = 1.0) -> Column:
 
 def encode_action(delta: Column, gripper: Column, t_scale: float, r_scale: float, g_scale: float, six: bool = False) -> Column:
     """Translation and rotation of a delta and an absolute gripper to one vector: 7 channels, or 10 with six rotation ones."""
-    rotation = matrix_to_six(delta["rotation"]) if six else clipped(scaled(matrix_to_euler(delta["rotation"]), F.lit(1 / r_scale)))
     grip = F.greatest(F.lit(0.0), F.least(F.lit(1.0), gripper / g_scale))
-    return F.concat(clipped(scaled(delta["translation"], F.lit(1 / t_scale))), rotation, F.array(grip))
+
+    def channels(d: Column) -> Column:
+        rotation = matrix_to_six(d["rotation"]) if six else clipped(scaled(matrix_to_euler(d["rotation"]), F.lit(1 / r_scale)))
+        return F.concat(clipped(scaled(d["translation"], F.lit(1 / t_scale))), rotation, F.array(grip))
+
+    return bound(delta, channels)
 
 
 def decode_action(action: Column, t_scale: float, r_scale: float, g_scale: float, six: bool = False) -> Column:
     """struct(translation, rotation, gripper); the inverse of encode_action where nothing was clipped."""
-    rotation = six_to_matrix(F.slice(action, 4, 6)) if six else euler_to_matrix(scaled(F.slice(action, 4, 3), F.lit(r_scale)))
-    return F.struct(scaled(F.slice(action, 1, 3), F.lit(t_scale)).alias("translation"), rotation.alias("rotation"), (F.element_at(action, -1) * g_scale).alias("gripper"))
+    def parts(a: Column) -> Column:
+        rotation = six_to_matrix(F.slice(a, 4, 6)) if six else euler_to_matrix(scaled(F.slice(a, 4, 3), F.lit(r_scale)))
+        return F.struct(scaled(F.slice(a, 1, 3), F.lit(t_scale)).alias("translation"), rotation.alias("rotation"), (F.element_at(a, -1) * g_scale).alias("gripper"))
+
+    return bound(action, parts)
 
 
 def integrate(p: Column, r: Column, deltas: Column) -> Column:
@@ -237,12 +261,12 @@ def forward_kinematics(joints: Column, chain: list[dict]) -> Column:
 
 def pose_parts(pose: Column) -> Column:
     """struct(position, rotation) of xyz and a quaternion."""
-    return F.struct(F.slice(pose, 1, 3).alias("position"), quaternion_to_matrix(F.slice(pose, 4, 4)).alias("rotation"))
+    return bound(pose, lambda p: F.struct(F.slice(p, 1, 3).alias("position"), quaternion_to_matrix(F.slice(p, 4, 4)).alias("rotation")))
 
 
 def pose_to_euler(pose: Column) -> Column:
     """xyz and a quaternion as xyz and angles."""
-    return F.concat(F.slice(pose, 1, 3), matrix_to_euler(quaternion_to_matrix(F.slice(pose, 4, 4))))
+    return bound(pose, lambda p: F.concat(F.slice(p, 1, 3), matrix_to_euler(quaternion_to_matrix(F.slice(p, 4, 4)))))
 
 
 def difference_action(pose: Column, later: Column, gripper: Column, later_gripper: Column, t_scale: float, r_scale: float, g_scale: float) -> Column:

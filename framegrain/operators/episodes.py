@@ -97,21 +97,25 @@ def first_episode_bounds(df: DataFrame, vector: str, episode: str, order: str, m
 def arm_report(df: DataFrame, predicted: str, target: str, threshold: float = 0.5, at=(1, 4, 8, 16), keys: tuple[str, ...] = ()) -> DataFrame:
     """Means of one arm's errors over all frames of all chunks (arrays of ten channels), the share of grippers on the right
     side of the threshold, and the errors of the frames at each of the places `at`."""
-    pairs = df.select(*keys, F.posexplode(F.arrays_zip(F.col(predicted).alias("p"), F.col(target).alias("t"))).alias("_k", "_v"))
-    rows = pairs.withColumn("_e", arm_errors(F.col("_v.p"), F.col("_v.t")))
     side = lambda v: F.element_at(v, -1) >= threshold
+    # The errors are made before the frames become rows: an aggregation would ask for them once for each of its columns.
+    each = F.transform(F.arrays_zip(F.col(predicted).alias("p"), F.col(target).alias("t")), lambda v: F.struct(arm_errors(v["p"], v["t"]).alias("e"), (side(v["p"]) == side(v["t"])).alias("ok")))
+    rows = df.select(*keys, F.posexplode(each).alias("_k", "_v")).select(*keys, "_k", F.col("_v.e").alias("_e"), F.col("_v.ok").alias("_ok"))
     names = ("translation", "rotation_degrees", "gripper")
-    cols = [F.avg(f"_e.{n}").alias(n) for n in names] + [F.avg((side(F.col("_v.p")) == side(F.col("_v.t"))).cast("double")).alias("gripper_accuracy")]
+    cols = [F.avg(f"_e.{n}").alias(n) for n in names] + [F.avg(F.col("_ok").cast("double")).alias("gripper_accuracy")]
     cols += [F.avg(F.when(F.col("_k") == h - 1, F.col(f"_e.{n}"))).alias(f"{n}_at_{h}") for h in at for n in names]
     return rows.groupBy(*keys).agg(*cols)
 
 
 def arm_errors(predicted: Column, target: Column) -> Column:
     """struct(translation, rotation_degrees, gripper) errors of one arm's ten channels."""
-    p, t = predicted, target
-    gap = F.aggregate(F.zip_with(F.slice(p, 1, 3), F.slice(t, 1, 3), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / 3
-    turn = geometry.angle_between(geometry.six_to_matrix(F.slice(p, 4, 6)), geometry.six_to_matrix(F.slice(t, 4, 6)))
-    return F.struct(gap.alias("translation"), turn.alias("rotation_degrees"), F.abs(F.element_at(p, -1) - F.element_at(t, -1)).alias("gripper"))
+    def errors(v: Column) -> Column:
+        p, t = v["p"], v["t"]
+        gap = F.aggregate(F.zip_with(F.slice(p, 1, 3), F.slice(t, 1, 3), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / 3
+        turn = geometry.angle_between(geometry.six_to_matrix(F.slice(p, 4, 6)), geometry.six_to_matrix(F.slice(t, 4, 6)))
+        return F.struct(gap.alias("translation"), turn.alias("rotation_degrees"), F.abs(F.element_at(p, -1) - F.element_at(t, -1)).alias("gripper"))
+
+    return geometry.together(errors, p=predicted, t=target)
 
 
 def loss_masks(kind: Column, table: dict[str, list[bool]]) -> Column:

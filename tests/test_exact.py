@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from framegrain.functions import geometry
-from framegrain.operators import metrics, stats
+from framegrain.operators import episodes, metrics, scans, stats
 from framegrain.plans.catalogue import ORACLES, QUERIES
 from framegrain.sources import rowgroups
 
@@ -89,3 +89,35 @@ def test_rows_of_files_with_many_groups(spark, tmp_path):
     assert got.count() == 30_300 and got.filter("id <> want OR s <> sha2(CAST(want AS STRING), 256)").isEmpty()
     # A footer is read once a task, not once a group.
     assert "FlatMapGroupsInArrow" not in got._jdf.queryExecution().toString()
+
+
+def test_nested_rotations_stay_small(spark):
+    pose, later = F.col("a"), F.col("b")
+    turned = lambda c: geometry.six_to_matrix(F.slice(c, 4, 6))
+    moved = lambda c: geometry.quaternion_to_matrix(F.slice(c, 4, 4))
+    # Two norms for each of two pairs of columns; one for each quaternion.
+    assert str(geometry.angle_between(turned(pose), turned(later))).lower().count("sqrt") <= 4
+    assert str(episodes.arm_errors(pose, later)).lower().count("sqrt") <= 4
+    step = geometry.local_delta(F.slice(pose, 1, 3), moved(pose), F.slice(later, 1, 3), moved(later))
+    for six in (True, False):
+        assert str(geometry.encode_action(step, F.col("g"), 1.0, 1.0, 1.0, six=six)).lower().count("sqrt") <= 2
+
+
+def test_scan_of_many_short_blocks(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # blocks that lie in two batches
+    try:
+        df = spark.range(3_000).select(F.when(F.col("id") % 30 > 0, F.col("id") % 30).alias("e"), F.floor(F.col("id") / 30).alias("i"), F.array(F.col("id") % 5 - 2.0, F.lit(-3.0), F.lit(4.0)).alias("v"))
+        out = scans.ordered_scan(df, "v", scans.CLAMPS, "e", "i", "p", 8)
+        assert "FlatMapGroupsInArrow" not in out._jdf.queryExecution().toString()
+        rows = {}
+        for r in sorted(out.collect(), key=lambda r: r.i):
+            rows.setdefault(r.e, []).append(r)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == 30
+    for some in rows.values():
+        assert [r.i for r in some] == list(range(100))
+        x = 1.0
+        for r in some:
+            x = min(4.0, max(-3.0, x + r.v[0]))
+            assert min(r.p[2], max(r.p[1], 1.0 + r.p[0])) == x
