@@ -45,15 +45,33 @@ POSES = Monoid(12, _poses)
 CLAMPS = Monoid(3, _clamps)
 
 
-def prefixes(values: np.ndarray, monoid: Monoid) -> np.ndarray:
-    """Products of the rows up to and with each."""
+def prefixes(values: np.ndarray, monoid: Monoid, starts: np.ndarray | None = None) -> np.ndarray:
+    """Products of the rows up to and with each, from the last of `starts` (row numbers, the first is 0) on."""
     out, step = values.copy(), 1
-    while step < len(out):
-        out[step:] = monoid.combine(out[:-step], out[step:])
+    starts = np.zeros(1, np.int64) if starts is None else starts
+    place = np.arange(len(out)) - np.repeat(starts, np.diff(np.append(starts, len(out)))) if len(out) else np.zeros(0, np.int64)
+    while step <= place.max(initial=0):
+        at = np.flatnonzero(place >= step)
+        out[at] = monoid.combine(out[at - step], out[at])
         step *= 2
     return out
 
 
+def _starts(table, names: list[str]) -> np.ndarray:
+    """Rows of a sorted table whose named values are not those of the row before; nulls are alike."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    new = np.arange(table.num_rows) == 0
+    for n in names:
+        column = table.column(n).combine_chunks()
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        here, before = column.slice(1), column.slice(0, max(len(column) - 1, 0))
+        other = pc.or_kleene(pc.fill_null(pc.not_equal(here, before), False), pc.xor(here.is_null(), before.is_null()))
+        new[1:] |= other.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
 def _matrix(column, width: int) -> np.ndarray:
     import pyarrow as pa
 
@@ -80,11 +98,27 @@ def ordered_scan(df: DataFrame, value: str, monoid: Monoid, episode: str, index:
     rows = df.withColumn("_block", F.floor(F.col(index) / block).cast("long"))
     kind = T.StructType([*rows.schema.fields, T.StructField("_inside", T.ArrayType(T.DoubleType()))])
 
-    def inside(table):
-        table = table.sort_by(index)
-        return table.append_column("_inside", _listed(prefixes(_matrix(table.column(value), width), monoid)))
+    def inside(batches):
+        """Blocks of sorted rows; the last one of a batch waits for its rest."""
+        import pyarrow as pa
+
+        def scanned(table, starts):
+            table = table.combine_chunks()
+            return table.append_column("_inside", _listed(prefixes(_matrix(table.column(value), width), monoid, starts))).combine_chunks().to_batches()
 
-    scanned = stored(rows.groupBy(episode, "_block").applyInArrow(inside, kind), "scan")
+        held = None
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            held = pa.concat_tables([held, table]).combine_chunks() if held is not None and held.num_rows else table
+            starts = _starts(held, [episode, "_block"])
+            if len(starts) > 1:
+                yield from scanned(held.slice(0, starts[-1]), starts[:-1])
+                held = held.slice(starts[-1])
+        if held is not None and held.num_rows:
+            yield from scanned(held, _starts(held, [episode, "_block"]))
+
+    near = rows.repartition(episode, "_block").sortWithinPartitions(episode, "_block", index)
+    scanned = stored(near.mapInArrow(inside, kind), "scan")
     # What a whole block multiplies to, as frame number `_block` of a shorter episode.
     heads = scanned.filter(F.pmod(F.col(index), F.lit(block)) == block - 1).select(episode, F.col("_block").alias("_n"), F.col("_inside").alias("_product"))
     if heads.isEmpty():
