@@ -51,7 +51,7 @@ def cross(a: Column, b: Column) -> Column:
 def unit(v: Column, least: float = 1e-8) -> Column:
     """v over its norm; a norm below `least` fails."""
     checked = lambda n: F.when(n < least, F.raise_error(F.lit("vector has no direction")).cast("double")).otherwise(n)
-    return bound(v, lambda x: bound(checked(norm(x)), lambda n: bound(1 / n, lambda k: scaled(x, k))))
+    return bound(v, lambda x: bound(bound(norm(x), lambda n: 1 / checked(n)), lambda k: scaled(x, k)))
 
 
 def quaternion_to_matrix(q: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from framegrain.functions import geometry
 from framegrain.operators import episodes, metrics, scans, stats
 from framegrain.plans.catalogue import ORACLES, QUERIES
-from framegrain.sources import rowgroups
+from framegrain.sources import rowgroups, tables
 
 
 def test_bootstrap_median_of_many_episodes(spark):
@@ -121,3 +121,14 @@ def test_scan_of_many_short_blocks(spark):
         for r in some:
             x = min(4.0, max(-3.0, x + r.v[0]))
             assert min(r.p[2], max(r.p[1], 1.0 + r.p[0])) == x
+
+
+def test_chosen_episodes_list_their_folders_only(spark, tmp_path):
+    root = f"{tmp_path}/t"
+    tables.write_episodes(spark.range(120).select((F.col("id") % 40).alias("episode_index"), F.floor(F.col("id") / 40).alias("frame_index")), root, chunk=7)
+    rows = tables.read_episodes(spark, root, [3, 39, 1_000])
+    assert len(rows.inputFiles()) == 2 and set(rows.columns) == {"episode_chunk", "episode_index", "frame_index"}
+    assert {(r.episode_index, r.episode_chunk): r["count"] for r in rows.groupBy("episode_index", "episode_chunk").count().collect()} == {(3, 0): 3, (39, 5): 3}
+    for none in ([], [1_000]):
+        assert tables.read_episodes(spark, root, none).count() == 0
+    assert tables.read_episodes(spark, root).count() == 120
