@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,9 +61,16 @@ def packed(names: list[str]):
 
 
 def read_episodes(spark: SparkSession, root: str, episodes: list[int] | None = None) -> DataFrame:
-    """Frames of a dataset; a choice of episodes prunes its partitions."""
-    df = spark.read.parquet(root)
-    return df if episodes is None else df.filter(F.col("episode_index").isin(episodes))
+    """Frames of a dataset; of a choice of episodes only the folders are listed. Chosen episodes that are not there have no rows."""
+    if episodes is None:
+        return spark.read.parquet(root)
+    some = ",".join(str(int(e)) for e in episodes)
+    try:
+        return spark.read.option("basePath", root).parquet(f"{root}/episode_chunk=*/episode_index={{{some}}}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.read.parquet(root).filter(F.lit(False))
 
 
 def write_episodes(df: DataFrame, root: str, chunk: int = 1_000, mode: str = "errorifexists") -> None:
