@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framegrain.session import stored
+
 #: Where recordings keep what is audited.
 CHANNELS, COLORS, DEPTHS, CLOCK = "camera_color_channel", "camera_observations/color_images", "camera_observations/depth_images", "camera_observations/timestamp"
 #: Fixed value: steps that a clock may stand still at the end.
@@ -52,7 +54,9 @@ def recording_issues(recordings: DataFrame, datasets: DataFrame, clock: DataFram
 
     A recording without datasets has the issues of its length and language only.
     """
-    ds = datasets.join(recordings.select(key, F.col("length").alias("_t")), key)
+    # What is asked several times is written once, so that no task sorts for all of its readers.
+    recordings, datasets = stored(recordings, "recordings"), stored(datasets, "datasets")
+    ds = stored(datasets.join(recordings.select(key, F.col("length").alias("_t")), key), "audited")
     path, n, t = F.col("path"), F.col("length"), F.col("_t")
     rows = F.col("ndim") > 0
     own = recordings.select(key, F.explode(F.array(
