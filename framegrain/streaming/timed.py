@@ -23,6 +23,25 @@ def _ms(value) -> int:
     return value.value // 1_000_000  # of pandas, in nanoseconds
 
 
+def in_order_columns(batches: Iterator, by: list[str], names: list[str], slice_rows: int = 1_000) -> Iterator:
+    """A key's rows of one micro-batch in order, as tuples of the named columns in slices; the first one is a time and counts in milliseconds.
+
+    They are held and sorted as columns; only a slice at a time becomes Python objects. Rows alike in `by` keep their order.
+    """
+    import numpy as np
+    import pandas as pd
+
+    held = list(batches)
+    if held:
+        pdf = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        order = np.lexsort([pdf[c].to_numpy() for c in reversed(by)])
+        columns = [pdf[c] for c in names]
+        ms = columns[0].to_numpy().astype("datetime64[ns]").astype(np.int64) // 1_000_000
+        for at in range(0, len(order), slice_rows):
+            some = order[at : at + slice_rows]
+            yield zip(ms[some].tolist(), *(c.to_numpy()[some].tolist() for c in columns[1:]), strict=True)
+
+
 def _at(ms: int) -> datetime:
     return datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(milliseconds=ms)
 
@@ -40,10 +59,12 @@ class Leases(StatefulProcessor):
     def _ended(self, key, lease, at, why):
         return key[0], lease[0], _at(lease[1]), _at(at), why
 
-    def _kept(self, lease) -> None:
-        """One timer a key, at the end of its lease."""
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+    def _kept(self, before, lease) -> None:
+        """One timer a key, at the end of its lease; a key whose lease stays as it was needs nothing."""
+        if lease == before:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before[2])
         if lease is None:
             self.held.clear()
         else:
@@ -54,14 +75,14 @@ class Leases(StatefulProcessor):
         import pandas as pd
 
         _, time, order, holder, release = self.names
-        lease, out = tuple(self.held.get()) if self.held.exists() else None, []
-        for pdf in in_order(rows, [time, order]):
-            for r in pdf.itertuples(index=False):
-                now, who = _ms(getattr(r, time)), getattr(r, holder)
+        state, out = self.held.get(), []
+        before = lease = tuple(state) if state is not None else None
+        for part in in_order_columns(rows, [time, order], [time, holder, release]):
+            for now, who, gives in part:
                 if lease and lease[2] <= now:
                     out.append(self._ended(key, lease, lease[2], EXPIRED))
                     lease = None
-                if getattr(r, release):
+                if gives:
                     if lease and lease[0] == who:
                         out.append(self._ended(key, lease, now, RELEASED))
                         lease = None
@@ -70,8 +91,9 @@ class Leases(StatefulProcessor):
                     lease = (who, now, now + self.lease_ms)
                 else:
                     lease = (who, lease[1] if lease else now, now + self.lease_ms)
-        self._kept(lease)
-        yield pd.DataFrame(out, columns=["key", "holder", "began", "ended", "reason"])
+        self._kept(before, lease)
+        if out:
+            yield pd.DataFrame(out, columns=["key", "holder", "began", "ended", "reason"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
