@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
+import uuid
+from urllib.parse import quote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,15 +80,113 @@ def read_episodes(spark: SparkSession, root: str, episodes: list[int] | None = N
 
 
 def write_episodes(df: DataFrame, root: str, chunk: int = 1_000, mode: str = "errorifexists") -> None:
-    """Frames as Parquet in partitions of `chunk` episodes and of one episode, rows in order of frames."""
+    """Frames as Parquet in partitions of `chunk` episodes and of one episode (a number), rows in order of frames.
+
+    In a new folder on local or mounted disks (`file:`) tasks write the files by Arrow: Hadoop's local file system starts two
+    processes a file to set permissions. The folder appears once all files are there. Elsewhere Spark's writer is used.
+    """
     rows = df.withColumn("episode_chunk", F.floor(F.col("episode_index") / chunk))
+    path = _local(root)
+    if path and not os.path.lexists(path) and not re.search(_SPARK_ONLY, rows.schema.json()):
+        return _write_local_episodes(rows, path)
     rows = rows.repartition("episode_chunk", "episode_index").sortWithinPartitions("episode_index", "frame_index")
     rows.write.mode(mode).partitionBy("episode_chunk", "episode_index").option("compression", "zstd").parquet(root)
 
 
+#: Types that Arrow's Parquet lacks or reads as others.
+_SPARK_ONLY = r'"(variant|void|interval[^"]*|time\([^"]*|geo[^"]*|udt)"'
+
+
+def _local(root: str) -> str | None:
+    """The path of a `file:` URI."""
+    found = re.fullmatch(r"file:(?://)?(/[^/].*?)/*", root, re.DOTALL)
+    return found[1] if found else None
+
+
+def _write_local_episodes(rows: DataFrame, path: str) -> None:
+    data, spark = rows.drop("episode_chunk", "episode_index"), rows.sparkSession
+    columns = data.columns
+    stage, name = f"{os.path.dirname(path)}/_{os.path.basename(path)}-{uuid.uuid4().hex}", f"part-{uuid.uuid4().hex}.zstd.parquet"
+    opened = f"{stage}-open"
+    # As Spark's writer does: types and metadata of the columns come back, dates need no calendar.
+    about = {"org.apache.spark.sql.parquet.row.metadata": data.schema.json(), "org.apache.spark.version": spark.version}
+
+    def task(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+
+        at = out = hidden = None
+        files = 0
+
+        def close():
+            if out is not None:
+                out.close()
+                os.replace(hidden, f"{stage}/{at}/{name}")
+
+        for b in batches:
+            folders, lo = pc.run_end_encode(b.column(len(columns))), 0
+            cells = pa.RecordBatch.from_arrays(b.columns[:-1], columns)
+            for hi, folder in zip(folders.run_ends.to_pylist(), folders.values.to_pylist(), strict=True):
+                if folder != at:
+                    close()
+                    at, hidden, files = folder, f"{opened}/{uuid.uuid4().hex}", files + 1
+                    os.makedirs(f"{stage}/{at}", exist_ok=True)
+                    out = pq.ParquetWriter(hidden, cells.schema, compression="zstd", store_schema=False)
+                    out.add_key_value_metadata(about)
+                out.write_batch(cells.slice(lo, hi - lo))
+                lo = hi
+        close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    part = lambda c: F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
+    rows = rows.withColumn("_folder", F.concat_ws("/", part("episode_chunk"), part("episode_index")))
+    rows = rows.repartition("_folder").sortWithinPartitions("episode_index", "_folder", "frame_index")
+    rows = rows.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(columns)], "_folder")  # mapInArrow takes no name with a dot
+    os.makedirs(stage)
+    os.makedirs(opened)
+    try:
+        rows.mapInArrow(task, "files long").agg(F.sum("files")).collect()
+        open(f"{stage}/_SUCCESS", "w").close()
+        os.rename(stage, path)
+    except BaseException:
+        shutil.rmtree(stage, ignore_errors=True)
+        raise
+    finally:
+        shutil.rmtree(opened, ignore_errors=True)  # of attempts that were cut short
+
+
 def episode_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, rows) of each file of a dataset."""
-    return spark.read.parquet(root).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+    """(path, rows) of each file of a dataset that has rows, from its footer; on local or mounted disks (`file:`) tasks list the chunks."""
+    path = _local(root)
+    if not path or not os.path.isdir(path):
+        return spark.read.parquet(root).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+
+    def task(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        for b in batches:
+            for top in b.column(0).to_pylist():
+                found = [] if os.path.isdir(top) else [top]
+                for folder, below, names in os.walk(top):
+                    below[:] = filter(_shown, below)
+                    found += [f"{folder}/{n}" for n in filter(_shown, names)]
+                rows = [pq.read_metadata(f).num_rows for f in found]
+                yield pa.RecordBatch.from_pydict({"path": pa.array([_uri(f) for f in found], pa.string()), "rows": pa.array(rows, pa.int64())})
+
+    tops = [(f"{path}/{n}",) for n in sorted(os.listdir(path)) if _shown(n)]  # one a chunk
+    return spark.createDataFrame(tops, "path string").mapInArrow(task, "path string, rows long").filter("rows > 0")
+
+
+def _shown(name: str) -> bool:
+    """Whether Spark reads a file or folder of that name."""
+    return not name.startswith(".") and (not name.startswith("_") or "=" in name)
+
+
+def _uri(path: str) -> str:
+    """As in _metadata.file_path."""
+    return "file:" + re.sub(r"[^\w/\-!.~'()*,;:$&+=@]", lambda m: quote(m[0]), path)
 
 
 def find_files(spark: SparkSession, root: str, name: str, limit: int = 0) -> DataFrame:
