@@ -82,11 +82,12 @@ def read_episodes(spark: SparkSession, root: str, episodes: list[int] | None = N
 def write_episodes(df: DataFrame, root: str, chunk: int = 1_000, mode: str = "errorifexists") -> None:
     """Frames as Parquet in partitions of `chunk` episodes and of one episode (a number), rows in order of frames.
 
-    In a new folder on local or mounted disks (`file:`) tasks write the files by Arrow: Hadoop's local file system starts two
-    processes a file to set permissions. The folder appears once all files are there. Elsewhere Spark's writer is used.
+    In a new folder on local or mounted disks (`file:`, or no scheme where that is the default) tasks write the files by Arrow:
+    Hadoop's local file system starts two processes a file to set permissions. The folder appears once all files are there.
+    Elsewhere Spark's writer is used.
     """
     rows = df.withColumn("episode_chunk", F.floor(F.col("episode_index") / chunk))
-    path = _local(root)
+    path = _local(df.sparkSession, root)
     if path and not os.path.lexists(path) and not re.search(_SPARK_ONLY, rows.schema.json()):
         return _write_local_episodes(rows, path)
     rows = rows.repartition("episode_chunk", "episode_index").sortWithinPartitions("episode_index", "frame_index")
@@ -97,8 +98,11 @@ def write_episodes(df: DataFrame, root: str, chunk: int = 1_000, mode: str = "er
 _SPARK_ONLY = r'"(variant|void|interval[^"]*|time\([^"]*|geo[^"]*|udt)"'
 
 
-def _local(root: str) -> str | None:
-    """The path of a `file:` URI."""
+def _local(spark: SparkSession, root: str) -> str | None:
+    """The path of a `file:` URI; without a scheme the session's default file system decides, as in Spark's readers and writers."""
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", root):
+        place = spark._jvm.org.apache.hadoop.fs.Path(root)
+        root = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(place).toString()
     found = re.fullmatch(r"file:(?://)?(/[^/].*?)/*", root, re.DOTALL)
     return found[1] if found else None
 
@@ -157,8 +161,8 @@ def _write_local_episodes(rows: DataFrame, path: str) -> None:
 
 
 def episode_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, rows) of each file of a dataset that has rows, from its footer; on local or mounted disks (`file:`) tasks list the chunks."""
-    path = _local(root)
+    """(path, rows) of each file of a dataset that has rows, from its footer; on local or mounted disks (as in `write_episodes`) tasks list the chunks."""
+    path = _local(spark, root)
     if not path or not os.path.isdir(path):
         return spark.read.parquet(root).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
 

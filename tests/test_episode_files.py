@@ -62,3 +62,25 @@ def test_modes_failures_and_leftovers(spark, tmp_path):
     spans = rows.withColumn("wait", F.expr("INTERVAL '2' MONTH"))
     tables.write_episodes(spans, f"file:{tmp_path}/spans")
     assert tables.read_episodes(spark, f"file:{tmp_path}/spans").schema["wait"].dataType == spans.schema["wait"].dataType
+
+
+def test_a_root_without_scheme_is_on_the_default_file_system(spark, tmp_path):
+    rows, plain, theirs = spark.sql(f"SELECT {ODD} FROM range(300)"), f"{tmp_path}/plain é", f"{tmp_path}/theirs"
+    tables.write_episodes(rows, plain, chunk=4)
+    # Hadoop's local file system, which starts processes for each file, leaves checksums beside what it writes.
+    assert len(files(plain)) == 9 and not [n for _, _, names in os.walk(plain) for n in names if n.endswith(".crc")]
+    rows.withColumn("episode_chunk", F.floor(F.col("episode_index") / 4)).repartition("episode_index").write.partitionBy("episode_chunk", "episode_index").parquet(theirs)
+    text = lambda df: sorted(r.j for r in df.select(F.to_json(F.struct("*")).alias("j")).collect())
+    got, want = tables.read_episodes(spark, plain), spark.read.parquet(theirs)
+    assert got.schema.jsonValue() == want.schema.jsonValue() and text(got) == text(want) and got.count() == 300
+    listed = tables.episode_files(spark, plain)
+    assert not listed.inputFiles()
+    by_spark = spark.read.parquet(plain).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, by_spark.collect()))
+    other = spark.newSession()
+    other.conf.set("fs.viewfs.mounttable.frames.link./in", f"file://{tmp_path}")
+    other.conf.set("fs.defaultFS", "viewfs://frames/")
+    few = other.sql("SELECT id % 3 AS episode_index, id DIV 3 AS frame_index FROM range(12)")
+    tables.write_episodes(few, "/in/viewed")
+    assert len(files(tmp_path / "viewed")) == 3 and tables.read_episodes(other, "/in/viewed").count() == 12
+    assert sorted(r.rows for r in tables.episode_files(other, "/in/viewed").collect()) == [4, 4, 4]
